@@ -34,9 +34,10 @@ ALL_COMMON = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Distances (0 to 1) above which a document is rejected, and the guards below which it isn't judged.
-MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.62
+#: A document of n words is rejected above the distance base + slack / sqrt(n): the histogram of a
+#: short text strays from its language by chance alone. Below the guards it isn't judged at all.
+CHAR_LIMIT = (0.16, 1.1)
+WORD_LIMIT = (0.12, 1.6)
 MIN_CHARS_JUDGED = 120
 MIN_WORDS_JUDGED = 40
 
@@ -143,9 +144,11 @@ def with_verdict(df: DataFrame, refs: dict) -> DataFrame:
         df = df.withColumn("char_distance", F.array_min(F.array(*chars))).withColumn("word_distance", F.array_min(F.array(*words)))
     else:
         df = df.withColumn("_q_bins", F.lit(None)).withColumn("char_distance", F.lit(0.0)).withColumn("word_distance", F.lit(0.0))
-    bad = ((F.col("word_chars") >= MIN_CHARS_JUDGED) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
-        (F.col("_q_n") >= MIN_WORDS_JUDGED) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+    limit = lambda base, slack: base + slack / F.sqrt(F.col("_q_n"))
+    bad = ((F.col("word_chars") >= MIN_CHARS_JUDGED) & (F.col("char_distance") > limit(*CHAR_LIMIT))) | (
+        (F.col("_q_n") >= MIN_WORDS_JUDGED) & (F.col("word_distance") > limit(*WORD_LIMIT))
     )
+    bad = F.coalesce(bad, F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
