@@ -1,18 +1,22 @@
 """Operators for preparing training data. Nothing outside this folder imports it but the entry file."""
 
+from importlib import import_module
+
+#: Query name by module; each module has the query under this name and its ORACLE_SQL (or None).
+MODULES = {
+    "packing": "op1_packing",
+    "exact_dedup": "op2_exact_dedup",
+    "mixing": "op3_mixing",
+    "quality_qda": "op4_quality_classifier",
+    "quality_rules": "op5_quality_rules",
+    "unit_dedup": "op9_substring_dedup",
+}
 
-def queries() -> dict:
-    from . import exact_dedup, mixing, quality_rules, unit_dedup
 
-    return {
-        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
-        "op3_mixing": mixing.op3_mixing,
-        "op5_quality_rules": quality_rules.op5_quality_rules,
-        "op9_substring_dedup": unit_dedup.op9_substring_dedup,
-    }
+def queries() -> dict:
+    return {name: getattr(import_module(f"{__name__}.{module}"), name) for module, name in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup
-
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    found = {name: import_module(f"{__name__}.{module}").ORACLE_SQL for module, name in MODULES.items()}
+    return {name: sql for name, sql in found.items() if sql}
