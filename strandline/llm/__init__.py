@@ -10,6 +10,7 @@ MODULES = {
     "quality_qda": "op4_quality_classifier",
     "quality_rules": "op5_quality_rules",
     "unit_dedup": "op9_substring_dedup",
+    "near_dedup": "op10_near_dedup",
 }
 
 
