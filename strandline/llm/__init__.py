@@ -9,6 +9,7 @@ MODULES = {
     "mixing": "op3_mixing",
     "quality_qda": "op4_quality_classifier",
     "quality_rules": "op5_quality_rules",
+    "suffix_dedup": "op8_suffix_dedup",
     "unit_dedup": "op9_substring_dedup",
     "near_dedup": "op10_near_dedup",
 }
