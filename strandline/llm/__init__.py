@@ -9,6 +9,8 @@ MODULES = {
     "mixing": "op3_mixing",
     "quality_qda": "op4_quality_classifier",
     "quality_rules": "op5_quality_rules",
+    "license_scan": "op6_license_scan",
+    "html_extract": "op7_html_extraction",
     "suffix_dedup": "op8_suffix_dedup",
     "unit_dedup": "op9_substring_dedup",
     "near_dedup": "op10_near_dedup",

@@ -65,3 +65,16 @@ def fresh(df: DataFrame, base: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs found in keep (doc_id, digest: the first bytes of the text's SHA-256), once each.
+
+    Texts are digested where they are read."""
+    keep = stored(keep.select(F.col("doc_id").alias("_keep_id"), F.substring("digest", 1, 16).alias("_keep_digest")), "keep")
+    marked = docs.withColumn("_digest", F.substring(F.unhex(F.sha2(text_or_empty(), 256)), 1, 16))
+    same = (F.col("_digest") == F.col("_keep_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id"))
+    # rows equal in doc_id and text are all found; only where there are any is a distinct needed
+    keys = docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("h")).groupBy("doc_id", "h").count()
+    out = marked.join(keep, same, "left_semi").drop("_digest")
+    return out.dropDuplicates(["doc_id", "text"]) if keys.where("count > 1").limit(1).count() else out

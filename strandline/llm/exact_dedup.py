@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch_path, stored, text_or_empty
+from .common import keep_rows, read, scratch_path, stored, text_or_empty
 
 
 class DigestIndex:
@@ -101,23 +101,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns: the first of each group by largest doc_id.
-
-    The text is hashed where it is read and only digests are shuffled; the rows that stay are found
-    again by (digest, doc_id) instead of carrying texts through a shuffle twice.
-    """
-    ruled = exact_dedup(docs)
-    keep = stored(ruled.where("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")), "kept-digests")
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text_or_empty(), 256)))
-    same = F.col("_digest") == F.col("_keep_digest")
-    out = marked.join(keep, same & F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return out.drop("_digest").dropDuplicates(docs.columns) if _repeats(ruled) else out.drop("_digest")
-
-
-def _repeats(ruled: DataFrame) -> bool:
-    """Whether some (doc_id, text) occurs more than once, which the semi-join cannot tell apart."""
-    pairs = ruled.where(F.col("group_size") > 1).groupBy("doc_id", "text_sha256").count()
-    return bool(pairs.where("count > 1").limit(1).count())
+    """The rows of docs that stay, with their own columns. Rows that repeat doc_id and text count once."""
+    ruled = exact_dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    return keep_rows(docs, ruled)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def _memberships(docs: DataFrame, sources: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, sources: str = "source", weights=(5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, size, pattern, source_size, target, taken, and ``_row``.
+    """One row per document: doc_id, size, pattern, source_size, target, taken, text_hash.
 
     sources names a string column or an array of strings. For a document in several sources,
     source_size and target are those of its first source. taken is at most repeats * size: whole
@@ -142,11 +142,12 @@ def mix(docs: DataFrame, sources: str = "source", weights=(5, 2, 1), share: floa
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64(text_or_empty()).alias("text_hash"),
             F.col(sources).alias("_sources"),
         ),
         "_sources",
     ).drop("_sources")
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
     rows = rows.withColumn("_hi", F.shiftrightunsigned("_h", 54)).withColumn("_lo", F.shiftrightunsigned("_h", 44).bitwiseAND(1023))
     rows = stored(rows, "mix-sizes")
     tally = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
@@ -195,7 +196,7 @@ def _select(rows: DataFrame, plan: DataFrame, repeats: int) -> DataFrame:
     edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_before")))).drop("_before")
     both = sure.select(*edge.columns).unionByName(edge)
     taken = F.least(F.col("passes") * F.col("size") + F.col("_extra"), F.lit(repeats) * F.col("size"))
-    return both.select("doc_id", "size", "pattern", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("_seeded"))
+    return both.select("doc_id", "size", "pattern", "source_size", "target", taken.cast("long").alias("taken"), "text_hash")
 
 
 def _ends(ranges: DataFrame, plan: DataFrame, by: str) -> DataFrame:
@@ -209,6 +210,18 @@ def _ends(ranges: DataFrame, plan: DataFrame, by: str) -> DataFrame:
     return out.withColumn("passes", passes).withColumn("rest", F.col("q") - F.col("passes") * F.col("all")).drop("q", "quota", "all")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, to whole passes: a pass over at least half of a
+    document counts. Rows equal in doc_id and text share what is taken of them alike."""
+    passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    plan = mix(docs, **options).select("doc_id", "text_hash", passes.cast("int").alias("passes"))
+    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.floor(F.avg("passes") + 0.5).cast("int").alias("_mix_passes"))
+    plan = plan.where("_mix_passes > 0")
+    same = (F.xxhash64(text_or_empty()) == F.col("_mix_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))
+    many = docs.join(plan, same).withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.col("_mix_passes"))))
+    return many.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, read, stored
+from .common import discard, keep_rows, read, stored
 from .shingles import SHINGLE_WORDS, mix, shingles
 
 BANDS, ROWS = 36, 7
@@ -221,7 +221,7 @@ def merge_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept (true for one row of each class).
+    """One row per document: doc_id, class_id, class_size, kept (true for one row of each class), digest.
 
     class_id is the least doc_id of the class.
     """
@@ -278,15 +278,20 @@ def _result(signed: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFram
     full = stored(
         groups.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("digest", "n", F.coalesce("cls", "rep").alias("cls")), "text-classes"
     )
-    rows = stored(signed.select("row", "doc_id", "digest").join(full.select("digest", "cls"), "digest").select("row", "doc_id", "cls"), "row-classes")
+    rows = stored(signed.select("row", "doc_id", "digest").join(full.select("digest", "cls"), "digest").select("row", "doc_id", "cls", "digest"), "row-classes")
     classes = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(stored(classes, "class-sizes"), "cls").select(
-        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept")
+        "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), "digest"
     )
 
 
+def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs for each class, with the columns of docs."""
+    return keep_rows(docs, near_classes(docs, threshold).where("kept").select("doc_id", "digest"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(read(spark, sf_dir, "documents"))
+    return near_classes(read(spark, sf_dir, "documents")).drop("digest")
 
 
 ORACLE_SQL = None

@@ -162,8 +162,9 @@ def keep_good(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs alone."""
     refs = references(docs) if refs is None else refs
     slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"), F.col("text"))
-    out = judge(slim, refs).where("kept")
-    return out.select(*[F.col("_q_row").getField(c).alias(c) for c in docs.columns])
+    # a filter would be pushed down through all the projections, which makes its expression explode;
+    # a generator that yields the row or nothing stays where it is
+    return judge(slim, refs).select(F.inline(F.when(F.col("kept"), F.array("_q_row"))))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
