@@ -120,7 +120,7 @@ class SumOfSquares:
 
 def _packer(path: str | None, capacity: int, with_ids: bool):
     def run(batches):
-        tok, packer = WordTokenizer(path), SumOfSquares(capacity)
+        tok, packer = WordTokenizer.shared(path), SumOfSquares(capacity)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         made = 0
         end = np.array([END_ID], np.uint32)

@@ -13,6 +13,17 @@ from itertools import chain
 import numpy as np
 
 WORD_FILE = "word_bpe_49k.json"
+_PART = "\x01"
+_HELD: dict = {}
+_MARKS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
+_ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _plain(text: str | None) -> bytes:
+    """The bytes of a text, ASCII letters in lower case, as the tokenizer's normaliser has them; not
+    where a special token could stand in it, since those are matched before normalising."""
+    raw = (text or "").encode("utf-8", "replace")
+    return raw if b"<|" in raw else raw.lower()
 
 
 def tokenizer_path(name: str = WORD_FILE) -> str:
@@ -22,32 +33,90 @@ def tokenizer_path(name: str = WORD_FILE) -> str:
 
 
 class WordTokenizer:
-    def __init__(self, path: str | None = None, cache_words: int = 400_000):
+    def __init__(self, path: str | None = None, cache_words: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path or tokenizer_path())
         self.limit = cache_words
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        if ids("Some Word,") != ids("some") + ids("word") + ids(",") or len(ids(_PART)) != 1:
+            raise ValueError("only for tokenizers that lower the case, drop white space and part words from punctuation")
+        self.part = ids(_PART)[0]
         self._clear()
 
+    @classmethod
+    def shared(cls, path: str | None = None) -> WordTokenizer:
+        """The one of this worker process, with the words that earlier tasks have met."""
+        if path not in _HELD:
+            _HELD[path] = cls(path)
+        return _HELD[path]
+
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.lens = np.empty(0, np.int64)
         self.starts = np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = [x.ids for x in self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has. Words are encoded in long
+        lines, parted by a word that stands for nothing else; those that hold its character go alone."""
+        lines = [f" {_PART} ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
+        got = [np.asarray(x.ids, np.uint32) for x in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
+        ids, lens = [], []
+        for line, k in zip(got, range(0, len(words), 1000), strict=True):
+            part = line == self.part
+            cuts = np.concatenate([[-1], np.flatnonzero(part), [len(line)]])
+            if len(cuts) - 1 != len(words[k : k + 1000]):
+                raise ValueError("the parting word is not one token of its own")
+            ids.append(line[~part])
+            lens.append(np.diff(cuts) - 1)
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def _enter(self, words: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
         base = len(self.index)
         self.index.update(zip(words, range(base, base + len(words)), strict=True))
-        lens = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, self.flat.size + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after the other, and where each ends."""
+        lens = self.lens[codes]
+        ends = np.cumsum(lens)
+        at = np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at], ends
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Enter new words. A letter or digit ends a token, so a word that ends in punctuation has the
+        ids of what stands before it and then those of the punctuation."""
+        whole, cut = [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and len(core) < len(w) and core[-1] in _ENDS and b"<|" not in w:
+                cut.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        basic = set(whole)
+        for _, core, tail in cut:
+            basic.add(core)
+            basic.add(tail)
+        basic = sorted(basic.difference(self.index))
+        if basic:
+            plain = [w.decode("utf-8", "replace") for w in basic]
+            if any(_PART in w for w in plain):
+                own = [self.tok.encode(w, add_special_tokens=False).ids for w in plain]
+                self._enter(basic, np.fromiter(chain.from_iterable(own), np.uint32), np.array([len(x) for x in own], np.int64))
+            else:
+                self._enter(basic, *self._ids(plain))
+        if cut:
+            codes = np.array([[self.index[core], self.index[tail]] for _, core, tail in cut]).ravel()
+            flat, ends = self._gather(codes)
+            self._enter([w for w, _, _ in cut], flat, np.diff(np.concatenate([[0], ends[1::2]])))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; None is an empty text."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        split = [_plain(t).split() for t in texts]
         words = list(chain.from_iterable(split))
         new = set(words).difference(self.index)
         if len(self.index) + len(new) > self.limit and self.index:
@@ -56,10 +125,6 @@ class WordTokenizer:
         if new:
             self._learn(sorted(new))
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lens = self.lens[codes]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(total)
-        ids = self.flat[at]
+        ids, ends = self._gather(codes)
         bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
