@@ -54,18 +54,50 @@ def _has(slots: Column, values: list[int]) -> Column:
     return F.arrays_overlap(slots, F.array(*[F.lit(int(v)) for v in values])) if values else F.lit(False)
 
 
-def composition(slots, text: list[int], image: list[int], hash_slots: list[int]) -> Column:
-    """What a token is made of: text_only, image_only, text_image, hash_only or unknown; the hash slot
-    does not count beside text or image."""
+def composition(slots, text: list[int], image: list[int], hash_slot: int = -1) -> Column:
+    """What an array of slots is made of: mixed, text, image, hash or unknown. The hash slot does not count
+    beside text or image; slots that belong to nothing add '_with_unknown'."""
     slots = col(slots)
-    t, i, h = _has(slots, text), _has(slots, image), _has(slots, hash_slots)
-    return F.when(t & i, "text_image").when(t, "text_only").when(i, "image_only").when(h, "hash_only").otherwise("unknown")
+    t, i, h = _has(slots, text), _has(slots, image), _has(slots, [hash_slot] if hash_slot >= 0 else [])
+    known = F.array(*[F.lit(int(v)) for v in [*text, *image, *([hash_slot] if hash_slot >= 0 else [])]])
+    kind = F.when(t & i, "mixed").when(t, "text").when(i, "image").when(h, "hash").otherwise("unknown")
+    return F.when(F.size(F.array_except(slots, known)) > 0, F.concat(kind, F.lit("_with_unknown"))).otherwise(kind)
 
 
-def transition(left, right) -> Column:
-    """The sorted pair of two operands' compositions."""
+def has_hash(slots, hash_slot: int) -> Column:
+    return F.array_contains(col(slots), hash_slot) if hash_slot >= 0 else F.lit(False)
+
+
+def output_label(kind) -> Column:
+    """The label of a merged token's composition."""
+    k = col(kind)
+    names = {"text": "text_only", "image": "image_only", "mixed": "text_image", "hash": "hash_only"}
+    out = k
+    for name, label in names.items():
+        out = F.when(k == name, label).otherwise(out)
+    return out
+
+
+def transition(left, right, left_hash, right_hash) -> Column:
+    """The class of an unordered pair of operands, from their compositions and whether they hold the hash slot.
+    A null composition (an operand that cannot be resolved) is unknown."""
     a, b = col(left), col(right)
-    return F.concat(F.least(a, b), F.lit("+"), F.greatest(a, b))
+    low, high = F.least(a, b), F.greatest(a, b)
+    mixed_last = F.concat(F.when(high == "mixed", high).otherwise(low), F.lit("_"), F.when(high == "mixed", low).otherwise(high))
+    return (
+        F.when(a.isNull() | b.isNull(), "unknown")
+        .when(left_hash | right_hash | (a == "hash") | (b == "hash"), "hash_related")
+        .when(a.contains("unknown") | b.contains("unknown"), "unknown")
+        .when(a == b, F.concat(a, F.lit("_"), b))
+        .when((low == "image") & (high == "text"), "text_image")
+        .when((low == "mixed") | (high == "mixed"), F.when(low == "mixed", F.concat(low, F.lit("_"), high)).otherwise(mixed_last))
+        .otherwise(F.concat(low, F.lit("_"), high))
+    )
+
+
+def phase_group(name) -> Column:
+    n = col(name)
+    return F.when(n.isin("text_text", "image_image", "text_image", "hash_related"), n).when(n.startswith("mixed"), "mixed_related").otherwise("unknown")
 
 
 def phase(step, last, bins: int) -> Column:
