@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The character references that built-in unescaping covers; others go through the
 # Python fallback ``unescape``.
@@ -25,7 +26,7 @@ def unescape_common(c) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else None)
 

@@ -26,7 +26,7 @@ def _literal(line: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repair(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: _literal(x) if isinstance(x, str) else None)
 
