@@ -7,11 +7,14 @@ registers are surely hit are never drawn (early termination; the limit is double
 still has an empty register). Two registers agree with the probability Jaccard similarity of the two
 documents. Bands of registers make buckets; candidate pairs are verified exactly on the words.
 
-Equal texts are collapsed first. Buckets are never turned into all their pairs: in each round, every
-document of a bucket meets one random member of another class of that bucket, and verified links merge
-classes, so a bucket of thousands of near copies costs a few comparisons for each of them. When a round
-finds no link, the pairs of different classes that are left in unresolved buckets are verified too, so
-no candidate is lost. Classes are connected components, found by distributed hooking and pointer jumping.
+Equal texts are collapsed first. Of the documents that share a bucket, those are set apart of whose shingle
+mass more than a fifth is found in no other of them: the similarity of two distributions is at most the
+mass that they share, so such a document has no near duplicate. Buckets are never turned into all their
+pairs: in two rounds every document of a bucket meets one member of another class, first the one with the
+most shared mass and then a random one, and verified links merge classes, so a bucket of thousands of near
+copies costs a few comparisons for each of them. Only pairs that are still in different classes after that,
+and that the bound on shared mass does not rule out, are verified one by one, so no candidate is lost.
+Classes are connected components, found by distributed hooking and pointer jumping.
 
 Defined results for odd input: a null text is an empty one; texts without words have no shingles and only
 equal ones meet; a text of fewer than five words is one shingle; rows that repeat are copies of each
@@ -234,42 +237,75 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = reps.select("row", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     member = stored(member.join(shared, "band"), "buckets")
+    texts = stored(signed.select("row", "z").join(member.select("row").distinct(), "row", "left_semi"), "candidates")
+    able = stored(_able(texts, threshold), "able")
+    member = member.join(able, "row")
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    member = stored(member.join(shared, "band"), "buckets")
     labels = stored(member.select("row", F.col("row").alias("cls")).distinct(), "classes")
-    texts = stored(signed.select("row", "z").join(labels.select("row"), "row", "left_semi"), "candidates")
-    tested, turn = None, 0
-    while True:
-        turn += 1
+    old, texts = texts, stored(texts.join(labels.select("row"), "row", "left_semi"), "candidates")
+    discard(spark, old)
+    tested = None
+    for turn in (1, 2, 3):
         now = member.join(labels, "row")
-        here = F.struct(F.xxhash64("cls", F.lit(turn)).alias("c"), F.col("cls"), F.xxhash64("row", F.lit(turn)).alias("h"), F.col("row"))
-        ends = now.groupBy("band").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo.cls != hi.cls")
-        open_ = now.join(ends, "band")
-        other = F.when(F.col("cls") != F.col("lo.cls"), F.col("lo.row")).otherwise(F.col("hi.row"))
-        pairs = open_.select(F.least("row", other).alias("a"), F.greatest("row", other).alias("b")).distinct()
-        found, links = _round(pairs, tested, texts, threshold, turn)
-        if found:
-            labels = merge_classes(labels, links)
-            tested = found if tested is None else tested.unionByName(found)
-            if not links.isEmpty():
-                continue
-        # no link came of this round: whatever pairs of different classes are left are verified as well
-        one = now.join(ends.select("band"), "band").select("band", "row", "cls")
-        two = one.select("band", F.col("row").alias("row2"), F.col("cls").alias("cls2"))
-        rest = one.join(two, "band").where("row < row2 and cls != cls2").select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
-        found, links = _round(rest, tested, texts, threshold, turn)
-        if found and not links.isEmpty():
-            labels = merge_classes(labels, links)
-        break
+        by = F.struct(F.col("held"), F.col("n"), F.col("row")) if turn == 1 else F.struct(F.xxhash64("cls", F.lit(turn)), F.xxhash64("row", F.lit(turn)), F.col("row"))
+        here = F.struct(by.alias("by"), "cls", "row", "n", "c")
+        ends = now.groupBy("band").agg(F.max(here).alias("x"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high").select("band", "x")
+        if turn < 3:
+            pairs = now.join(ends, "band").where("cls != x.cls").select("row", "n", "c", F.col("x.row").alias("row2"), F.col("x.n").alias("n2"), F.col("x.c").alias("c2"))
+            pairs = pairs.where(_possible(threshold))
+        else:
+            one = now.join(ends.select("band"), "band").select("band", "row", "cls", "n", "c")
+            two = one.select("band", *[F.col(x).alias(f"{x}2") for x in ("row", "cls", "n", "c")])
+            pairs = one.join(two, (one.band == two.band) & (F.col("row") < F.col("row2")) & (F.col("cls") != F.col("cls2")) & _possible(threshold))
+        pairs = pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
+        found = _round(pairs, tested, texts, threshold, turn)
+        labels = merge_classes(labels, found.where("linked").select("a", "b"))
+        tested = found if tested is None else tested.unionByName(found)
     return _result(signed, groups, labels)
 
 
-def _round(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame, threshold: float, turn: int):
-    """Verify pairs not verified before: (all of them or None, the linked ones)."""
+def _round(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs (a, b) not verified before, with linked."""
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    out = stored(_verify(pairs, texts, threshold), f"pairs-{turn}")
-    if out.isEmpty():
-        return None, None
-    return out, out.where("linked").select("a", "b")
+    return stored(_verify(pairs, texts, threshold), f"pairs-{turn}")
+
+
+def _possible(threshold: float):
+    """Whether two documents without repeated shingles can be similar, from how many shingles each has (n)
+    and how many of those any other has (c); others have n = 0 and are not ruled out here."""
+    both = F.least(F.col("c"), F.col("c2"))
+    return (F.col("n") == 0) | (F.col("n2") == 0) | (both >= threshold * (F.col("n") + F.col("n2") - both) - 1e-6)
+
+
+def _able(texts: DataFrame, threshold: float) -> DataFrame:
+    """(row, held, n, c) of documents of whose shingle mass at least threshold occurs in another one."""
+    sh = stored(texts.mapInArrow(_shingle_shares, "row long, h long, share float, n int"), "shingles")
+    known = sh.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    held = sh.join(known, "h", "left_semi").groupBy("row").agg(F.sum(F.col("share").cast("double")).alias("held"), F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("c"))
+    return held.where(F.col("held") >= threshold - 1e-4)
+
+
+def _shingle_shares(batches):
+    """Compressed texts -> distinct shingles with their share of the text's mass; n is their number where none
+    is repeated, else 0."""
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rows = batch.column("row").to_numpy(zero_copy_only=False)
+        texts = [plain.decompress(z) for z in batch.column("z").to_pylist()]
+        for a, b in _chunks(texts):
+            doc, sh = shingles(texts[a:b])
+            key = sh ^ mix(doc.astype(np.uint64) + np.uint64(1))
+            _, at, weight = np.unique(key, return_index=True, return_counts=True)
+            doc, sh = doc[at], sh[at]
+            mass, distinct = np.bincount(doc, weight, minlength=b - a), np.bincount(doc, minlength=b - a)
+            n = np.where(mass == distinct, distinct, 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[a:b][doc]), pa.array(sh.view(np.int64)), pa.array((weight / mass[doc]).astype(np.float32)), pa.array(n[doc].astype(np.int32))], names=["row", "h", "share", "n"]
+            )
 
 
 def _result(signed: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
