@@ -44,7 +44,8 @@ def _units(unit: str, min_words: int):
             ids, rows, texts = batch.column(0), batch.column(1), batch.column(2)
             out = ([], [], [], [], [])
             for k, text in enumerate(texts.to_pylist()):
-                for a, b in unit_spans(text or "", unit):
+                text = text or ""
+                for a, b in unit_spans(text, unit):
                     piece = text[a:b]
                     if b - a >= 2 * min_words - 1 and len(piece.split()) >= min_words:
                         for col, x in zip(out, (k, a, b, hashlib.sha256(_normal(piece).encode("utf-8", "surrogatepass")).digest()[:16]), strict=False):
