@@ -1,0 +1,258 @@
+"""Packing, exact deduplication, mixing, quality rules, the classifier and line hashing on small inputs."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import exact_dedup, mixing, packing, quality_qda, quality_rules, tokens, unit_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [
+    (1, None, "en", "a", 0),
+    (2, "", None, None, 0),
+    (3, "   \n\t", "xx", "b", 5),
+    (4, "one", "en", "a", 3),
+    (4, "one", "en", "a", 3),
+    (None, "the of and " * 30, "en", "b", 300),
+    (6, "the cat sat on the mat and the dog was in the house of the king " * 2000, "en", "c", None),
+    (7, "Éa ünï 日本語 \x00 x\x1fy " * 5, "de", "c", 9),
+]
+
+
+def table(spark, rows, extra=True):
+    df = spark.createDataFrame(rows, SCHEMA)
+    # columns whose names an operator might use itself
+    return df.withColumn("size", F.lit("x")).withColumn("row", F.lit(None).cast("int")).withColumn("digest", F.lit(1)) if extra else df
+
+
+def random_rows(seed, n=60):
+    rng = np.random.default_rng(seed)
+    words = ["w%d" % k for k in range(40)] + ["the", "of", "and"]
+    rows = []
+    for k in range(n):
+        lines = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(rng.integers(1, 6))]
+        text = "\n".join(lines)
+        if k > 5 and rng.random() < 0.3:
+            text = rows[int(rng.integers(0, k))][1]
+        rows.append((k, text, "en", f"s{int(rng.integers(0, 4))}" if rng.random() < 0.9 else None, len(text)))
+    return rows
+
+
+def test_words_give_the_same_ids_as_whole_texts():
+    tok = tokens.WordTokenizer()
+    texts = ["it's a TEST,'s of <|endoftext|> and <|ENDOFTEXT|>!!", "ÀÉ ΑΣ ΑΣ. İx 1234 ###a a### x\x01y", "日本語テキスト é’s ,’s don't", "", " \n", "a\u0085b c　d", None]
+    for t, ids in zip(texts, tok.encode(texts), strict=True):
+        assert list(ids) == tok.tok.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("rows", [ODD, random_rows(1), []])
+def test_packing_round_trip(spark, rows):
+    got = packing.pack(table(spark, rows), with_ids=True).collect()
+    tok = tokens.WordTokenizer()
+    want = Counter((r[0], tuple(int(x) for x in tok.encode([r[1]])[0]) + (1,)) for r in rows)
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        pieces[r["doc_id"], r["doc_tokens"]].append(r)
+        windows[r["sequence_id"]].append(r)
+    for rs in windows.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)  # nothing is padded
+    total = Counter()
+    for (key, n), rs in pieces.items():
+        total[key] += sum(r["length"] for r in rs)
+        assert sum(r["length"] for r in rs) % n == 0
+    expect = Counter()
+    for (key, ids), c in want.items():
+        expect[key] += len(ids) * c
+    assert total == expect
+
+
+def test_packer_prefers_levels_that_lower_the_squares():
+    p = packing.SumOfSquares(16)
+    list(p.add("a", np.arange(10)))
+    list(p.add("b", np.arange(10)))
+    assert p.count[10] == 2
+    assert p.level(6) == 10  # completing a window of a crowded level
+    done = list(p.add("c", np.arange(6)))
+    assert len(done) == 1 and p.count[10] == 1
+    p = packing.SumOfSquares(16, max_open=2)
+    for k in range(50):
+        for w in p.add(k, np.arange(1 + k % 15)):
+            assert sum(len(x[2]) for x in w) == 16
+        assert p.open <= 2
+
+
+@pytest.mark.parametrize("rows", [ODD, random_rows(2), []])
+def test_exact_dedup(spark, rows):
+    got = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    assert len(got) == len(rows)
+    kept = defaultdict(int)
+    for r in got:
+        kept[r["text_sha256"]] += r["kept"]
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+    for text, ids in groups.items():
+        h = hashlib.sha256(text.encode()).hexdigest()
+        mine = [r for r in got if r["text_sha256"] == h]
+        top = max((i for i in ids if i is not None), default=None)
+        assert kept[h] == 1 and {(r["keep_id"], r["group_size"]) for r in mine} == {(top, len(ids))}
+
+
+def test_index_remembers_across_batches_and_sessions(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "doc_id long, text string")
+    b = spark.createDataFrame([(9, "x"), (8, "z")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    assert index.add(a).where("kept").count() == 2
+    index.close()
+    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    got = {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in again.add(b).collect()}
+    assert got == {9: (1, False, 2), 8: (8, True, 1)}
+    assert again.rows().count() == 3
+    again.close()
+
+
+@pytest.mark.parametrize("rows", [ODD, random_rows(3)])
+def test_kept_documents_keep_their_columns(spark, rows):
+    docs = table(spark, rows)
+    out = exact_dedup.kept_documents(docs)
+    assert out.columns == docs.columns and out.count() == len({r[1] or "" for r in rows})
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_mix_meets_its_targets(spark, seed):
+    rows = random_rows(seed, 200)
+    got = mixing.mix(table(spark, rows)).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    targets = mixing.source_targets(sizes)
+    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    taken = Counter()
+    for r in got:
+        s = r["pattern"][0] if r["pattern"] else None
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(targets[s]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= 1
+    again = mixing.mix(table(spark, rows).repartition(5)).collect()
+    key = lambda rs: sorted((r["doc_id"], r["taken"]) for r in rs)
+    assert key(got) == key(again)
+
+
+def test_mix_of_odd_and_empty_tables(spark):
+    got = mixing.mix(table(spark, ODD)).collect()
+    assert len(got) == len(ODD) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert mixing.mix(table(spark, [])).count() == 0
+    assert mixing.mixed_documents(table(spark, ODD)).columns == table(spark, ODD).columns
+
+
+def test_overlapping_sources_share_their_documents(spark):
+    rows = [(k, "w " * 10, ["a", "b"] if k % 2 else ["a"]) for k in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), weights=(1, 1)).collect()
+    assert sum(r["taken"] for r in got) == pytest.approx(600, abs=2)
+
+
+def test_flow_repeats_only_when_it_must():
+    quota = mixing.route({("a",): 100, ("a", "b"): 100, ("b",): 100}, {"a": 150.0, "b": 150.0})
+    assert sum(quota.values()) == pytest.approx(300) and all(v == pytest.approx(100) for v in quota.values())
+    quota = mixing.route({("a",): 100, ("b",): 100}, {"a": 180.0, "b": 50.0})
+    assert quota["a",] == pytest.approx(180) and quota["b",] == pytest.approx(50)
+
+
+def base(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    at = defaultdict(list)
+    for k in range(len(w) - 7):
+        at[tuple(w[k : k + 8])].append(k)
+    covered = {k + j for v in at.values() if len(v) > 1 for k in v for j in range(8)}
+    n = len(w)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n
+
+
+@pytest.mark.parametrize("rows", [ODD, random_rows(6), []])
+def test_quality_base_counts(spark, rows):
+    got = quality_rules.judge(table(spark, rows)).collect()
+    names = ("_q_n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter((r["doc_id"], *(r[c] for c in names)) for r in got) == Counter((r[0], *base(r[1])) for r in rows)
+    assert all(not (r["kept"] and r["base_failed"]) for r in got)
+
+
+def test_quality_rejects_what_strays_from_its_language(spark):
+    rng = np.random.default_rng(0)
+    common = quality_rules.COMMON_WORDS["en"]
+    clean = [" ".join(rng.choice(common + ["house", "river", "walked", "green", "stone", "market"] * 4, 150)) for _ in range(40)]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(clean)]
+    rows += [(100, " ".join(w + "###" for w in clean[0].split()), "en", "s", 0), (101, clean[1].upper(), "en", "s", 0)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(table(spark, rows)).collect()}
+    assert [k for k, v in got.items() if not v] == [100, 101]
+    docs = table(spark, rows)
+    out = quality_rules.keep_good(docs)
+    assert out.columns == docs.columns and out.count() == 40
+
+
+def test_classifier_learns_and_survives_odd_rows(spark):
+    rng = np.random.default_rng(0)
+    rows, labels = [], []
+    for k in range(300):
+        good = k % 3 > 0
+        text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"], rng.integers(30, 90)))
+        rows.append((k, text if good else re.sub(r"(\w+)", r"\1#%", text).upper(), "en", "s", 0))
+        labels.append((k, int(good), 0))
+    docs = table(spark, rows + ODD)
+    lab = spark.createDataFrame(labels + [(4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_qda.classify(docs, lab).collect()
+    assert len(got) == len(rows) + len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] >= 10]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) >= 0.97 * len(held)
+    none = quality_qda.classify(docs, lab.where("quality = 1")).collect()
+    assert {r["score"] for r in none} == {0.5}
+    assert quality_qda.classify(table(spark, []), lab).count() == 0
+
+
+def lines_left(rows, min_words):
+    out, seen = {}, set()
+    for k, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        at, keep, spans = 0, r[1] or "", []
+        for line in (r[1] or "").split("\n"):
+            if len(line.split()) >= min_words:
+                norm = " ".join(line.casefold().split())
+                if norm in seen:
+                    spans.append((at, at + len(line)))
+                seen.add(norm)
+            at += len(line) + 1
+        for a, b in reversed(spans):
+            keep = keep[:a] + keep[b:]
+        out[k] = (keep, spans)
+    return out
+
+
+@pytest.mark.parametrize("rows", [ODD, random_rows(7, 80), []])
+def test_line_dedup(spark, rows):
+    got = unit_dedup.dedup_units(table(spark, rows).coalesce(1), min_words=8).collect()
+    want = lines_left(rows, 8)
+    assert Counter((r["doc_id"], r["kept_text"], tuple((s["start"], s["end"]) for s in r["spans"] or [])) for r in got) == Counter(
+        (rows[k][0], t, tuple(s)) for k, (t, s) in want.items()
+    )
+
+
+def test_paragraph_units():
+    assert unit_dedup.unit_spans("ab\n\ncd\ne", "paragraph") == [(0, 2), (4, 8)]
