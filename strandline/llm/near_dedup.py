@@ -12,9 +12,11 @@ mass more than a fifth is found in no other of them: the similarity of two distr
 mass that they share, so such a document has no near duplicate. Buckets are never turned into all their
 pairs: in two rounds every document of a bucket meets one member of another class, first the one with the
 most shared mass and then a random one, and verified links merge classes, so a bucket of thousands of near
-copies costs a few comparisons for each of them. Only pairs that are still in different classes after that,
-and that the bound on shared mass does not rule out, are verified one by one, so no candidate is lost.
-Classes are connected components, found by distributed hooking and pointer jumping.
+copies costs a few comparisons for each of them. The documents of buckets that still hold several classes
+then go through an exact prefix filter: with shingles ordered from rare to frequent, two documents that
+share 0.8 of their mass have a shingle in common among those that make up the first 0.2 of each. Pairs of
+different classes with such a shingle are verified one by one, so no candidate of a bucket is lost. Classes
+are connected components, found by distributed hooking and pointer jumping.
 
 Defined results for odd input: a null text is an empty one; texts without words have no shingles and only
 equal ones meet; a text of fewer than five words is one shingle; rows that repeat are copies of each
@@ -30,7 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, keep_rows, read, stored
@@ -238,7 +240,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     member = stored(member.join(shared, "band"), "buckets")
     texts = stored(signed.select("row", "z").join(member.select("row").distinct(), "row", "left_semi"), "candidates")
-    able = stored(_able(texts, threshold), "able")
+    shares = stored(texts.mapInArrow(_shingle_shares, "row long, h long, share float, n int"), "shingles")
+    able = stored(_able(shares, threshold), "able")
     member = member.join(able, "row")
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     member = stored(member.join(shared, "band"), "buckets")
@@ -246,18 +249,19 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     old, texts = texts, stored(texts.join(labels.select("row"), "row", "left_semi"), "candidates")
     discard(spark, old)
     tested = None
-    for turn in (1, 2, 3):
+    for turn in (1, 2, 3, 4):
         now = member.join(labels, "row")
-        by = F.struct(F.col("held"), F.col("n"), F.col("row")) if turn == 1 else F.struct(F.xxhash64("cls", F.lit(turn)), F.xxhash64("row", F.lit(turn)), F.col("row"))
+        draw = F.xxhash64("row", F.pmod("band", F.lit(4)), F.lit(turn))  # a few different members over the bands
+        by = F.struct(F.col("held"), F.col("n"), F.col("row")) if turn == 1 else F.struct(draw, F.col("row"))
         here = F.struct(by.alias("by"), "cls", "row", "n", "c")
-        ends = now.groupBy("band").agg(F.max(here).alias("x"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high").select("band", "x")
-        if turn < 3:
-            pairs = now.join(ends, "band").where("cls != x.cls").select("row", "n", "c", F.col("x.row").alias("row2"), F.col("x.n").alias("n2"), F.col("x.c").alias("c2"))
+        ends = now.groupBy("band").agg(F.max(here).alias("x"), F.min(here).alias("y"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
+        if turn < 4:
+            met = now.join(ends.select("band", F.array("x", "y").alias("other")), "band").select("row", "cls", "n", "c", F.explode("other").alias("o"))
+            pairs = met.where("cls != o.cls").select("row", "n", "c", F.col("o.row").alias("row2"), F.col("o.n").alias("n2"), F.col("o.c").alias("c2"))
             pairs = pairs.where(_possible(threshold))
         else:
-            one = now.join(ends.select("band"), "band").select("band", "row", "cls", "n", "c")
-            two = one.select("band", *[F.col(x).alias(f"{x}2") for x in ("row", "cls", "n", "c")])
-            pairs = one.join(two, (one.band == two.band) & (F.col("row") < F.col("row2")) & (F.col("cls") != F.col("cls2")) & _possible(threshold))
+            left = stored(now.join(ends.select("band"), "band").select("row", "cls", "n", "c").distinct(), "unresolved")
+            pairs = _prefix_pairs(shares, left, threshold)
         pairs = pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
         found = _round(pairs, tested, texts, threshold, turn)
         labels = merge_classes(labels, found.where("linked").select("a", "b"))
@@ -279,14 +283,33 @@ def _possible(threshold: float):
     return (F.col("n") == 0) | (F.col("n2") == 0) | (both >= threshold * (F.col("n") + F.col("n2") - both) - 1e-6)
 
 
-def _able(texts: DataFrame, threshold: float) -> DataFrame:
+def _able(shares: DataFrame, threshold: float) -> DataFrame:
     """(row, held, n, c) of documents of whose shingle mass at least threshold occurs in another one."""
-    sh = stored(texts.mapInArrow(_shingle_shares, "row long, h long, share float, n int"), "shingles")
-    known = sh.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    held = sh.join(known, "h", "left_semi").groupBy("row").agg(F.sum(F.col("share").cast("double")).alias("held"), F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("c"))
+    known = shares.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    held = shares.join(known, "h", "left_semi").groupBy("row").agg(F.sum(F.col("share").cast("double")).alias("held"), F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("c"))
     return held.where(F.col("held") >= threshold - 1e-4)
 
 
+def _prefix_pairs(shares: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (row, row2) of different classes that an exact prefix filter leaves.
+
+    The shingles of each row are ordered by how many of the rows have them, rare ones first. Two rows that
+    share a mass of threshold have a first common shingle before which neither has more than 1 - threshold of
+    its mass. Where no shingle of either is repeated, the similarity is that of sets: they share at least
+    t / (1 + t) * (n + n2) shingles, and what comes before the first common one counts against that."""
+    t = threshold
+    own = stored(shares.select("row", "h", "share").join(rows, "row"), "own-shingles")
+    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("row").orderBy("k", "h")
+    before = F.coalesce(F.sum(F.col("share").cast("double")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = own.join(often, "h").withColumn("before", before).withColumn("at", F.row_number().over(w) - 1)
+    one = stored(ranked.where((F.col("before") <= 1 - t + 1e-4) & (F.col("k") > 1)).select("row", "cls", "n", "c", "h", "at"), "prefixes")
+    two = one.select("h", *[F.col(x).alias(f"{x}2") for x in ("row", "cls", "n", "c", "at")])
+    sets = (F.col("n") > 0) & (F.col("n2") > 0)
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= t / (1 + t) * (F.col("n") + F.col("n2")) - 1e-6
+    return one.join(two, (one.h == two.h) & (F.col("row") < F.col("row2")) & (F.col("cls") != F.col("cls2")) & _possible(t) & (~sets | room))
+
+
 def _shingle_shares(batches):
     """Compressed texts -> distinct shingles with their share of the text's mass; n is their number where none
     is repeated, else 0."""
