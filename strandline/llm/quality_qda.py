@@ -96,7 +96,7 @@ def _moments(batches):
 class QDA:
     """Two Gaussians with shrunk covariances."""
 
-    def __init__(self, moments: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.01, temperature: float = 2.0):
+    def __init__(self, moments: np.ndarray, to_pooled: float = 0.5, to_identity: float = 0.01, temperature: float = 2.0):
         self.parts = None
         n = moments[:, 0, 0]
         d = moments.shape[1] - 1
