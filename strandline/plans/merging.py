@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import codes as C
+from strandline.operators import examples as X
 from strandline.operators import merge_log as L
 from strandline.operators import ranking as G
 from strandline.operators import vocabulary as M
@@ -140,10 +141,53 @@ def candidate_kinds(s, d):
     return L.candidate_exposure(both, kind).select("kind", "n", F.round("mass", 3).alias("mass"), F.round("largest", 3).alias("largest"))
 
 
+def merge_path_stages(s, d):
+    """How many stages the merge paths of the distinct tuples have."""
+    (vocab, _), _ = _trained(s, d)
+    return X.path_report(X.merge_paths(slot_items(s, d), vocab))
+
+
+def history_policies(s, d):
+    """Token counts of the catalogue under each history policy."""
+    (vocab, _), _ = _trained(s, d)
+    items = slot_items(s, d)
+    paths = kept(items.join(X.merge_paths(items, vocab), "feats"), "paths")
+    out = None
+    for policy in ("raw", "full", "middle", "random"):
+        one = X.history_tokens(paths, policy, ["item"]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("n_tokens")).select(F.lit(policy).alias("policy"), "n", "n_tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def model_examples(s, d):
+    """Evaluation examples: up to twenty items of history, item by item encoded, and the target's atoms."""
+    from strandline.operators.interactions import last_window
+
+    (vocab, _), _ = _trained(s, d)
+    items = slot_items(s, d)
+    tokens = X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]).select("item", "tokens")
+    labels = X.label_atoms(items, vocab).select("item", "label")
+    w = last_window(sequences(purchases(s, d), "user", "item", ORDER), 20).where(F.size("window") > 1)
+    w = w.select("user", F.element_at("window", -1).alias("target"), F.posexplode(F.slice("window", F.lit(1), F.size("window") - 1)).alias("pos", "item"))
+    h = w.join(tokens, "item").groupBy("user", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("h"), F.count(F.lit(1)).cast("int").alias("n_items"))
+    rows = h.join(labels.withColumnRenamed("item", "target"), "target").select("user", "n_items", "label", F.flatten(F.transform("h", lambda x: x["tokens"])).alias("tokens"))
+    n = len(vocab)
+    out = X.assemble(rows, 64, 4, n, n + 1)
+    return out.select("user", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
+
+
+def label_tokens(s, d):
+    """The atoms of every item as tokens."""
+    items = slot_items(s, d)
+    atoms = M.initial_vocabulary(items).orderBy("token").collect()  # bounded by the code books
+    vocab = M.Vocabulary([(r["slot"], r["code"]) for r in atoms])
+    return X.label_atoms(items, vocab).select("item", F.array_join("label", " ").alias("label"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
+        merge_path_stages, history_policies, model_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
         merge_outputs, merge_transitions, merge_phases, merge_examples, merge_exposure, slot_permutation, candidate_kinds,
     )
 }
@@ -161,6 +205,9 @@ _TOTAL = "SELECT a, b, round(sum(w), 4) AS mass, count(DISTINCT user) AS n_seque
 
 SQL = {
     "initial_vocabulary": ATOMS,
+    "label_tokens": f"""
+        SELECT item, string_agg(token, ' ' ORDER BY slot) AS label
+        FROM (SELECT item, unnest([0, 1, 2]) AS slot, unnest(feats) AS code FROM ({SLOT_ITEMS})) JOIN ({ATOMS}) USING (slot, code) GROUP BY item""",
     "token_states": f"SELECT user, pos, array_to_string(state, ' ') AS state FROM ({STATES})",
     "pair_masses": _TOTAL.format(f"{_INSIDE} UNION ALL {_CROSS}"),
     "best_pair": f"{_TOTAL.format(_INSIDE)} ORDER BY sum(w) DESC, a, b LIMIT 1",
