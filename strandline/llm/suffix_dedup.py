@@ -38,6 +38,7 @@ from .shingles import _BYTES, _DOWN, _UP, mix
 MATCH, GRAM = 200, 40
 BLOCK = 1 << 20  # string starts of one block of a very long text
 BATCHES = 4
+HOT = 256  # contexts of one gram that one task compares
 
 
 class Prints:
@@ -137,25 +138,91 @@ def _places(batches):
             )
 
 
-def _strings(batches):
-    """Compressed texts with ranges of starts -> a fingerprint of each string that starts there."""
+def _contexts(batches):
+    """Compressed texts with ranges of starts -> the bytes that the strings of each range cover."""
     import zstandard
 
     plain = zstandard.ZstdDecompressor()
     for batch in batches:
         z, ranges = batch.column("z"), batch.column("ranges")
+        out = [[] for _ in range(6)]
         for k in range(batch.num_rows):
             text = plain.decompress(z[k].as_py())
-            want = np.concatenate([np.arange(r["lo"], r["lo"] + r["more"] + 1) for r in ranges[k].as_py()])
-            want.sort()
-            for o in range(0, len(text), BLOCK):
-                own = want[(want >= o) & (want < o + BLOCK)]
-                if len(own):
-                    h = Prints(text[o : o + BLOCK + MATCH - 1]).of(own - o, own - o + MATCH)
-                    one = pa.array(np.full(len(own), k))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("k1").take(one), batch.column("k2").take(one), pa.array(own), pa.array(h.view(np.int64))], names=["k1", "k2", "lo", "w"]
-                    )
+            for r in ranges[k].as_py():
+                row = (k, r["h1"], r["hot"], r["lo"], r["more"], text[r["lo"] : r["lo"] + r["more"] + MATCH])
+                for col, x in zip(out, row, strict=True):
+                    col.append(x)
+        one = pa.array(out[0], pa.int64())
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+        cols = [pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("k1").take(one), batch.column("k2").take(one), *cols], names=["k1", "k2", "h1", "hot", "lo", "more", "bytes"])
+
+
+def _string_prints(context: list[bytes], more: np.ndarray):
+    """(context number, start in it, fingerprint) of every string of every context."""
+    sizes = more.astype(np.int64) + MATCH
+    begins = np.cumsum(sizes) - sizes
+    n = more.astype(np.int64) + 1
+    which = np.repeat(np.arange(len(context)), n)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = begins[which] + place
+    return which, place, Prints(b"".join(context)).of(at, at + MATCH)
+
+
+def _columns(tables: list[pa.RecordBatch]):
+    t = pa.Table.from_batches(tables)
+    return {n: t.column(n).to_numpy() if n != "bytes" else t.column(n).to_pylist() for n in t.schema.names}
+
+
+def _compare(batches):
+    """Contexts sorted by gram -> ranges of starts (k1, k2, lo, more) of strings that occur twice in their group.
+
+    Whole groups are compared at once; a group has at most HOT contexts."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush(tables):
+        c = _columns(tables)
+        if not len(c["h1"]):
+            return
+        which, place, w = _string_prints(c["bytes"], c["more"])
+        key = mix(w ^ mix(c["h1"].view(np.uint64)[which]))
+        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        twice = np.flatnonzero(n[back] > 1)
+        if len(twice):
+            d, q = which[twice], place[twice]
+            cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (q[1:] != q[:-1] + 1)]))
+            stop = np.concatenate([cut[1:], [len(d)]]) - 1
+            own = d[cut]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c["k1"][own]), pa.array(c["k2"][own]), pa.array(c["lo"][own] + q[cut]), pa.array((q[stop] - q[cut]).astype(np.int32))], names=["k1", "k2", "lo", "more"]
+            )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h1").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        last = int(starts[-1])  # the last group may go on in the next batch
+        same = held and held[-1].column("h1")[-1].as_py() == h[0]
+        if size >= 4096 and (last > 0 or not same):
+            yield from flush([*held, batch.slice(0, last)] if same or last else held)
+            held, size = [batch.slice(last)], batch.num_rows - last
+        else:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield from flush(held)
+
+
+def _strings(batches):
+    """Contexts -> a fingerprint of each of their strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2048):
+            c = _columns([batch.slice(a, 2048)])
+            which, place, w = _string_prints(c["bytes"], c["more"])
+            key = mix(w ^ mix(c["h1"].view(np.uint64)[which]))
+            yield pa.RecordBatch.from_arrays([pa.array(c["k1"][which]), pa.array(c["k2"][which]), pa.array(c["lo"][which] + place), pa.array(key.view(np.int64))], names=["k1", "k2", "lo", "w"])
 
 
 def _compress(batches):
@@ -290,18 +357,24 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # one representative of each repeated span with the same gram
     part = hot.where("whole is null")
     one = hot.where("whole").groupBy("prefix", "h1", "h2").agg(F.min(F.struct("k1", "k2", "lo", "more")).alias("at"))
-    one = one.join(part.select("prefix", "h1").distinct(), ["prefix", "h1"], "left_semi").select("at.*")
-    ends = part.select("k1", "k2", "lo", "more").unionByName(one)
-    ends = ends.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more")).alias("ranges"))
+    one = one.join(part.select("prefix", "h1").distinct(), ["prefix", "h1"], "left_semi").select("at.*", "prefix", "h1")
+    ends = stored(part.select("k1", "k2", "lo", "more", "prefix", "h1").unionByName(one), "suffix-ends")
+    # contexts of one gram are compared in one place, unless they are many: those meet string by string
+    many = ends.groupBy("prefix", "h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("prefix", "h1", F.lit(True).alias("hot"))
+    marked = ends.join(many, ["prefix", "h1"], "left").withColumn("hot", F.col("hot").isNotNull())
+    ranges = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more", "h1", "hot")).alias("ranges"))
     zipped = keyed.select("k1", "k2", "text", "doc_id").mapInArrow(_compress, "k1 long, k2 long, doc_id long, z binary")
-    some = zipped.join(ends, ["k1", "k2"]).select("k1", "k2", "z", "ranges")
-    strings = stored(some.mapInArrow(_strings, "k1 long, k2 long, lo long, w long"), "suffix-strings")
+    some = zipped.join(ranges, ["k1", "k2"]).select("k1", "k2", "z", "ranges")
+    contexts = stored(some.mapInArrow(_contexts, "k1 long, k2 long, h1 long, hot boolean, lo long, more int, bytes binary"), "suffix-contexts")
+    discard(spark, ends)
     release(spark)
+    cold = contexts.where("not hot").drop("hot").repartition("h1").sortWithinPartitions("h1").mapInArrow(_compare, "k1 long, k2 long, lo long, more int")
+    strings = stored(contexts.where("hot").drop("hot").mapInArrow(_strings, "k1 long, k2 long, lo long, w long"), "suffix-strings")
     twice = strings.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    held = strings.join(twice, "w", "left_semi").select("k1", "k2", "lo", F.lit(0).alias("more"))
+    held = strings.join(twice, "w", "left_semi").select("k1", "k2", "lo", F.lit(0).alias("more")).unionByName(cold)
     cover = hot.where("whole").select("k1", "k2", "lo", "more").unionByName(held)
     cover = stored(cover.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more")).alias("cover")), "suffix-cover")
-    discard(spark, strings, hot)
+    discard(spark, strings, contexts, hot)
     release(spark)
     return zipped.join(cover, ["k1", "k2"], "left").select("doc_id", "z", "cover").mapInArrow(
         _remove, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
