@@ -71,10 +71,18 @@ def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of docs found in keep (doc_id, digest: the first bytes of the text's SHA-256), once each.
 
     Texts are digested where they are read."""
-    keep = stored(keep.select(F.col("doc_id").alias("_keep_id"), F.substring("digest", 1, 16).alias("_keep_digest")), "keep")
-    marked = docs.withColumn("_digest", F.substring(F.unhex(F.sha2(text_or_empty(), 256)), 1, 16))
-    same = (F.col("_digest") == F.col("_keep_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id"))
+    kept_id, kept_digest, digest, n = (fresh(docs, x) for x in ("_keep_id", "_keep_digest", "_digest", "_n"))
+    keep = stored(keep.select(F.col("doc_id").alias(kept_id), F.substring("digest", 1, 16).alias(kept_digest)), "keep")
+    marked = docs.withColumn(digest, F.substring(F.unhex(F.sha2(text_or_empty(), 256)), 1, 16))
+    same = (F.col(digest) == F.col(kept_digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id))
     # rows equal in doc_id and text are all found; only where there are any is a distinct needed
-    keys = docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias("h")).groupBy("doc_id", "h").count()
-    out = marked.join(keep, same, "left_semi").drop("_digest")
-    return out.dropDuplicates(["doc_id", "text"]) if keys.where("count > 1").limit(1).count() else out
+    keys = docs.select(F.col("doc_id"), F.xxhash64(text_or_empty()).alias(n)).groupBy("doc_id", n).count()
+    out = marked.join(keep, same, "left_semi").drop(digest)
+    return out.dropDuplicates(["doc_id", "text"]) if keys.where(F.col("count") > 1).limit(1).count() else out
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df, if a second pass is sure to see the same rows in the same order, as plain scans of files do; else
+    df as a written table. Operators that number rows and read their input twice need this."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, "input") if any(x in plan for x in ("Exchange", "Join", "Aggregate", "ExistingRDD", "Sample", "InPandas", "InArrow")) else df

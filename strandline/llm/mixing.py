@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import WORD, read, stored, text_or_empty
+from .common import WORD, fresh, read, stored, text_or_empty
 
 RANGES = 1024  # hash ranges of each of the two levels
 
@@ -215,10 +215,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     document counts. Rows equal in doc_id and text share what is taken of them alike."""
     passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     plan = mix(docs, **options).select("doc_id", "text_hash", passes.cast("int").alias("passes"))
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.floor(F.avg("passes") + 0.5).cast("int").alias("_mix_passes"))
-    plan = plan.where("_mix_passes > 0")
-    same = (F.xxhash64(text_or_empty()) == F.col("_mix_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))
-    many = docs.join(plan, same).withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.col("_mix_passes"))))
+    mix_id, mix_hash, times, turn = (fresh(docs, x) for x in ("_mix_id", "_mix_hash", "_mix_passes", "_mix_pass"))
+    plan = plan.groupBy(F.col("doc_id").alias(mix_id), F.col("text_hash").alias(mix_hash)).agg(F.floor(F.avg("passes") + 0.5).cast("int").alias(times))
+    plan = plan.where(F.col(times) > 0)
+    same = (F.xxhash64(text_or_empty()) == F.col(mix_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(mix_id))
+    many = docs.join(plan, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
     return many.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import read, repeatable, stored
 
 SPLITS = {"line": "\n", "paragraph": "\n\n"}
 MIN_WORDS = 20
@@ -81,9 +81,8 @@ def _cut(batches):
 def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, kept_text, n_removed_chars, spans (array of start, end)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = base.sparkSession
-    # a row number that does not change if a task runs again: rows of one file split come in file order
-    base = base.withColumn("_row", F.monotonically_increasing_id())
+    # a row number that is the same in both passes: rows of one file split come in file order
+    base = repeatable(base).withColumn("_row", F.monotonically_increasing_id())
     kinds = "doc_id long, _row long, start long, end long, digest binary"
     units = stored(base.select("doc_id", "_row", "text").mapInArrow(_units(unit, min_words), kinds), "units")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "start")
