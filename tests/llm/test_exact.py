@@ -28,7 +28,9 @@ ODD = [
 def table(spark, rows, extra=True):
     df = spark.createDataFrame(rows, SCHEMA)
     # columns whose names an operator might use itself
-    return df.withColumn("size", F.lit("x")).withColumn("row", F.lit(None).cast("int")).withColumn("digest", F.lit(1)) if extra else df
+    for name in ("size", "digest", "_digest", "_keep_id", "_mix_id", "_row", "bands", "z"):
+        df = df.withColumn(name, F.lit("x")) if extra else df
+    return df.withColumn("row", F.lit(None).cast("int")) if extra else df
 
 
 def random_rows(seed, n=60):
