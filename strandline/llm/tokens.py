@@ -33,7 +33,7 @@ def tokenizer_path(name: str = WORD_FILE) -> str:
 
 
 class WordTokenizer:
-    def __init__(self, path: str | None = None, cache_words: int = 1_500_000):
+    def __init__(self, path: str | None = None, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -43,7 +43,10 @@ class WordTokenizer:
         if ids("Some Word,") != ids("some") + ids("word") + ids(",") or len(ids(_PART)) != 1:
             raise ValueError("only for tokenizers that lower the case, drop white space and part words from punctuation")
         self.part = ids(_PART)[0]
-        self._clear()
+        self.index: dict[bytes, int] = {}
+        self.lens = np.empty(0, np.int64)
+        self.starts = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
 
     @classmethod
     def shared(cls, path: str | None = None) -> WordTokenizer:
@@ -52,12 +55,6 @@ class WordTokenizer:
             _HELD[path] = cls(path)
         return _HELD[path]
 
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.lens = np.empty(0, np.int64)
-        self.starts = np.empty(0, np.int64)
-        self.flat = np.empty(0, np.uint32)
-
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has. Words are encoded in long
         lines, parted by a word that stands for nothing else; those that hold its character go alone."""
@@ -119,12 +116,14 @@ class WordTokenizer:
         split = [_plain(t).split() for t in texts]
         words = list(chain.from_iterable(split))
         new = set(words).difference(self.index)
-        if len(self.index) + len(new) > self.limit and self.index:
-            self._clear()
-            new = set(words)
+        held, size = len(self.index), len(self.flat)
         if new:
             self._learn(sorted(new))
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         ids, ends = self._gather(codes)
+        if held >= self.limit:  # the cache is full of words that came early, the frequent ones among them
+            for _ in range(len(self.index) - held):
+                self.index.popitem()
+            self.starts, self.lens, self.flat = self.starts[:held].copy(), self.lens[:held].copy(), self.flat[:size].copy()
         bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
