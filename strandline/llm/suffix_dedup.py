@@ -38,7 +38,9 @@ from .shingles import _BYTES, _DOWN, _UP, mix
 MATCH, GRAM = 200, 40
 BLOCK = 1 << 20  # string starts of one block of a very long text
 BATCHES = 4
-HOT = 256  # contexts of one gram that one task compares
+#: Contexts of one gram that one task compares: at most 3 MB of bytes and a million strings, less than a second
+#: of work. Grams with more contexts take the way by single strings, which has no hot group at all.
+HOT = 8_192
 
 
 class Prints:
@@ -100,7 +102,14 @@ def anchors(blocks: list[bytes]):
     return block, p - begins[block], lo - begins[block], hi - begins[block], prefix.astype(np.int32), h1.view(np.int64), h2.view(np.int64)
 
 
-def _groups(items: list, most: int = 2_000_000):
+def _parts(batches, rows: int = 512):
+    """Small slices of Arrow batches: what a task holds as Python objects stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def _groups(items, most: int = 250_000):
     """Runs of blocks that together stay small."""
     run, size = [], 0
     for x in items:
@@ -119,16 +128,16 @@ def _bytes(column) -> list[bytes]:
 
 def _suffixes(batches):
     """Texts -> two suffix keys of each anchor, counted over a run of texts."""
-    for batch in batches:
-        for run in _groups(list(pieces(_bytes(batch.column(0))))):
+    for batch in _parts(batches):
+        for run in _groups(pieces(_bytes(batch.column(0)))):
             _, _, _, _, prefix, h1, h2 = anchors([b for _, _, b in run])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix, prefix])), pa.array(np.concatenate([h1, h2]))], names=["prefix", "h"])
 
 
 def _places(batches):
     """Documents -> their anchors."""
-    for batch in batches:
-        for run in _groups(list(pieces(_bytes(batch.column(2))))):
+    for batch in _parts(batches):
+        for run in _groups(pieces(_bytes(batch.column(2)))):
             block, _, lo, hi, prefix, h1, h2 = anchors([b for _, _, b in run])
             row = pa.array(np.array([k for k, _, _ in run], np.int64)[block])
             off = np.array([o for _, o, _ in run], np.int64)[block]
@@ -143,7 +152,7 @@ def _contexts(batches):
     import zstandard
 
     plain = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in _parts(batches):
         z, ranges = batch.column("z"), batch.column("ranges")
         out = [[] for _ in range(6)]
         for k in range(batch.num_rows):
@@ -198,14 +207,12 @@ def _compare(batches):
                 [pa.array(c["k1"][own]), pa.array(c["k2"][own]), pa.array(c["lo"][own] + q[cut]), pa.array((q[stop] - q[cut]).astype(np.int32))], names=["k1", "k2", "lo", "more"]
             )
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _parts(batches, 1024):
         h = batch.column("h1").to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         last = int(starts[-1])  # the last group may go on in the next batch
         same = held and held[-1].column("h1")[-1].as_py() == h[0]
-        if size >= 4096 and (last > 0 or not same):
+        if size >= 1024 and (last > 0 or not same):
             yield from flush([*held, batch.slice(0, last)] if same or last else held)
             held, size = [batch.slice(last)], batch.num_rows - last
         else:
@@ -217,19 +224,18 @@ def _compare(batches):
 
 def _strings(batches):
     """Contexts -> a fingerprint of each of their strings."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2048):
-            c = _columns([batch.slice(a, 2048)])
-            which, place, w = _string_prints(c["bytes"], c["more"])
-            key = mix(w ^ mix(c["h1"].view(np.uint64)[which]))
-            yield pa.RecordBatch.from_arrays([pa.array(c["k1"][which]), pa.array(c["k2"][which]), pa.array(c["lo"][which] + place), pa.array(key.view(np.int64))], names=["k1", "k2", "lo", "w"])
+    for batch in _parts(batches):
+        c = _columns([batch])
+        which, place, w = _string_prints(c["bytes"], c["more"])
+        key = mix(w ^ mix(c["h1"].view(np.uint64)[which]))
+        yield pa.RecordBatch.from_arrays([pa.array(c["k1"][which]), pa.array(c["k2"][which]), pa.array(c["lo"][which] + place), pa.array(key.view(np.int64))], names=["k1", "k2", "lo", "w"])
 
 
 def _compress(batches):
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in _parts(batches):
         z = [press.compress(t) for t in _bytes(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(z, pa.binary())], names=["k1", "k2", "doc_id", "z"])
 
@@ -239,7 +245,7 @@ def _remove(batches):
     import zstandard
 
     plain = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in _parts(batches):
         out = [[], [], []]
         for z, cover in zip(batch.column("z").to_pylist(), batch.column("cover").to_pylist(), strict=True):
             text = plain.decompress(z)
