@@ -25,20 +25,27 @@ def scale(v, by) -> Column:
     return F.transform(col(v), lambda x: x.cast("double") * by)
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once for a row: inside a lambda, a column expression would be
+    computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(v, strict: bool = False) -> Column:
     """Unit length. A zero vector stays zero, or raises where strict."""
-    n = norm(v)
-    if strict:
-        n = F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double"))
-    else:
-        n = F.greatest(n, F.lit(TINY))
-    return F.transform(col(v), lambda x: x.cast("double") / n)
+
+    def unit(a: Column) -> Column:
+        n = norm(a)
+        safe = F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double")) if strict else F.greatest(n, F.lit(TINY))
+        return bind(F.struct(a.alias("a"), safe.alias("n")), lambda s: F.transform(s["a"], lambda x: x.cast("double") / s["n"]))
+
+    return bind(col(v), unit)
 
 
 def cosine(a, b) -> Column:
     """0 where either vector is zero."""
-    d = norm(a) * norm(b)
-    return F.when(d == 0, F.lit(0.0)).otherwise(dot(a, b) / d)
+    both = F.struct(dot(a, b).alias("d"), (norm(a) * norm(b)).alias("n"))
+    return bind(both, lambda s: F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["d"] / s["n"]))
 
 
 def prefix(v, size: int, strict: bool = True) -> Column:
@@ -50,7 +57,8 @@ def fuse(a, b, weight: float = 1.0, normalise_inputs: bool = True, final: bool =
     """Concatenation with the second vector weighted."""
     if normalise_inputs:
         a, b = normalise(a), normalise(b)
-    both = F.concat(F.transform(col(a), lambda x: x.cast("double")), scale(b, F.lit(float(weight))))
+    parts = F.struct(col(a).alias("a"), col(b).alias("b"))
+    both = bind(parts, lambda s: F.concat(F.transform(s["a"], lambda x: x.cast("double")), scale(s["b"], F.lit(float(weight)))))
     return normalise(both) if final else both
 
 
