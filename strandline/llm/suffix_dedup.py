@@ -367,7 +367,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     ends = stored(part.select("k1", "k2", "lo", "more", "prefix", "h1").unionByName(one), "suffix-ends")
     # contexts of one gram are compared in one place, unless they are many: those meet string by string
     many = ends.groupBy("prefix", "h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("prefix", "h1", F.lit(True).alias("hot"))
-    marked = ends.join(many, ["prefix", "h1"], "left").withColumn("hot", F.col("hot").isNotNull())
+    # a table of its own: else its grouping would also deal the rows of the join, hot grams and all
+    marked = ends.join(stored(many, "suffix-hot"), ["prefix", "h1"], "left").withColumn("hot", F.col("hot").isNotNull())
     ranges = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more", "h1", "hot")).alias("ranges"))
     zipped = keyed.select("k1", "k2", "text", "doc_id").mapInArrow(_compress, "k1 long, k2 long, doc_id long, z binary")
     some = zipped.join(ranges, ["k1", "k2"]).select("k1", "k2", "z", "ranges")
