@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import read, repeatable, stored
 
 SPLITS = {"line": "\n", "paragraph": "\n\n"}
-MIN_WORDS = 20
+MIN_WORDS = 1
 
 
 def _normal(unit: str) -> str:

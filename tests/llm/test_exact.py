@@ -256,5 +256,14 @@ def test_line_dedup(spark, rows):
     )
 
 
+def test_repeated_short_lines_go(spark):
+    rows = [(k, f"Share  this page\n\nown line {k}\nMENU" if k else "share this page\nmenu", "en", "a", 0) for k in range(4)]
+    got = unit_dedup.dedup_units(table(spark, rows).coalesce(1)).collect()
+    assert {r["doc_id"]: r["kept_text"] for r in got} == {0: "share this page\nmenu"} | {k: f"\n\nown line {k}\n" for k in range(1, 4)}
+    want = lines_left(random_rows(8, 80), 1)
+    got = unit_dedup.dedup_units(table(spark, random_rows(8, 80)).coalesce(1)).collect()
+    assert Counter(r["kept_text"] for r in got) == Counter(t for t, _ in want.values())
+
+
 def test_paragraph_units():
     assert unit_dedup.unit_spans("ab\n\ncd\ne", "paragraph") == [(0, 2), (4, 8)]
