@@ -1,9 +1,10 @@
-"""Substring deduplication by line (or paragraph) hashing.
+"""Substring deduplication by hashing of lines, paragraphs or sentences.
 
-Texts are cut into units, units are normalised (case folded, white space runs to one space) and
+Texts are cut into units (a sentence ends with its line at the latest, so that repeated lines are runs of
+repeated sentences, and the blanks behind a sentence belong to it), units are normalised (case folded, white space runs to one space) and
 digested where the text is read; only digests of units with at least ``min_words`` words are
 shuffled. Per digest the earliest occurrence by (doc_id, offset) is kept, found by a partial
-aggregation, so a line that stands in a third of all documents costs one row per task. All other
+aggregation, so a unit that stands in a third of all documents costs one row per task. All other
 occurrences are removed, and each document keeps the offsets (in code points) of what it lost.
 
 Defined results for odd input: a null text is an empty one; a null doc_id ranks after all others;
@@ -14,6 +15,7 @@ an internal row number next; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ from .common import read, repeatable, stored
 
 SPLITS = {"line": "\n", "paragraph": "\n\n"}
 MIN_WORDS = 1
+PIECE = 256
+_END = re.compile(r"[.!?\u2026]+[\"'\u00bb\u201c\u201d\u2019)\]]*\s+|[\u3002\uff01\uff1f]+[\u300d\u300f]*\s*")
 
 
 def _normal(unit: str) -> str:
@@ -30,7 +34,13 @@ def _normal(unit: str) -> str:
 
 
 def unit_spans(text: str, unit: str = "line") -> list[tuple[int, int]]:
-    """(start, end) of each unit, without its separator."""
+    """(start, end) of each unit, without its separator; sentences include the blanks behind them."""
+    if unit == "sentence":
+        out = []
+        for a, b in unit_spans(text):
+            cuts = [m.end() for m in _END.finditer(text, a, b)]
+            out += zip([a, *cuts], [*cuts, b], strict=True)
+        return [(a, b) for a, b in out if a < b]
     sep, out, at = SPLITS[unit], [], 0
     for x in text.split(sep):
         out.append((at, at + len(x)))
@@ -38,9 +48,16 @@ def unit_spans(text: str, unit: str = "line") -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(batches):
+    """Slices of few rows, so that a worker holds the units of few documents as Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PIECE):
+            yield batch.slice(a, PIECE)
+
+
 def _units(unit: str, min_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, rows, texts = batch.column(0), batch.column(1), batch.column(2)
             out = ([], [], [], [], [])
             for k, text in enumerate(texts.to_pylist()):
@@ -61,7 +78,7 @@ def _units(unit: str, min_words: int):
 
 def _cut(batches):
     """Text, spans to remove (ascending) and unit separator length -> what is left."""
-    for batch in batches:
+    for batch in _pieces(batches):
         texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
         left, lost = [], []
         for text, cut in zip(texts, spans, strict=True):
@@ -94,7 +111,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_units(read(spark, sf_dir, "documents"))
+    out = dedup_units(read(spark, sf_dir, "documents"), "sentence")
     return out.select(
         "doc_id",
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_units_removed"),

@@ -265,5 +265,31 @@ def test_repeated_short_lines_go(spark):
     assert Counter(r["kept_text"] for r in got) == Counter(t for t, _ in want.values())
 
 
+def test_sentence_units_cover_their_lines():
+    text = 'One two. "Three!"  Four? 1.5 five\n\n  six.\u3002\u65e5\u672c\u3002\u8a9e \n.'
+    spans = unit_dedup.unit_spans(text, "sentence")
+    assert [text[a:b] for a, b in spans] == ["One two. ", '"Three!"  ', "Four? ", "1.5 five", "  six.\u3002", "\u65e5\u672c\u3002", "\u8a9e ", "."]
+    assert {k for a, b in spans for k in range(a, b)} == {k for k, c in enumerate(text) if c != "\n"}
+
+
+def test_query_finds_passages_inside_lines(spark, tmp_path):
+    passage = " ".join(" ".join(f"w{k}x{j}" for j in range(12)) + "." for k in range(5))
+    rows = [(1, f"Start one. {passage} end one"), (2, f"Begin two. {passage} end two"), (3, f"end\none {passage}"), (4, passage)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in unit_dedup.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    first = len(passage.split(". ")[0]) + 2
+    assert [got[k]["n_kept_chars"] for k in (1, 2, 3, 4)] == [len(rows[0][1]), len("Begin two. end two"), len("end\none ") + first, 0]
+    for k, text in rows:
+        left = text
+        for s in reversed(got[k]["removed_spans"]):
+            left = left[: s["start"]] + left[s["end"] :]
+        assert hashlib.sha256(left.encode()).hexdigest() == got[k]["kept_sha256"]
+    rows = random_rows(9, 80)
+    by_line, by_sentence = (
+        {r["doc_id"]: {k for s in r["spans"] or [] for k in range(s["start"], s["end"])} for r in unit_dedup.dedup_units(table(spark, rows).coalesce(1), unit).collect()} for unit in ("line", "sentence")
+    )
+    assert all(by_line[k] <= by_sentence[k] for k in by_line)
+
+
 def test_paragraph_units():
     assert unit_dedup.unit_spans("ab\n\ncd\ne", "paragraph") == [(0, 2), (4, 8)]
