@@ -2,7 +2,8 @@
 
 Template words are hashed in runs of GRAM; of every WINDOW neighbouring hashes the smallest is kept
 (winnowing), for templates and documents alike, so a run of GRAM + WINDOW - 1 equal words always shares a
-fingerprint. The templates' fingerprints form an inverted index: a list of bounded size that is given to
+fingerprint. A template shorter than that is looked up by all its runs of GRAM words (or by all its words, if
+they are fewer), and of documents all runs are compared with those. The templates' fingerprints form an inverted index: a list of bounded size that is given to
 the operator and travels with its function. Where a document's fingerprint is found there, the template is
 aligned with the words around that place inside a band of diagonals, and matches that cover enough of the
 template are reported with their spans.
@@ -59,6 +60,7 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "All-rights-reserved-statement": "All rights reserved",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission",
 }
 
@@ -76,12 +78,11 @@ def tokens(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
     return [low[a:b] for a, b in spans], spans
 
 
-def fingerprints(texts: list[bytes]):
-    """Winnowed fingerprints: text number, word number, hash, and the texts' word counts."""
+def hashed_words(texts: list[bytes]):
+    """Text number and hash of every word, and the texts' word counts."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    none = np.empty(0, np.int64)
     if not len(data):
-        return none, none, np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     ends = np.cumsum([len(t) + 1 for t in texts])
     solid = np.concatenate([[False], _WORD[data], [False]])
     turns = np.flatnonzero(solid[1:] != solid[:-1])
@@ -89,15 +90,32 @@ def fingerprints(texts: list[bytes]):
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[_LOWER[data]] * _UP.upto(len(data)), dtype=np.uint64)])
     words = mix((total[b] - total[a]) * _DOWN.upto(len(data))[a] + (b - a).astype(np.uint64))
     doc = np.searchsorted(ends, a, side="right")
-    n = np.bincount(doc, minlength=len(texts))
-    if len(words) < GRAM:
-        return none, none, np.empty(0, np.uint64), n
-    h = np.zeros(len(words) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
+    return doc, words, np.bincount(doc, minlength=len(texts))
+
+
+def _grams(doc, words, size: int):
+    """Hash of every run of size words, and whether it stays inside one text."""
+    if len(words) < size:
+        return np.empty(0, np.uint64), np.empty(0, bool)
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
         h = h * np.uint64(_BASE) + words[k : len(h) + k] + np.uint64(k + 1)
-    h = mix(h)
+    return mix(h), doc[size - 1 :] == doc[: len(h)]
+
+
+def runs(doc, words, n, size: int):
+    """All runs of size words: text number, word number and hash."""
+    h, inside = _grams(doc, words, size)
+    got = np.flatnonzero(inside)
+    return doc[got], got - (np.cumsum(n) - n)[doc[got]], h[got]
+
+
+def winnowed(doc, words, n):
+    """Winnowed runs of GRAM words: text number, word number and hash."""
+    h, inside = _grams(doc, words, GRAM)
+    if not len(h):
+        return np.empty(0, np.int64), np.empty(0, np.int64), h
     gdoc = doc[: len(h)]
-    inside = doc[GRAM - 1 :] == gdoc
     # a gram that runs into the next text takes no part; a window ends with its text
     key = np.where(inside, h, np.uint64(2**64 - 1))
     keep = np.zeros(len(h), bool)
@@ -112,7 +130,13 @@ def fingerprints(texts: list[bytes]):
     keep &= inside
     first = np.cumsum(n) - n
     got = np.flatnonzero(keep)
-    return gdoc[got], got - first[gdoc[got]], h[got], n
+    return gdoc[got], got - first[gdoc[got]], h[got]
+
+
+def fingerprints(texts: list[bytes]):
+    """Winnowed fingerprints: text number, word number, hash, and the texts' word counts."""
+    doc, words, n = hashed_words(texts)
+    return *winnowed(doc, words, n), n
 
 
 class TemplateIndex:
@@ -121,17 +145,35 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
         self.words = [tokens(templates[n].encode())[0] for n in self.names]
-        if any(len(w) < GRAM + WINDOW - 1 for w in self.words):
-            raise ValueError(f"a template needs {GRAM + WINDOW - 1} words at least")
-        doc, at, h, _ = fingerprints([templates[n].encode() for n in self.names])
+        if not all(self.words):
+            raise ValueError("a template needs a word at least")
         self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.keys = self._post([d for d, w in enumerate(self.words) if len(w) >= GRAM + WINDOW - 1], winnowed)
+        # keys of the short templates by the length of their runs
+        self.short: dict[int, np.ndarray] = {}
+        for size in range(1, GRAM + 1):
+            few = [d for d, w in enumerate(self.words) if len(w) < GRAM + WINDOW - 1 and min(len(w), GRAM) == size]
+            if few:
+                self.short[size] = self._post(few, lambda *x, size=size: runs(*x, size))
+
+    def _post(self, which: list[int], prints) -> np.ndarray:
+        doc, at, h = prints(*hashed_words([b" ".join(self.words[d]) for d in which]))
         for d, p, x in zip(doc.tolist(), at.tolist(), h.tolist(), strict=True):
-            self.posts[x].append((d, p))
-        self.keys = np.array(sorted(self.posts), np.uint64)
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.keys[k] == h
+            self.posts[x].append((which[d], p))
+        return np.array(sorted(set(h.tolist())), np.uint64)
+
+    def found(self, texts: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """By text number, (word number, fingerprint) of what is in the index."""
+        doc, words, n = hashed_words(texts)
+        places = defaultdict(list)
+        for keys, prints in [(self.keys, winnowed(doc, words, n)), *[(keys, runs(doc, words, n, size)) for size, keys in self.short.items()]]:
+            if not len(keys):
+                continue
+            own, at, h = prints
+            hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+            for d, p, x in zip(own[hit].tolist(), at[hit].tolist(), h[hit].tolist(), strict=True):
+                places[d].append((p, x))
+        return places
 
 
 def align(template: list[bytes], words: list[bytes], band: int):
@@ -173,7 +215,7 @@ def scan(text: bytes, index: TemplateIndex, places: list[tuple[int, int]], cover
     found = []
     for name, begins in starts.items():
         want = index.words[name]
-        band = 2 + len(want) // 8
+        band = min(2 + len(want) // 8, len(want) - 1)
         done = -(10**9)
         for s in sorted(begins):
             if s - done <= band:  # the last alignment's band has it
@@ -203,12 +245,7 @@ def _scanner(templates: dict[str, str], coverage: float):
                 while b < len(texts) and (b == a or size + len(texts[b]) <= BLOCK):
                     size += len(texts[b])
                     b += 1
-                doc, at, h, _ = fingerprints(texts[a:b])
-                hit = index.hits(h)
-                places = defaultdict(list)
-                for d, p, x in zip(doc[hit].tolist(), at[hit].tolist(), h[hit].tolist(), strict=True):
-                    places[d].append((p, x))
-                for d, own in places.items():
+                for d, own in sorted(index.found(texts[a:b]).items()):
                     text = texts[a + d]
                     for name, share, n, of, i, j in scan(text, index, own, coverage):
                         start = len(text[:i].decode("utf-8", "replace"))

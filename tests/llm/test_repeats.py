@@ -188,6 +188,26 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_short_templates(spark):
+    rows = [
+        (101, "Copyright. All rights reserved.\nÉ all  RIGHTS reserved, all rights reserved", "en", "s", 0),
+        (102, license_scan.TEMPLATES["All-rights-reserved"], "en", "s", 0),
+        (103, "all rights", "en", "s", 0),
+        (104, "reserved", "en", "s", 0),
+        (105, "w " * 500 + "All rights reserved " + "w " * 500, "en", "s", 0),
+        *ODD,
+    ]
+    got = sorted((r["doc_id"], r["start"], r["end"], r["license"]) for r in license_scan.scan_licenses(table(spark, rows)).collect())
+    short = "All-rights-reserved-statement"
+    assert got == [(101, 11, 30, short), (101, 34, 54, short), (101, 56, 75, short), (102, 0, len(rows[1][1]), "All-rights-reserved"), (105, 1000, 1019, short)]
+    few = {"one": "MIT", "two": "MIT License", "four": "no part of it"}
+    rows = [(1, "mit license mit license x mit", "en", "s", 0), (2, "no part of", "en", "s", 0), (3, "no part of it", "en", "s", 0)]
+    got = Counter((r["doc_id"], r["license"]) for r in license_scan.scan_licenses(table(spark, rows), few).collect())
+    assert got == {(1, "two"): 2, (1, "one"): 1, (3, "four"): 1}
+    with pytest.raises(ValueError):
+        license_scan.TemplateIndex({"none": " . "})
+
+
 def test_winnowing_shares_a_fingerprint_for_five_equal_words():
     rng = random.Random(1)
     for _ in range(50):
