@@ -71,10 +71,16 @@ def shuffled_states(s, d):
     return seqs.select("user", F.array_join(F.array_sort(C.shuffled("seq", "user")), " ").alias("items"))
 
 
+def shuffled_sequences(s, d):
+    """A repeatable permutation of the whole sequence of each customer."""
+    seqs = purchases(s, d).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "okey", "line", "item", "supp"))), lambda x: x["item"]).alias("seq"))
+    return seqs.select("user", F.array_join(C.shuffled("seq", "user"), " ").alias("items"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        first_hits, ranking_metrics, ranking_metrics_by_source, allowed_predictions, fused_rankings, invalid_shares, length_profile, length_gap, padded_inputs, shuffled_states,
+        first_hits, ranking_metrics, ranking_metrics_by_source, allowed_predictions, fused_rankings, invalid_shares, length_profile, length_gap, padded_inputs, shuffled_states, shuffled_sequences,
     )
 }
 

@@ -131,7 +131,7 @@ def first_with_image(s, d):
     return p.join(files, "item").orderBy("item").limit(1).select("item", "p_name", "s_name")
 
 
-def streamed_sequences(s, d):
+def _streamed(s, d):
     """User sequences from a stream of event files, committed batch by batch."""
     from strandline.streaming.sequences import append_batches, current_sequences
 
@@ -139,15 +139,24 @@ def streamed_sequences(s, d):
     schema = table(s, d, "events").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
     append_batches(stream, f"{root}/events", f"{root}/progress").awaitTermination()
-    seqs = current_sequences(s, f"{root}/events", "user_id", "event_id", ("ts", "event_id"))
-    return seqs.select("user_id", F.size("seq").cast("long").alias("n"), F.array_join(F.slice("seq", 1, 5), " ").alias("first_items"))
+    return current_sequences(s, f"{root}/events", "user_id", "event_id", ("ts", "event_id"))
+
+
+def streamed_sequences(s, d):
+    """Lengths and first items of the streamed sequences."""
+    return _streamed(s, d).select("user_id", F.size("seq").cast("long").alias("n"), F.array_join(F.slice("seq", 1, 5), " ").alias("first_items"))
+
+
+def streamed_sequences_whole(s, d):
+    """The streamed sequences with all their items."""
+    return _streamed(s, d).select("user_id", F.array_join("seq", " ").alias("items"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         user_sequences, user_positions, user_ids, item_ids, leave_one_out, prefix_windows, eval_windows, dataset_stats, merged_categories, item_sources,
-        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences,
+        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, streamed_sequences_whole,
     )
 }
 
@@ -203,4 +212,5 @@ SQL = {
         WHERE p_name <> '' AND s_acctbal > 0 ORDER BY item LIMIT 1""",
     "streamed_sequences": """
         SELECT user_id, count(*) AS n, array_to_string(list(event_id ORDER BY ts, event_id)[1:5], ' ') AS first_items FROM events GROUP BY user_id""",
+    "streamed_sequences_whole": "SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ' ') AS items FROM events GROUP BY user_id",
 }
