@@ -377,14 +377,15 @@ class Trainer:
             for pair, w in m.items():
                 self.total[pair] += w * self.counts[k]
                 self.where[pair].add(k)
-        self.heap = [(-w, pair) for pair, w in self.total.items()]
+        # rounded, so that equal masses are ties whatever the order in which they were summed
+        self.heap = [(-round(w, 9), pair) for pair, w in self.total.items()]
         heapq.heapify(self.heap)
         self.log: list[dict] = []
 
     def step(self) -> dict | None:
         while self.heap:
             w, pair = heapq.heappop(self.heap)
-            if -w > 1e-12 and self.total.get(pair) == -w:
+            if -w > 1e-12 and round(self.total.get(pair, 0.0), 9) == -w:
                 break
         else:
             return None
@@ -404,7 +405,7 @@ class Trainer:
             if abs(self.total[p]) < 1e-12:
                 self.total.pop(p)
             else:
-                heapq.heappush(self.heap, (-self.total[p], p))
+                heapq.heappush(self.heap, (-round(self.total[p], 9), p))
         n = len(self.vocab.atoms)
         record = {
             "event": "merge", "step": token - n + 1, "new_token": token, "left": pair[0], "right": pair[1], "priority": -w,

@@ -83,10 +83,7 @@ def provenance_classes_all(s, d):
 def _trained(s, d, size=160):
     seqs = purchases(s, d).join(slot_items(s, d), "item")
     rows = seqs.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "feats"))), lambda x: x["feats"]).alias("feats"))
-    # items are the unit here: the item-local vocabulary is learned from the catalogue's distinct tuples
-    one = rows.select("user", F.explode("feats").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    corpus = one.select(F.array("f").alias("feats"))
-    return M.train_vocabulary(corpus, size, cross=False), rows
+    return M.train_vocabulary(rows, size, cross=True), rows
 
 
 def trained_merges(s, d):
@@ -97,7 +94,7 @@ def trained_merges(s, d):
 
 def encoded_sequences(s, d):
     (vocab, _), rows = _trained(s, d)
-    out = M.encode_sequences(rows, vocab, "user", "none", "item")
+    out = M.encode_sequences(rows, vocab, "user", "none", "sequence")
     return out.select("user", F.array_join("tokens", " ").alias("tokens"))
 
 

@@ -1,6 +1,7 @@
 """The merge vocabulary against a slow trainer that recounts everything at each step."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -168,3 +169,27 @@ def test_transitions_of_five_records(spark):
     out = L.classified(spark.createDataFrame(rows, L.SCHEMA), [0, 1], [2, 3], 4)
     assert {r["step"]: r["transition"] for r in out.collect()} == {1: "text_text", 2: "image_image", 3: "text_image", 4: "mixed_text", 5: "hash_related"}
     assert {r["output"]: (r["n"], r["n_hash"]) for r in L.output_composition(out).collect()} == {"text_only": (2, 1), "image_only": (1, 0), "text_image": (2, 0)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_train_and_encode_whole_sequences(spark):
+    from strandline.plans import merging
+    from strandline.plans.inputs import purchases, slot_items
+
+    d = "/root/testdata/sf0.001"
+    feats = {r["item"]: list(r["feats"]) for r in slot_items(spark, d).collect()}
+    seqs: dict = {}
+    for r in sorted(purchases(spark, d).collect(), key=lambda r: (r["ts"], r["okey"], r["line"], r["item"], r["supp"])):
+        seqs.setdefault(r["user"], []).append(feats[r["item"]])
+    atoms = sorted({(k, c) for seq in seqs.values() for f in seq for k, c in enumerate(f)})
+    vocab = M.Vocabulary(atoms)
+    slow = slow_train(vocab, [([vocab.state(f) for f in seq], 1) for seq in seqs.values()], 160)
+    log = sorted(merging.trained_merges(spark, d).collect(), key=lambda r: r["step"])
+    assert [(r["new_token"], r["left"], r["right"]) for r in log] == [(len(atoms) + 1 + k, *pair) for k, pair in enumerate(slow.rules)]
+    assert [r["priority"] for r in log] == pytest.approx(slow.priority)
+    vocab = M.Vocabulary(atoms)
+    for r in log:
+        vocab.add(r["left"], r["right"], r["priority"])
+    got = {r["user"]: r["tokens"] for r in merging.encoded_sequences(spark, d).collect()}
+    for user, seq in seqs.items():
+        assert got[user] == " ".join(map(str, vocab.encode_best([vocab.state(f) for f in seq])))
