@@ -24,7 +24,6 @@ is kept is binary; extra columns are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 import gc
-import math
 import uuid
 
 import numpy as np
@@ -333,16 +332,16 @@ def release(spark: SparkSession) -> None:
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (removed runs of bytes: start, end), kept (binary).
 
-    Documents that come from files are indexed in batches of files; any other input is one batch.
+    The rows of docs itself are indexed, in batches by a hash of the text; how many only changes the work, not
+    the result. Each batch reads docs again, so an input of one file or none is one batch.
     """
     spark = docs.sparkSession
     text = text_or_empty().alias("text")
-    files = sorted(docs.inputFiles()) if batches > 1 else []
+    n = min(batches, len(docs.inputFiles())) if batches > 1 else 1
     family = SuffixLevels(spark)
-    if len(files) > 1:
-        step = math.ceil(len(files) / batches)
-        for a in range(0, len(files), step):
-            family.add(spark.read.schema(docs.schema).parquet(*files[a : a + step]).select(text))
+    if n > 1:
+        for k in range(n):
+            family.add(docs.where(F.pmod(F.xxhash64(text_or_empty()), F.lit(n)) == k).select(text))
             release(spark)
     else:
         family.add(docs.select(text))

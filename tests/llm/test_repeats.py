@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandline.llm import dom, html_extract, license_scan, near_dedup, shingles, suffix_dedup
@@ -60,6 +61,25 @@ def test_suffix_levels_over_batches_of_files(spark, tmp_path):
     assert Counter((r["doc_id"], bytes(r["kept"])) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("case", ["filtered", "renamed", "union"])
+def test_suffix_batches_hold_the_rows_of_docs(spark, tmp_path, case):
+    one, two = (" ".join(f"{x}{j}" for j in range(100)) for x in "xy")
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate([one, one, two, "short"])]
+    for k, r in enumerate(rows):
+        table(spark, [r], extra=False).coalesce(1).write.parquet(f"{tmp_path}/d{k}")
+    docs = spark.read.parquet(*[f"{tmp_path}/d{k}" for k in range(4)])
+    texts = {r[0]: r[1] for r in rows}
+    if case == "filtered":
+        docs, texts = docs.where("doc_id <> 0"), {k: t for k, t in texts.items() if k}
+    elif case == "renamed":
+        docs = docs.withColumnRenamed("text", "was").withColumn("text", F.concat(F.lit(one.upper()), F.col("doc_id").cast("string")))
+        texts = {k: one.upper() + str(k) for k in texts}
+    else:
+        docs, texts = docs.union(table(spark, [(9, two, "en", "s", 0)], extra=False)), texts | {9: two}
+    want = Counter((k, w[3]) for k, w in zip(texts, brute_removed(list(texts.values())), strict=True))
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+
+
 def test_levels_merge_geometrically(spark):
     family = suffix_dedup.SuffixLevels(spark)
     for k in range(5):
