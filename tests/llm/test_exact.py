@@ -293,3 +293,55 @@ def test_query_finds_passages_inside_lines(spark, tmp_path):
 
 def test_paragraph_units():
     assert unit_dedup.unit_spans("ab\n\ncd\ne", "paragraph") == [(0, 2), (4, 8)]
+
+
+def runs_left(rows, unit, min_run):
+    """The run rule on plain lists: what goes of each row, and its characters in repeated runs of any rank."""
+    texts = [r[1] or "" for r in rows]
+    units = [[(a, b, tuple(t[a:b].casefold().split())) for a, b in unit_dedup.unit_spans(t, unit) if t[a:b].split()] for t in texts]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    first, count = {}, Counter()
+    for k in order:
+        for j, (_, _, w) in enumerate(units[k]):
+            first.setdefault(w, (k, j))
+            count[w] += 1
+    out = []
+    for k in range(len(rows)):
+        gone, twice = [], 0
+        for kind in ("later", "any"):
+            run = []
+            for j, u in enumerate([*units[k], None]):
+                if u and (first[u[2]] != (k, j) if kind == "later" else count[u[2]] > 1):
+                    run.append(u)
+                    continue
+                if run and sum(len(x[2]) for x in run) >= min_run:
+                    if kind == "later":
+                        gone += [(x[0], x[1]) for x in run]
+                    else:
+                        twice += run[-1][1] - run[0][0]
+                run = []
+        out.append((rows[k][0], tuple(gone), twice))
+    return Counter(out)
+
+
+def clause_rows(seed, n):
+    rng = np.random.default_rng(seed)
+    stock = [" ".join(f"w{rng.integers(0, 50)}" for _ in range(rng.integers(1, 9))) + rng.choice([". ", ", ", "; ", "\n", "! "]) for _ in range(120)]
+    rows = []
+    for k in range(n):
+        at, text = int(rng.integers(0, 100)), ""
+        for _ in range(int(rng.integers(0, 12))):
+            at = int(rng.integers(0, 120)) if rng.random() < 0.3 else (at + 1) % 120
+            text += stock[at] if rng.random() < 0.8 else f"own{k} {rng.integers(0, 9)}. "
+        rows.append((None if k % 17 == 5 else k // 2, text, "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("unit", ["line", "sentence", "clause"])
+@pytest.mark.parametrize("min_run", [1, 7, 30])
+def test_runs_equal_brute_force(spark, unit, min_run):
+    rows = clause_rows(11, 90) + ODD
+    got = unit_dedup.dedup_units(table(spark, rows).coalesce(1), unit, min_run=min_run).collect()
+    assert Counter((r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"]), r["n_repeated_chars"]) for r in got) == runs_left(rows, unit, min_run)
+    text = Counter((r[0], len(r[1] or "")) for r in rows)
+    assert Counter((r["doc_id"], r["n_removed_chars"] + len(r["kept_text"])) for r in got) == text
