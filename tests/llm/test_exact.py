@@ -125,11 +125,72 @@ def test_index_remembers_across_batches_and_sessions(spark, tmp_path):
     again.close()
 
 
+def test_a_batch_may_run_again(spark, tmp_path):
+    rows = [(1, "x"), (2, "y"), (3, "y"), (None, "z"), (5, None), (4, "")]
+    a = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(9, "x"), (8, "w"), (7, "w")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    verdicts = lambda df: Counter(tuple(r) for r in df.collect())
+    first, second = verdicts(index.add(a, "one")), verdicts(index.add(b, "two"))
+    assert sum(n for r, n in first.items() if r[3]) == 4 and {(r[0], r[3]) for r in second} == {(9, False), (8, True), (7, False)}
+    before = Counter(tuple(r) for r in index.rows().collect())
+    index.close()
+    for _ in range(2):  # the driver was lost after the append: the same batches again, in any order
+        index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+        assert verdicts(index.add(b, "two")) == second and verdicts(index.add(a, "one")) == first
+        assert Counter(tuple(r) for r in index.rows().collect()) == before
+        index.close()
+
+
+def test_compaction_keeps_the_index(spark, tmp_path):
+    path = tmp_path / "index"
+    index = exact_dedup.DigestIndex(spark, f"file://{path}", rows_per_bucket=25)
+    for k in range(4):
+        index.add(spark.createDataFrame([(100 * k + j, f"t{50 * k + j}") for j in range(100)], "doc_id long, text string"), f"b{k}")
+    before = Counter((bytes(r["digest"]), r["owner_id"], r["n"]) for r in index.rows().collect())
+    assert len(before) == 250 and index.buckets == 4
+    (path / "v1-99").mkdir()  # a compaction that was lost on the way
+    index.compact()
+    for _ in range(2):
+        assert Counter((bytes(r["digest"]), r["owner_id"], r["n"]) for r in index.rows().collect()) == before
+        assert index.buckets == 10
+        files = [f for f in path.rglob("part-*") if f.suffix == ".parquet"]
+        assert 1 < len(files) <= 10 and all(f.parts[-3] == "v1-10" for f in files)
+        index.close()
+        index = exact_dedup.DigestIndex(spark, f"file://{path}", rows_per_bucket=25)
+    got = index.add(spark.createDataFrame([(9000, "t3"), (9001, "new")], "doc_id long, text string"), "b9").collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"], r["group_size"]) for r in got} == {(9000, 3, False, 2), (9001, 9001, True, 1)}
+    index.close()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+@pytest.mark.parametrize("rows", [ODD, random_rows(2), [], [(None, "a", "en", "s", 1), (None, None, "en", "s", 1)]])
+def test_batches_rule_as_one(spark, rows, batches):
+    got = exact_dedup.exact_dedup_in_batches(table(spark, rows), batches).collect()
+    one = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, one))
+
+
+def test_an_index_is_joined_without_a_shuffle(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    digests = index.append(rows, "one")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = digests.groupBy("digest").count().join(index.rows().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.close()
+
+
 @pytest.mark.parametrize("rows", [ODD, random_rows(3)])
 def test_kept_documents_keep_their_columns(spark, rows):
     docs = table(spark, rows)
     out = exact_dedup.kept_documents(docs)
     assert out.columns == docs.columns and out.count() == len({r[1] or "" for r in rows})
+    both = table(spark, [(7, None, "en", "s", 0), (7, "", "en", "s", 0), (7, "", "de", "s", 0)])
+    assert exact_dedup.kept_documents(both).count() == 1
 
 
 @pytest.mark.parametrize("seed", [4, 5])
