@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, keep_rows, read, scratch_path, stored, text_or_empty
@@ -29,6 +29,12 @@ ROWS_PER_BUCKET = 4_000_000
 COLUMNS = "digest BINARY, owner_id BIGINT, owner_row BIGINT, n BIGINT, batch STRING"
 
 
+def digest_rows(docs: DataFrame, batch: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, row_id and batch of every row, as a stored table."""
+    digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
+    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row_id"), batch.alias("batch")), "digests")
+
+
 class DigestIndex:
     """A digest index at a path that outlives the session.
 
@@ -84,18 +90,15 @@ class DigestIndex:
             self.table = None
 
     def append(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch, or add it again; its rows as doc_id, digest, row_id, batch (a stored table)."""
+        """Add a batch, or add it again; its rows as digest_rows gives them."""
+        digests = digest_rows(docs, F.lit(batch), id_col, text_col)
+        self.record(digests, batch)
+        return digests
+
+    def record(self, digests: DataFrame, batch: str) -> None:
+        """Add rows of digest_rows to the index as a batch."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError("a batch is named by letters, digits, points, lines and dashes")
-        digests = stored(
-            docs.select(
-                F.col(id_col).cast("long").alias("doc_id"),
-                F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("digest"),
-                F.monotonically_increasing_id().alias("row_id"),
-                F.lit(batch).alias("batch"),
-            ),
-            "digests",
-        )
         # nulls order below every id in a struct maximum
         groups = digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row_id")).alias("top"), F.count(F.lit(1)).alias("n"))
         groups = groups.select("digest", F.col("top.doc_id").alias("owner_id"), F.col("top.row_id").alias("owner_row"), "n")
@@ -108,7 +111,6 @@ class DigestIndex:
         others = self.rows().where(F.col("batch") != batch).select("digest")
         new = groups.join(others, "digest", "left_anti").withColumn("batch", F.lit(batch))
         new.write.insertInto(self.table)
-        return digests
 
     def rule(self, digests: DataFrame, batches: list[str]) -> DataFrame:
         """Verdicts on rows that were appended (the result of append, or a union of such, with the names of their batches):
@@ -171,16 +173,14 @@ def exact_dedup_in_batches(docs: DataFrame, batches: int = 2, index: DigestIndex
     low, high = docs.agg(F.min(key), F.max(key)).first()
     low, high = (0, 0) if low is None else (low, high)
     bounds = [low + (high - low + 1) * k // batches for k in range(batches - 1, 0, -1)]
-    names, parts, above = [], [], F.lit(False)
-    for k, bound in enumerate([*bounds, None]):
-        here = F.coalesce(key >= bound, F.lit(False)) if bound is not None else F.lit(True)
-        names.append(f"part-{k:04d}")
-        parts.append(own.append(docs.where(here & ~above), names[-1]))
-        above = here
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    out = own.rule(every, names)
+    names = [f"part-{k:04d}" for k in range(batches)]
+    batch = F.lit(names[-1])
+    for name, bound in reversed(list(zip(names[:-1], bounds, strict=True))):
+        batch = F.when(key >= bound, F.lit(name)).otherwise(batch)
+    digests = digest_rows(docs, batch)
+    for name in names:
+        own.record(digests.where(F.col("batch") == name), name)
+    out = own.rule(digests, names)
     if index is None:
         own.close()
         discard(spark, own.path)
