@@ -16,6 +16,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .license_texts import TEXTS
 from .shingles import _BASE, _BYTES, _DOWN, _UP, mix
 
 GRAM, WINDOW = 3, 3
@@ -62,8 +64,21 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All-rights-reserved-statement": "All rights reserved",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission",
+    **TEXTS,
 }
 
+
+def templates_of(folder: str) -> dict[str, str]:
+    """Every text of a folder on the driver as a template by its file's name, for license lists that are at hand."""
+    out = {}
+    for x in sorted(os.listdir(folder)):
+        path = os.path.join(folder, x)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out[x] = f.read()
+    return out
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -147,6 +162,8 @@ class TemplateIndex:
         self.words = [tokens(templates[n].encode())[0] for n in self.names]
         if not all(self.words):
             raise ValueError("a template needs a word at least")
+        self.number = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
+        self.numbers = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
         self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.keys = self._post([d for d, w in enumerate(self.words) if len(w) >= GRAM + WINDOW - 1], winnowed)
         # keys of the short templates by the length of their runs
@@ -176,30 +193,42 @@ class TemplateIndex:
         return places
 
 
-def align(template: list[bytes], words: list[bytes], band: int):
-    """Longest common subsequence of a template and words inside a band around the main diagonal.
+#: Places of an alignment are packed in words of 64 bits: equal words, then the first one, then the last one.
+_BITS = 21
+_FIELD = (1 << _BITS) - 1
+
+
+def align(template: np.ndarray, words: np.ndarray, band: int):
+    """Longest common subsequence of a template and words (as numbers) inside a band around the main diagonal.
 
     Returns (equal words, first and last of them in words); words[i + d] may meet template[i] for
-    0 <= d <= 2 * band.
+    0 <= d <= 2 * band. Of equally long ones, one that begins late and ends early.
     """
-    width = 2 * band + 1
-    none = (0, -1, -1)
-    row = [none] * (width + 1)  # by d; entry d of the row before is the diagonal neighbour of d
-    for i, t in enumerate(template):
-        new = [none] * (width + 1)
-        left = none
-        for d in range(width):
-            j = i + d
-            best = row[d + 1] if d + 1 < width else none  # skip this word of the template
-            if left[0] > best[0]:
-                best = left  # skip a word of the text
-            if j < len(words) and words[j] == t:
-                n, a, _ = row[d]
-                if n + 1 > best[0] or (n + 1 == best[0] and (a if n else j) > best[1]):
-                    best = (n + 1, a if n else j, j)
-            new[d] = left = best
-        row = new
-    return max(row, key=lambda x: (x[0], -x[2]))
+    width, n = 2 * band + 1, len(template)
+    size = n + width
+    if size > _FIELD:
+        raise ValueError("a template of more than two million words")
+    near = np.full(size, -1, np.int64)
+    near[: min(len(words), size)] = words[:size]
+    order = np.argsort(near, kind="stable")
+    by = near[order]
+    # best[j + 1]: the best alignment of the template so far with words up to j; it rises inside the band
+    best, edge = np.zeros(size + 1, np.int64), 0
+    low, high = np.searchsorted(by, template), np.searchsorted(by, template, side="right")
+    for i in np.flatnonzero(high > low).tolist():
+        at = order[low[i] : high[i]]
+        at = at[(at >= i) & (at < i + width)]
+        if not len(at):
+            continue
+        best[edge + 1 : i + width + 1] = best[edge]
+        edge = i + width
+        held = best[at]
+        longer = np.where(held == 0, (1 << 2 * _BITS) | (at << _BITS), (held & ~_FIELD) + (1 << 2 * _BITS)) + (_FIELD - at)
+        best[at + 1] = np.maximum(best[at + 1], longer)
+        part = best[at[0] + 1 : edge + 1]
+        np.maximum.accumulate(part, out=part)  # skip words of the text
+    top = int(best[edge])
+    return (top >> 2 * _BITS, (top >> _BITS) & _FIELD, _FIELD - (top & _FIELD)) if top else (0, -1, -1)
 
 
 def scan(text: bytes, index: TemplateIndex, places: list[tuple[int, int]], coverage: float):
@@ -208,13 +237,14 @@ def scan(text: bytes, index: TemplateIndex, places: list[tuple[int, int]], cover
     places: (word number, fingerprint) of fingerprints found in the index.
     """
     words, spans = tokens(text)
+    numbers = np.fromiter((index.number.get(w, -1) for w in words), np.int64, len(words))
     starts: dict[int, set[int]] = defaultdict(set)
     for at, h in places:
         for name, p in index.posts[h]:
             starts[name].add(at - p)
     found = []
     for name, begins in starts.items():
-        want = index.words[name]
+        want = index.numbers[name]
         band = min(2 + len(want) // 8, len(want) - 1)
         done = -(10**9)
         for s in sorted(begins):
@@ -222,12 +252,12 @@ def scan(text: bytes, index: TemplateIndex, places: list[tuple[int, int]], cover
                 continue
             done = s
             lo = s - band
-            near = words[max(0, lo) : s + len(want) + band]
-            n, a, b = align(want, [b""] * max(0, -lo) + near, band)
+            near = numbers[max(0, lo) : s + len(want) + band]
+            n, a, b = align(want, np.concatenate([np.full(max(0, -lo), -1, np.int64), near]), band)
             if n >= coverage * len(want):
                 found.append((name, n, len(want), lo + a, lo + b))
     best = []
-    for m in sorted(found, key=lambda m: (-m[1], m[3], m[0])):
+    for m in sorted(found, key=lambda m: (-m[1], m[2], m[3], m[0])):  # of equally many words, the most covered template
         if not any(b[3] <= m[3] and m[4] <= b[4] for b in best):
             best.append(m)
     return [(index.names[k], n / of, n, of, spans[a][0], spans[b][1]) for k, n, of, a, b in sorted(best, key=lambda m: (m[3], m[0]))]

@@ -228,6 +228,56 @@ def test_short_templates(spark):
         license_scan.TemplateIndex({"none": " . "})
 
 
+def banded(template, words, band):
+    """Longest common subsequence cell by cell; only cells of the band may meet."""
+    n, m = len(template), len(words)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            meet = best[i][j] + 1 if template[i] == words[j] and i <= j <= i + 2 * band else 0
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], meet)
+    return best[n][m]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_alignment_equals_the_cells(seed):
+    rng = random.Random(seed)
+    band = rng.randint(0, 9)
+    t = [rng.randrange(6) for _ in range(rng.randint(1, 30))]
+    w = [rng.choice([-1, *range(6)]) for _ in range(rng.randint(0, 40))] if rng.random() < 0.5 else [x for x in t if rng.random() < 0.8]
+    w = [-1] * rng.randint(0, band) + w
+    n, a, b = license_scan.align(np.array(t, np.int64), np.array(w, np.int64), band)
+    # a cell that leaves the band to the left is out of reach for later rows, as words before the band are behind
+    assert n == banded(t, w[: len(t) + 2 * band], band)
+    assert (n == 0 and (a, b) == (-1, -1)) or (0 <= a <= b < len(w) and w[a] in t and w[b] in t and b - a + 1 >= n)
+
+
+def test_whole_license_texts(spark):
+    texts = license_scan.TEXTS
+    rng = random.Random(4)
+    rows = [(k, f"Copyright 2020 X. {t}", "en", "s", 0) for k, t in enumerate(texts.values())]
+    worn = texts["BSD-3-Clause-text"].split()
+    worn = [w if rng.random() > 0.1 else "other" for w in worn]
+    rows += [(101, "intro " * 300 + " ".join(worn) + " outro" * 300, "en", "s", 0), (102, " ".join(worn[: len(worn) // 2]), "en", "s", 0)]
+    got = defaultdict(list)
+    for r in license_scan.scan_licenses(table(spark, rows)).collect():
+        got[r["doc_id"]].append((r["license"], r["coverage"]))
+    for k, name in enumerate(texts):
+        assert (name, 1.0) in got[k]
+    assert got[101][0][0] == "BSD-3-Clause-text" and 0.85 < got[101][0][1] < 0.95
+    assert not any(name.startswith("BSD-3") and name.endswith("text") for name, _ in got[102])
+
+
+def test_long_templates_from_a_folder(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(900)}" for _ in range(6000)]
+    (tmp_path / "long").write_text(" ".join(words))
+    worn = [w if rng.random() > 0.1 else "x" for w in words]
+    rows = [(1, "before " + " ".join(worn) + " after", "en", "s", 0), (2, " ".join(words[:3000]), "en", "s", 0)]
+    (got,) = license_scan.scan_licenses(table(spark, rows), license_scan.templates_of(str(tmp_path))).collect()
+    assert got["doc_id"] == 1 and got["matched_words"] == sum(a == b for a, b in zip(words, worn, strict=True)) and got["template_words"] == 6000
+
+
 def test_winnowing_shares_a_fingerprint_for_five_equal_words():
     rng = random.Random(1)
     for _ in range(50):
