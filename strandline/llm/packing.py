@@ -8,8 +8,8 @@ fullest. A window leaves the level array when it is full.
 
 Two bounds are ours: if ``max_open`` windows are open, the fullest window that the document can
 complete takes its first part, so open windows (and their ids) stay bounded; and when the input of a
-task ends, the pieces in its open windows are laid end to end, cut into full windows, and the rest into
-windows whose lengths are powers of two, which need no padding.
+task ends, its open windows are joined whole where they fit together, and only what then is neither full nor as long as
+a power of two is cut: the emptiest windows to fill up the fullest, the last one into powers of two. So nothing is padded.
 
 Defined results for odd input: a null text is empty and yields the end id alone; a null doc_id is kept
 as it is; repeated rows are separate documents; very long documents are cut; an empty table gives an
@@ -19,6 +19,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -97,27 +98,55 @@ class SumOfSquares:
                 yield done
 
     def finish(self):
-        """Windows for what is still open: full ones, then powers of two, without padding."""
-        items = [x for fill in sorted(self.stacks) for w in self.stacks[fill] for x in w]
-        left = sum(len(x[2]) for x in items)
-        sizes = [self.capacity] * (left // self.capacity)
-        rest = left % self.capacity
-        sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        k, used = 0, 0
-        for room in sizes:
-            window = []
-            while room:
-                key, start, ids, total = items[k]
-                part = ids[used : used + room]
-                window.append((key, start + used, part, total))
-                room -= len(part)
-                used += len(part)
-                if used == len(ids):
-                    k, used = k + 1, 0
-            yield window
+        """Windows for what is still open, without padding. Open windows are joined whole first, the fullest with the
+        fullest that fits beside it; what is then complete, or as long as a power of two, is done. Of the others the
+        emptiest is taken apart to fill up the fullest, and so on, and what is left of the last one is cut into powers of two."""
+        cap = self.capacity
+        pool = [(fill, k, w) for fill in sorted(self.stacks) for k, w in enumerate(self.stacks[fill])]
+        left = []
+        while pool:
+            fill, _, window = pool.pop()
+            while at := bisect_right(pool, cap - fill, key=lambda x: x[0]):
+                more, _, other = pool.pop(at - 1)
+                fill, window = fill + more, window + other
+            if fill & (fill - 1):
+                left.append((fill, window))
+            else:
+                yield window
+        left.sort(key=lambda x: x[0])
+        low, high = 0, len(left) - 1
+        while low < high:
+            room = cap - left[high][0]
+            moved, rest = _cut(left[low][1], room)
+            taken = min(room, left[low][0])
+            left[high] = (left[high][0] + taken, left[high][1] + moved)
+            left[low] = (left[low][0] - taken, rest)
+            low += not rest
+            if left[high][0] == cap:
+                yield left[high][1]
+                high -= 1
+        if low == high:
+            fill, window = left[low]
+            for b in range(fill.bit_length() - 1, -1, -1):
+                if fill >> b & 1:
+                    part, window = _cut(window, 1 << b)
+                    yield part
         self.__init__(self.capacity, self.max_open)
 
 
+def _cut(window: list[tuple], room: int) -> tuple[list[tuple], list[tuple]]:
+    """The first room ids of a window's pieces, and the pieces behind them."""
+    k, head = 0, []
+    while k < len(window) and room:
+        key, start, ids, total = window[k]
+        head.append((key, start, ids[:room], total))
+        if len(ids) > room:
+            return head, [(key, start + room, ids[room:], total), *window[k + 1 :]]
+        room -= len(ids)
+        k += 1
+    return head, window[k:]
+
+
 def _packer(path: str | None, capacity: int, with_ids: bool):
     def run(batches):
         tok, packer = WordTokenizer.shared(path), SumOfSquares(capacity)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -79,6 +80,47 @@ def test_packing_round_trip(spark, rows):
     assert total == expect
 
 
+@pytest.mark.parametrize("rows", [ODD, random_rows(12, 200)])
+def test_pieces_reassemble_the_ids(spark, rows):
+    """Every id of every document lies in exactly one piece, at the place that the piece names."""
+    got = packing.pack(table(spark, [(k, *r[1:]) for k, r in enumerate(rows)]).repartition(3), with_ids=True).collect()
+    tok = tokens.WordTokenizer()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert set(by) == set(range(len(rows)))
+    for k, row in enumerate(rows):
+        whole = [*tok.tok.encode(row[1] or "", add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted(by[k], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(whole) and r["ids"] == whole[at : at + r["length"]]
+            at += r["length"]
+        assert at == len(whole)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_the_end_joins_windows_before_it_cuts(seed):
+    rng = np.random.default_rng(seed)
+    p = packing.SumOfSquares(64)
+    sizes = rng.integers(1, 150, rng.integers(0, 40)).tolist()
+    done = [w for k, n in enumerate(sizes) for w in p.add(k, np.arange(n))]
+    open_windows = [w for ws in p.stacks.values() for w in ws]
+    before = sum(len(w) for w in open_windows)
+    last = list(p.finish())
+    for w in done + last:
+        n = sum(len(x[2]) for x in w)
+        assert n == 64 or (w in last and n & (n - 1) == 0 and n < 64)
+    cover = defaultdict(list)
+    for w in done + last:
+        for key, start, ids, total in w:
+            assert total == sizes[key]
+            cover[key] += ids.tolist()
+            assert ids.tolist() == list(range(start, start + len(ids)))
+    assert all(sorted(cover[k]) == list(range(n)) for k, n in enumerate(sizes))
+    assert sum(len(w) for w in last) <= before + len(open_windows) + 6  # a cut at most for every window, and powers of two
+    assert not p.open and not p.stacks
+
+
 def test_packer_prefers_levels_that_lower_the_squares():
     p = packing.SumOfSquares(16)
     list(p.add("a", np.arange(10)))
@@ -234,6 +276,68 @@ def test_flow_repeats_only_when_it_must():
     assert quota["a",] == pytest.approx(180) and quota["b",] == pytest.approx(50)
 
 
+def cheapest(patterns, targets, repeats):
+    """(words routed, price) of the best integer flow, by trying all."""
+    edges = [(p, s) for p in patterns for s in p]
+    best = (0, 0)
+
+    def search(k, used, filled):
+        nonlocal best
+        if k == len(edges):
+            total = sum(used.values())
+            price = sum(r * r * min(max(used[p] - r * w, 0), w) for p, w in patterns.items() for r in range(repeats))
+            if (total, -price) > (best[0], -best[1]):
+                best = (total, price)
+            return
+        p, s = edges[k]
+        for x in range(min(repeats * patterns[p] - used[p], targets[s] - filled[s]) + 1):
+            search(k + 1, used | {p: used[p] + x}, filled | {s: filled[s] + x})
+
+    search(0, dict.fromkeys(patterns, 0), dict.fromkeys(targets, 0))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_routes_cost_the_least(seed):
+    rng = np.random.default_rng(seed)
+    names = ["a", "b", None][: rng.integers(1, 4)]
+    kinds = [tuple(p) for n in range(1, len(names) + 1) for p in combinations(names, n)]
+    some = [kinds[k] for k in rng.permutation(len(kinds))[: rng.integers(1, 4)]]
+    patterns = {p: int(rng.integers(0, 4)) for p in some}
+    targets = {s: int(rng.integers(0, 6)) for s in names}
+    repeats = int(rng.integers(1, 4))
+    quota = mixing.route(patterns, targets, repeats)
+    price = sum(r * r * min(max(quota[p] - r * w, 0), w) for p, w in patterns.items() for r in range(repeats))
+    assert (round(sum(quota.values()), 3), round(price, 3)) == cheapest(patterns, targets, repeats)
+
+
+def test_many_sources_are_routed_fast():
+    patterns = {(f"s{k:05d}",): 10 + k % 7 for k in range(30_000)}
+    sizes = {p[0]: w for p, w in patterns.items()}
+    targets = mixing.source_targets(sizes)
+    assert mixing.route(patterns, targets) == {(s,): t for s, t in targets.items()}
+    chain = {(f"s{k:05d}", f"s{k + 1:05d}"): 5 for k in range(3000)} | {("s00000",): 3}
+    quota = mixing.route(chain, {f"s{k:05d}": 4.0 for k in range(3001)})
+    assert sum(quota.values()) == pytest.approx(4.0 * 3001, abs=0.1)
+
+
+def test_targets_by_plain_steps():
+    """The rule of the targets, one source at a time."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sizes = {f"s{k}": int(rng.integers(0, 50)) for k in range(rng.integers(1, 9))} | ({None: 7} if seed % 2 else {})
+        order = sorted((s for s in sizes if s), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+        want, left = dict.fromkeys(order, 0.0), 1.5 * sum(sizes.values())
+        while left > 1e-9 and (free := [s for s in order if want[s] < 2 * sizes[s] - 1e-12]):
+            step = min([left / sum(weight[s] for s in free), *[(2 * sizes[s] - want[s]) / weight[s] for s in free]])
+            for s in free:
+                want[s] += step * weight[s]
+            left -= step * sum(weight[s] for s in free)
+        got = mixing.source_targets(sizes)
+        assert all(got[s] == pytest.approx(want[s], abs=1e-6) for s in order)
+
+
 def base(text):
     text = text or ""
     w = WORD.findall(text)
