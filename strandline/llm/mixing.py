@@ -3,8 +3,9 @@
 Documents are aggregated by the set of sources they belong to (their membership pattern). A flow
 network routes words from patterns to source quotas: a pattern offers its words once for nothing,
 a second time at a price, and so on, so that repetition is used only where a quota needs it. The
-network has one node per pattern and per source, so it is solved on the driver; its size is bounded
-by ``max_patterns`` and checked. Documents are then selected in a seeded order: a distributed prefix
+network has one node per pattern and per source, so it is solved on the driver, by connected parts: a source
+whose documents have no other source needs no flow at all. The tally of patterns that the driver holds is bounded by
+``max_patterns`` (a few hundred bytes each) and checked. Documents are then selected in a seeded order: a distributed prefix
 sum over hash ranges, in two levels, finds where each quota ends, so no source (hot or not) is ever
 sorted in one task.
 
@@ -15,7 +16,6 @@ without words gives targets of 0; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +34,7 @@ def source_targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, most: flo
     sizes: words by source; None is the null source. What a cap cuts off is shared again by weight
     until no source is above its cap.
     """
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in str(s)])
+    order = sorted(s for s in sizes if s is not None)  # strings are ordered by code point
     order += [None] if None in sizes else []
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     target, open_, left = {}, list(order), share * sum(sizes.values())
@@ -44,81 +44,117 @@ def source_targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, most: flo
         if not full:
             target |= {s: weight[s] * unit for s in open_}
             break
-        for s in full:
-            target[s] = most * sizes[s]
-            left -= target[s]
-            open_.remove(s)
+        target |= {s: most * sizes[s] for s in full}
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in target]
     return target
 
 
-class MinCostFlow:
-    """Successive shortest augmenting paths with potentials (Dijkstra), for real capacities."""
+class Flow:
+    """Largest flow by blocking flows (Dinic), for real capacities; capacities may be added between runs."""
 
     def __init__(self, nodes: int):
         self.graph: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[float] = []
-        self.cost: list[float] = []
 
-    def edge(self, a: int, b: int, room: float, cost: float) -> int:
+    def edge(self, a: int, b: int, room: float) -> int:
         k = len(self.to)
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0.0, -cost)):
+        for x, y, r in ((a, b, room), (b, a, 0.0)):
             self.graph[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return k
 
+    def _levels(self, s: int, eps: float) -> list[int]:
+        level = [-1] * len(self.graph)
+        level[s], queue = 0, [s]
+        for a in queue:
+            for k in self.graph[a]:
+                if self.room[k] > eps and level[self.to[k]] < 0:
+                    level[self.to[k]] = level[a] + 1
+                    queue.append(self.to[k])
+        return level
+
     def run(self, s: int, t: int, eps: float = 1e-6) -> None:
-        n = len(self.graph)
-        height = [0.0] * n
-        while True:
-            dist, via = [float("inf")] * n, [-1] * n
-            dist[s], heap = 0.0, [(0.0, s)]
-            while heap:
-                d, a = heapq.heappop(heap)
-                if d > dist[a]:
+        while (level := self._levels(s, eps))[t] >= 0:
+            turn = [0] * len(self.graph)  # edges before it lead nowhere any more
+            path: list[int] = []
+            at = s
+            while True:
+                if at == t:
+                    flow = min(self.room[k] for k in path)
+                    for k in path:
+                        self.room[k] -= flow
+                        self.room[k ^ 1] += flow
+                    first = next(i for i, k in enumerate(path) if self.room[k] <= eps)
+                    at = self.to[path[first] ^ 1]
+                    del path[first:]
                     continue
-                for k in self.graph[a]:
-                    if self.room[k] > eps:
-                        b = self.to[k]
-                        e = d + max(0.0, self.cost[k] + height[a] - height[b])
-                        if e < dist[b] - 1e-12:
-                            dist[b], via[b] = e, k
-                            heapq.heappush(heap, (e, b))
-            if dist[t] == float("inf"):
-                return
-            height = [h + (d if d < float("inf") else 0.0) for h, d in zip(height, dist, strict=True)]
-            flow, v = float("inf"), t
-            while v != s:
-                flow, v = min(flow, self.room[via[v]]), self.to[via[v] ^ 1]
-            v = t
-            while v != s:
-                self.room[via[v]] -= flow
-                self.room[via[v] ^ 1] += flow
-                v = self.to[via[v] ^ 1]
+                edges = self.graph[at]
+                while turn[at] < len(edges):
+                    k = edges[turn[at]]
+                    if self.room[k] > eps and level[self.to[k]] == level[at] + 1:
+                        break
+                    turn[at] += 1
+                if turn[at] < len(edges):
+                    path.append(edges[turn[at]])
+                    at = self.to[path[-1]]
+                elif path:
+                    at = self.to[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
+
+
+def _parts(patterns: dict[tuple, int]) -> list[list[tuple]]:
+    """Patterns by connected part: those that share sources, directly or through others."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for p in patterns:
+        for s in p[1:]:
+            up[root(s)] = root(p[0])
+    parts: dict = defaultdict(list)
+    for p in patterns:
+        parts[root(p[0])].append(p)
+    return list(parts.values())
 
 
 def route(patterns: dict[tuple, int], targets: dict, repeats: int = 2) -> dict[tuple, float]:
     """Words to take of each pattern: the flow of least cost that fills the targets as far as possible.
 
     The r-th use of a pattern's words costs r * r, a convex price, so a pattern is repeated only
-    after every pattern that can serve the same quota has been used up once.
+    after every pattern that can serve the same quota has been used up once. Only edges out of the start bear a price,
+    and no augmenting path passes the start twice, so paths of least cost are those by the cheapest use that
+    is left: the flow of least cost is the largest one over first uses, then augmented over second uses, and so on.
     """
-    names = list(targets)
-    at = {s: i for i, s in enumerate(names)}
-    base = 2 + len(names)
-    net = MinCostFlow(base + len(patterns))
-    supply: dict[tuple, list[int]] = defaultdict(list)
-    for s, goal in targets.items():
-        net.edge(2 + at[s], 1, float(goal), 0.0)
-    for j, (p, words) in enumerate(patterns.items()):
-        for r in range(repeats):
-            supply[p].append(net.edge(0, base + j, float(words), float(r * r)))
-        for s in p:
-            net.edge(base + j, 2 + at[s], float(repeats * words), 0.0)
-    net.run(0, 1)
-    return {p: sum(net.room[k ^ 1] for k in ks) for p, ks in supply.items()}
+    out: dict[tuple, float] = {}
+    for part in _parts(patterns):
+        if len(part) == 1 and len(part[0]) == 1:
+            out[part[0]] = min(float(targets[part[0][0]]), float(repeats * patterns[part[0]]))
+            continue
+        names = list(dict.fromkeys(s for p in part for s in p))
+        at = {s: 2 + i for i, s in enumerate(names)}
+        net = Flow(2 + len(names) + len(part))
+        for s in names:
+            net.edge(at[s], 1, float(targets[s]))
+        supply = {}
+        for j, p in enumerate(part, 2 + len(names)):
+            supply[p] = net.edge(0, j, 0.0)
+            for s in p:
+                net.edge(j, at[s], float(repeats * patterns[p]))
+        for _ in range(repeats):
+            for p, k in supply.items():
+                net.room[k] += float(patterns[p])
+            net.run(0, 1)
+        out |= {p: net.room[k ^ 1] for p, k in supply.items()}
+    return out
 
 
 def _memberships(docs: DataFrame, sources: str) -> DataFrame:
@@ -129,7 +165,7 @@ def _memberships(docs: DataFrame, sources: str) -> DataFrame:
     return docs.withColumn("pattern", F.sort_array(F.array_distinct(F.transform(many, lambda x: x.cast("string")))))
 
 
-def mix(docs: DataFrame, sources: str = "source", weights=(5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, sources: str = "source", weights=(5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17, max_patterns: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, size, pattern, source_size, target, taken, text_hash.
 
     sources names a string column or an array of strings. For a document in several sources,
@@ -153,7 +189,8 @@ def mix(docs: DataFrame, sources: str = "source", weights=(5, 2, 1), share: floa
     tally = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(tally) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns = {tuple(r["pattern"]): int(r["words"]) for r in tally}
+    # sorted: flows of equal cost must not depend on the order in which the tally comes
+    patterns = dict(sorted(((tuple(r["pattern"]), int(r["words"])) for r in tally), key=lambda x: [(s is None, s or "") for s in x[0]]))
     by_source: dict = defaultdict(int)
     for p, words in patterns.items():
         for s in p:
@@ -204,7 +241,7 @@ def _ends(ranges: DataFrame, plan: DataFrame, by: str) -> DataFrame:
     w = Window.partitionBy("pattern").orderBy(by)
     every = Window.partitionBy("pattern")
     out = ranges.withColumn("w_before", F.sum("w").over(w) - F.col("w")).withColumn("all", F.sum("w").over(every))
-    out = out.join(F.broadcast(plan), "pattern")  # at most max_patterns rows
+    out = out.join(plan, "pattern")  # broadcast by its size alone, which Spark knows
     out = out.withColumn("q", F.round("quota").cast("long"))
     passes = F.when(F.col("all") > 0, F.expr("q div all")).otherwise(F.lit(0)).cast("long")
     return out.withColumn("passes", passes).withColumn("rest", F.col("q") - F.col("passes") * F.col("all")).drop("q", "quota", "all")
