@@ -2,15 +2,16 @@
 
 Every document gets a histogram of character classes and, for each reference language, one of that
 language's common words. References are the sums of these histograms over all documents of a
-language, so they are learned from the whole table in one pass with partial aggregation; only
-(languages x bins) numbers reach the driver. A document is rejected if its Jensen-Shannon distance
+language, with partial aggregation; only (languages x bins) numbers reach the driver, and they can be kept as a table
+(``references_table``) and used on other documents. A document is rejected if its Jensen-Shannon distance
 to the nearest reference is too large, and only histograms that rest on enough characters or words
 are compared. Two base rules (too few words, too much repetition) come first.
 
-DataFrame functions only; one pass for the references, one map-only pass for the verdicts.
+DataFrame functions only. The texts are read once: counts are written aside, and references and verdicts come from them.
 
-Defined results for odd input: a null text is an empty one, and fails the base rules; a null or
-unknown language only means that the document adds to no reference; without any reference nothing
+Defined results for odd input: a null text is an empty one, and fails the base rules; a document that names a
+language without a reference is not compared with any, only the base rules hold for it; one that names no language
+(null, or no such column) is compared with the nearest reference, and adds to none; without any reference nothing
 is judged; repeated rows are judged alike; extra columns are kept by ``keep_good`` and may have any
 name but those that begin with ``_q_``.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_or_empty
+from .common import read, stored, text_or_empty
 
 # Frequent function words of the four reference languages.
 COMMON_WORDS = {
@@ -78,20 +79,49 @@ def _word_bins(common: Column, n: Column, lang: str) -> Column:
     return F.array(*own, n - total)
 
 
-def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Shares by language: of character classes, and of common words. At most four short lists are collected."""
-    df = with_histograms(docs.select("text", lang_col)).where(F.col(lang_col).isin(list(COMMON_WORDS)) & (F.col("_q_n") >= MIN_WORDS))
+def counted(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """docs (with a text column) with the base rules' columns, _q_chars, _q_common and _q_lang, as a stored table
+    without the text, unless that is part of another column."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    out = with_base(with_histograms(docs.withColumn("_q_lang", lang)))
+    return stored(out.drop("_q_words", "text"), "quality-counts")
+
+
+def references_of(counts: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Shares by language, from the result of counted: of character classes, and of common words. At most
+    four short lists are collected."""
+    df = counts.where(F.col("_q_lang").isin(list(COMMON_WORDS)) & (F.col("_q_n") >= MIN_WORDS))
     sums = [F.sum(F.col("_q_chars")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.col("_q_common")[i]).alias(f"w{i}") for i in range(len(ALL_COMMON))]
     out = {}
-    for r in df.groupBy(lang_col).agg(F.sum("_q_n").alias("n"), *sums).collect():
+    for r in df.groupBy("_q_lang").agg(F.sum("_q_n").alias("n"), *sums).collect():
+        lang = r["_q_lang"]
         chars = [float(r[f"c{i}"]) for i in range(len(CLASSES) + 1)]
-        own = [float(r[f"w{ALL_COMMON.index(w)}"]) for w in COMMON_WORDS[r[lang_col]]]
+        own = [float(r[f"w{ALL_COMMON.index(w)}"]) for w in COMMON_WORDS[lang]]
         words = [*own, float(r["n"]) - sum(own)]
-        out[r[lang_col]] = ([x / max(1.0, sum(chars)) for x in chars], [x / max(1.0, sum(words)) for x in words])
+        out[lang] = ([x / max(1.0, sum(chars)) for x in chars], [x / max(1.0, sum(words)) for x in words])
     return dict(sorted(out.items()))
 
 
+def references(docs: DataFrame, lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """Shares by language: of character classes, and of common words."""
+    return references_of(counted(docs.select("text", lang_col), lang_col))
+
+
+def references_table(spark: SparkSession, refs: dict) -> DataFrame:
+    """References as rows (lang, kind, bin, share), to be written where other runs find them."""
+    rows = [(lang, kind, k, float(x)) for lang, both in refs.items() for kind, shares in zip(("chars", "words"), both, strict=True) for k, x in enumerate(shares)]
+    return spark.createDataFrame(rows, "lang string, kind string, bin int, share double")
+
+
+def references_from(table: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """The references of a table written from references_table (a hundred rows)."""
+    out: dict = {}
+    for r in table.orderBy("lang", "kind", "bin").collect():
+        out.setdefault(r["lang"], ([], []))[r["kind"] == "words"].append(r["share"])
+    return out
+
+
 def _js_distance(counts: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2) of counts to shares; 0 for an empty histogram."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -110,10 +140,12 @@ def with_base(docs: DataFrame) -> DataFrame:
     """docs (with _q_words and _q_n) with n_dup_lines, n_repeat_words and base_failed."""
     lines = F.filter(F.split(text_or_empty(), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumn("_q_lines", lines).withColumn("n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
-    df = df.withColumn("_q_h", F.transform("_q_words", lambda w: F.xxhash64(w)))
-    starts = F.sequence(F.lit(0), F.col("_q_n").cast("int") - WINDOW_WORDS)
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_q_h"), i + j) for j in range(WINDOW_WORDS)]))
-    df = df.withColumn("_q_w", F.when(F.col("_q_n") >= WINDOW_WORDS, windows).otherwise(F.array().cast("array<bigint>")))
+    # hashes of windows of one, two, four and eight words, each from two of half its size
+    df = df.withColumn("_q_w", F.transform("_q_words", lambda w: F.xxhash64(w)))
+    for half in (1, 2, 4):
+        rest = F.greatest(F.size("_q_w") - half, F.lit(0))
+        pairs = F.zip_with(F.slice("_q_w", F.lit(1), rest), F.slice("_q_w", F.lit(half + 1), rest), lambda a, b: F.xxhash64(a, b))
+        df = df.withColumn("_q_w", pairs)
     # most texts repeat no window, and need no sort
     some = F.size(F.array_distinct("_q_w")) < F.size("_q_w")
     df = df.withColumn("_q_o", F.when(some, F.sort_array(F.transform("_q_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -132,7 +164,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     )
     df = df.withColumn("n_repeat_words", F.when(F.col("_q_p").isNull(), F.lit(0).cast("long")).otherwise(covered))
     failed = (F.col("_q_n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_q_n"))
-    return df.withColumn("base_failed", failed).drop("_q_lines", "_q_h", "_q_w", "_q_o", "_q_p")
+    return df.withColumn("base_failed", failed).drop("_q_lines", "_q_w", "_q_o", "_q_p")
 
 
 def with_verdict(df: DataFrame, refs: dict) -> DataFrame:
@@ -148,28 +180,26 @@ def with_verdict(df: DataFrame, refs: dict) -> DataFrame:
     bad = ((F.col("word_chars") >= MIN_CHARS_JUDGED) & (F.col("char_distance") > limit(*CHAR_LIMIT))) | (
         (F.col("_q_n") >= MIN_WORDS_JUDGED) & (F.col("word_distance") > limit(*WORD_LIMIT))
     )
-    bad = F.coalesce(bad, F.lit(False))
+    unknown = F.col("_q_lang").isNotNull() & ~F.col("_q_lang").isin(list(refs))
+    bad = F.coalesce(bad & ~unknown, F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
-def judge(docs: DataFrame, refs: dict | None = None) -> DataFrame:
-    """docs (with a text column) and the rules' columns; refs are learned from docs if not given."""
-    refs = references(docs) if refs is None else refs
-    return with_verdict(with_base(with_histograms(docs)), refs)
+def judge(docs: DataFrame, refs: dict | None = None, lang_col: str = "lang") -> DataFrame:
+    """The columns of docs but text, and the rules' columns; refs are learned from docs if not given."""
+    counts = counted(docs, lang_col)
+    return with_verdict(counts, references_of(counts) if refs is None else refs)
 
 
-def keep_good(docs: DataFrame, refs: dict | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, refs: dict | None = None, lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs alone."""
-    refs = references(docs) if refs is None else refs
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"), F.col("text"))
-    # a filter would be pushed down through all the projections, which makes its expression explode;
-    # a generator that yields the row or nothing stays where it is
-    return judge(slim, refs).select(F.inline(F.when(F.col("kept"), F.array("_q_row"))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row")
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    return judge(docs.select(row, F.col("text"), lang.alias("_q_own")), refs, "_q_own").where("kept").select("_q_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    out = judge(docs.select("doc_id", "text"), references(docs))
+    out = judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select(
         "doc_id", F.col("_q_n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "char_distance", "word_distance",

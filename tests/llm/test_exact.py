@@ -1,6 +1,7 @@
 """Packing, exact deduplication, mixing, quality rules, the classifier and line hashing on small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -375,6 +376,104 @@ def test_quality_rejects_what_strays_from_its_language(spark):
     assert out.columns == docs.columns and out.count() == 40
 
 
+def distance(counts, shares):
+    total = sum(counts)
+    if not total:
+        return 0.0
+    out = 0.0
+    for c, q in zip(counts, shares, strict=True):
+        p = c / total
+        m = (p + q) / 2
+        out += (p * math.log2(p / m) if p else 0) + (q * math.log2(q / m) if q else 0)
+    return math.sqrt(max(0.0, out / 2))
+
+
+def plain_verdicts(rows):
+    """The rules on plain lists: (kept, character distance, word distance) of every row."""
+    stats = []
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        chars = [0] * 7
+        for c in "".join(w):
+            k = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in "#*$%&|<>" else 4 if c in ".,;:!?" else 5 if ord(c) < 128 else 6
+            chars[k] += 1
+        words = {lang: [w.count(x) for x in own] for lang, own in quality_rules.COMMON_WORDS.items()}
+        stats.append((len(w), chars, {lang: [*c, len(w) - sum(c)] for lang, c in words.items()}))
+    refs = {}
+    for lang in quality_rules.COMMON_WORDS:
+        own = [x for x, r in zip(stats, rows, strict=True) if r[2] == lang and x[0] >= 20]
+        if own:
+            sums = [[sum(c) for c in zip(*part, strict=True)] for part in ([x[1] for x in own], [x[2][lang] for x in own])]
+            refs[lang] = [[c / sum(part) for c in part] for part in sums]
+    out = []
+    for (n, chars, words), r in zip(stats, rows, strict=True):
+        dc = min((distance(chars, c) for c, _ in refs.values()), default=0.0)
+        dw = min((distance(words[lang], w) for lang, (_, w) in refs.items()), default=0.0)
+        bad = n and ((sum(chars) >= 120 and dc > 0.16 + 1.1 / math.sqrt(n)) or (n >= 40 and dw > 0.12 + 1.6 / math.sqrt(n)))
+        compared = bool(refs) and (r[2] is None or r[2] in refs)
+        out.append((r[0], not base(r[1])[-1] and not (bad and compared), round(dc, 9), round(dw, 9)))
+    return Counter(out)
+
+
+def language_rows(seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(120):
+        lang = [*quality_rules.COMMON_WORDS, "xx", None][k % 6]
+        own = quality_rules.COMMON_WORDS.get(lang, ["zu", "la", "of", "q"])
+        words = rng.choice([*own, *[f"{c}ouse" for c in "abcdefghij"]], rng.integers(0, 300)).tolist()
+        kind = rng.integers(0, 5)
+        words = [w + "##" for w in words] if kind == 0 else [w.upper() for w in words] if kind == 1 else [w[::-1] + "é" for w in words] if kind == 2 else words
+        rows.append((k, " ".join(words), lang, "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [language_rows(1), language_rows(2) + ODD, []], ids=["plain", "odd", "empty"])
+def test_verdicts_equal_plain_python(spark, rows):
+    got = quality_rules.judge(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["kept"], round(r["char_distance"], 9), round(r["word_distance"], 9)) for r in got) == plain_verdicts(rows)
+    if rows:
+        refs = quality_rules.references(table(spark, rows))
+        assert quality_rules.references_from(quality_rules.references_table(spark, refs)) == refs
+        again = quality_rules.judge(table(spark, rows), refs).collect()
+        assert Counter((r["doc_id"], r["kept"]) for r in again) == Counter((r["doc_id"], r["kept"]) for r in got)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_scores_equal_an_independent_discriminant(seed):
+    """Log densities from determinants and solved systems, class by class, against the cached factors."""
+    rng = np.random.default_rng(seed)
+    d = 5
+    x = [rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) + rng.normal(size=d) for n in (40, 70)]
+    moments = np.array([np.hstack([np.ones((len(v), 1)), v]).T @ np.hstack([np.ones((len(v), 1)), v]) for v in x])
+    model = quality_qda.QDA(moments, to_pooled=0.3, to_identity=0.05, temperature=1.5)
+    covs = [np.cov(v.T, bias=True) for v in x]
+    pooled = (40 * covs[0] + 70 * covs[1]) / 110
+    spread = np.diag(1 / np.sqrt(np.diag(pooled)))
+    test = rng.normal(size=(20, d)) * 3
+    logs = []
+    for v, c in zip(x, covs, strict=True):
+        c = spread @ (0.7 * c + 0.3 * pooled) @ spread
+        c = 0.95 * c + 0.05 * np.trace(c) / d * np.eye(d)
+        away = (test - v.mean(0)) @ spread
+        logs.append(-0.5 * (away * np.linalg.solve(c, away.T).T).sum(1) - 0.5 * np.linalg.slogdet(c)[1])
+    want = 1 / (1 + np.exp(-((logs[1] - logs[0]) / 1.5 + np.log(70 / 40))))
+    assert model.score(test) == pytest.approx(want, abs=1e-9)
+
+
+def test_moments_are_those_of_all_labelled_rows_outside_the_fold(spark):
+    rows = random_rows(21, 80)
+    labels = [(k, k % 2, 0) for k in range(0, 80, 1)]
+    docs, lab = table(spark, rows).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_qda.fit(quality_qda.features(docs), lab)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    x = [np.array([quality_qda.statistics(r[1]) for r in train if r[0] % 2 == k]) for k in (0, 1)]
+    moments = np.array([np.hstack([np.ones((len(v), 1)), v]).T @ np.hstack([np.ones((len(v), 1)), v]) for v in x])
+    other = quality_qda.QDA(moments)
+    test = np.array([quality_qda.statistics(r[1]) for r in rows])
+    assert model.score(test) == pytest.approx(other.score(test), abs=1e-9)
+
+
 def test_classifier_learns_and_survives_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows, labels = [], []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandline.llm import dom, html_extract, license_scan, near_dedup, shingles, suffix_dedup
-from tests.llm.test_exact import ODD, table
+from tests.llm.test_exact import ODD, WORD, language_rows, plain_verdicts, table
 
 
 def brute_removed(texts, match=200):
@@ -334,3 +334,54 @@ def test_pipeline_stages(spark, tmp_path):
     assert empty.count() == 0
 
 
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """Every stage on what the stage before kept, against plain lists (of the seeded mix, its rules)."""
+    rng = random.Random(8)
+    rows = [(r[0], r[1], r[2], f"s{r[0] % 3}", 0) for r in language_rows(5)]
+    good = [r for r in rows if len((r[1] or "").split()) > 60]
+    for k, r in enumerate(good[:20]):
+        words = r[1].split()
+        rows.append((200 + k, r[1], r[2], r[3], 0))  # an exact copy, later in number
+        rows.append((300 + k, " ".join(w if rng.random() > 0.01 else "changed" for w in words), r[2], r[3], 0))
+    rows += [(400 + k, *r) for k, *r in ODD if k is not None]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    fields = lambda df: [tuple(r) for r in df.collect()]
+    ran = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            docs.write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+        ran[name] = fields(docs)
+    verdict = defaultdict(set)
+    for (doc_id, kept, *_), _ in plain_verdicts(rows).items():
+        verdict[doc_id].add(kept)
+    assert Counter(ran["quality_rules"]) == Counter(r for r in rows if verdict[r[0]] == {True})
+    top: dict = {}
+    for r in ran["quality_rules"]:
+        top[r[1]] = max(top.get(r[1], -1), r[0])
+    assert sorted(r[0] for r in ran["exact_dedup"]) == sorted(top.values())
+    classes = brute_classes(ran["exact_dedup"])
+    left = {r[0] for r in ran["near_dedup"]}
+    assert len(ran["near_dedup"]) == sum(classes.values()) and all(sum(k in left for _, k in c) == 1 for c in classes)
+    assert max(len(c) for c in classes) > 1
+    size = {r[0]: len(WORD.findall(r[1])) for r in ran["near_dedup"]}
+    taken, sizes = Counter(r[0] for r in ran["mixing"]), Counter()
+    for r in ran["near_dedup"]:
+        sizes[r[3]] += size[r[0]]
+    assert set(taken) <= left and max(taken.values()) <= 2
+    targets = corpus_pipeline.mixing.source_targets(sizes)
+    for source, goal in targets.items():
+        words = sum(n * size[k] for k, n in taken.items() if k in left and next(r[3] for r in ran["near_dedup"] if r[0] == k) == source)
+        assert abs(words - goal) <= max(size.values())
+    pieces = defaultdict(list)
+    for doc_id, start, length, _, total, *_ in ran["packing"]:
+        pieces[doc_id].append((start, length, total))
+    assert set(pieces) == set(taken)
+    for doc_id, own in pieces.items():
+        cover = Counter(k for a, n, _ in own for k in range(a, a + n))
+        assert cover == dict.fromkeys(range(own[0][2]), taken[doc_id])
