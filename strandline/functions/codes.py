@@ -130,5 +130,6 @@ def control_suffix(items, control: list[int]) -> Column:
 
 def shuffled(tokens, *key, seed: int = 2024) -> Column:
     """A permutation that depends on the seed, the key and the position alone, whatever the partitions."""
-    order = F.transform(col(tokens), lambda t, i: F.struct(F.xxhash64(F.lit(seed), *[col(k) for k in key], i, t).alias("h"), i.alias("i"), t.alias("t")))
+    parts = [F.lit(seed), *[col(k) for k in key]]
+    order = F.transform(col(tokens), lambda t, i: F.struct(F.md5(F.concat_ws("|", *[x.cast("string") for x in (*parts, i, t)])).alias("h"), i.alias("i"), t.alias("t")))
     return F.transform(F.array_sort(order), lambda x: x["t"])

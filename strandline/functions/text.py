@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,11 +47,6 @@ def clean_text(c, full: bool = False) -> Column:
     return F.regexp_replace(out, r"[^\x00-\x7F]", " ")
 
 
-def list_text(c) -> Column:
-    """An array of strings as one string."""
-    return F.array_join(col(c), ", ")
-
-
 def present(c) -> Column:
     c = col(c)
     return c.isNotNull() & (c != "")
@@ -120,12 +116,31 @@ def percent(c, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f%%", col(c) * 100)
 
 
-def flatten_values(value, sep: str = ", ") -> str:
-    """Any nesting of lists and dicts as text, depth first (driver side; a column version is a UDF)."""
+def _flat(value) -> str:
+    """Values of any nesting of lists and dicts, depth first, those that are not empty parted by blanks."""
     if value is None:
         return ""
     if isinstance(value, dict):
-        return sep.join(x for x in (f"{k}: {flatten_values(v, sep)}" for k, v in value.items()) if x)
-    if isinstance(value, list | tuple):
-        return sep.join(x for x in (flatten_values(v, sep) for v in value) if x)
+        value = list(value.values())
+    if isinstance(value, list):
+        return " ".join(x for x in map(_flat, value) if x)
     return str(value).strip()
+
+
+@F.pandas_udf(T.StringType())
+def _flattened(s: pd.Series) -> pd.Series:
+    def one(x):
+        if not isinstance(x, str):
+            return ""
+        try:
+            return _flat(json.loads(x))
+        except ValueError:
+            return x.strip()
+
+    return s.map(one)
+
+
+def flattened(c) -> Column:
+    """A field of any nesting, as JSON text (structs, arrays and maps through to_json), as plain text; text that is no
+    JSON is itself."""
+    return _flattened(col(c))

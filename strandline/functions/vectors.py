@@ -64,7 +64,3 @@ def fuse(a, b, weight: float = 1.0, normalise_inputs: bool = True, final: bool =
 
 def is_finite(v) -> Column:
     return F.forall(col(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-
-
-def squared_distance(a, b) -> Column:
-    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

@@ -114,3 +114,9 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct().withColumn("_l", F.lit(True)), right.select(key).distinct().withColumn("_r", F.lit(True))
     both = a.join(b, key, "full_outer").where("_l is null or _r is null")
     return both.select(key, F.when(F.col("_l").isNull(), "right").otherwise("left").alias("side"))
+
+
+def training_frequency(seqs: DataFrame, seq: str = "seq") -> DataFrame:
+    """(item, n) over training prefixes: sequences without their last two items."""
+    head = F.slice(seq, F.lit(1), F.greatest(F.size(seq) - 2, F.lit(0)))
+    return seqs.select(F.explode(head).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))

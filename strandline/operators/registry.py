@@ -35,6 +35,24 @@ def find(kind: str, name: str) -> Callable:
     return _FOUND[kind, name]
 
 
+# The categories that review files come in.
+CATEGORIES = (
+    "Books", "Electronics", "Movies_and_TV", "CDs_and_Vinyl", "Clothing_Shoes_and_Jewelry", "Home_and_Kitchen", "Kindle_Store", "Sports_and_Outdoors",
+    "Cell_Phones_and_Accessories", "Health_and_Personal_Care", "Toys_and_Games", "Video_Games", "Tools_and_Home_Improvement", "Beauty", "Apps_for_Android",
+    "Office_Products", "Pet_Supplies", "Automotive", "Grocery_and_Gourmet_Food", "Patio_Lawn_and_Garden", "Baby", "Digital_Music", "Musical_Instruments", "Amazon_Instant_Video",
+)
+
+
+def categories_of(wanted: str | list[str], known: tuple[str, ...] = CATEGORIES) -> list[str]:
+    """Names as a list, from a list or a text with commas; empty ones go, unknown ones and none at all are errors."""
+    names = [c.strip() for c in wanted.split(",")] if isinstance(wanted, str) else list(wanted)
+    names = [c for c in names if c]
+    unknown = [c for c in names if c not in known]
+    if unknown or not names:
+        raise ValueError(f"unknown categories {unknown}; there are {list(known)}" if unknown else "a category is needed")
+    return names
+
+
 @register("dataset", "reviews")
 class Reviews:
     """Review files, one per category, with metadata files."""

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage is cut, and every later pass reads the same rows. The folder is
-    the session's spark.checkpoint.dir; a local one is made only where none is set (tests)."""
+    the session's spark.checkpoint.dir; where none is set, a session on this machine alone makes one, and on
+    a cluster it is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

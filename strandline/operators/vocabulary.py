@@ -54,7 +54,8 @@ def pair_masses(states: DataFrame, key: str, cross: bool = True) -> DataFrame:
 
 def total_masses(masses: DataFrame, key: str) -> DataFrame:
     """(a, b, mass, n_sequences) over all sequences."""
-    return masses.groupBy("a", "b").agg(F.sum("mass").alias("mass"), F.count_distinct(key).alias("n_sequences"))
+    # masses has one row per key and pair
+    return masses.groupBy("a", "b").agg(F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("n_sequences"))
 
 
 def best_pair(totals: DataFrame) -> DataFrame:
@@ -130,17 +131,18 @@ class Chain:
         self.states = [list(s) for s in states]
         self.between = [None] * (len(self.states) - 1) if between is None else list(between)
 
-    def copy(self) -> Chain:
-        return Chain(self.states, self.between)
-
-    def tokens(self) -> list[int]:
+    def groups(self) -> list[list[int]]:
+        """Tokens state by state, each slot that holds a token as a group of its own."""
         out = []
         for k, s in enumerate(self.states):
-            out += s
+            out.append(list(s))
             if k < len(self.between) and self.between[k] is not None:
-                out.append(self.between[k])
+                out.append([self.between[k]])
         return out
 
+    def tokens(self) -> list[int]:
+        return [t for g in self.groups() for t in g]
+
     def tidy(self) -> None:
         """A state that ran empty takes the token in front of it; an empty state with an empty slot
         behind it disappears. Repeated until nothing changes."""
@@ -295,9 +297,10 @@ class Vocabulary:
                 return tokens
             tokens[at : at + 2] = [best]
 
-    def encode_best(self, states, path: bool = False):
+    def encode_best(self, states, path: bool = False, groups: bool = False):
         """Best-first merging with context slots. The score of a merge is its priority over the sizes of
-        what it joins; the first of equal scores in reading order wins. path: all stages as token lists."""
+        what it joins; the first of equal scores in reading order wins. path: all stages as token lists; groups: the
+        last stage state by state."""
         chain = Chain(states)
         stages = [chain.tokens()]
         while True:
@@ -314,7 +317,7 @@ class Vocabulary:
                             for u in b:
                                 best, how = self._better(best, how, t, u, 1 / (len(a) * len(b)), (kind, k))
             if how is None:
-                return stages if path else stages[-1]
+                return stages if path else chain.groups() if groups else stages[-1]
             (kind, k), (low, high), token = how
             if kind == "in":
                 chain.states[k] = [token] + [t for t in chain.states[k] if t not in (low, high)]
@@ -363,8 +366,14 @@ class Trainer:
     A pair's mass is kept up to date by recounting the sequences that hold it; a heap with stale entries
     gives the largest mass, ties to the smallest pair. Training ends early when no pair is left."""
 
-    def __init__(self, vocab: Vocabulary, corpus, cross: bool = True, allowed_slots: set[int] | None = None):
-        self.vocab, self.cross = vocab, cross
+    def __init__(self, vocab: Vocabulary, corpus, cross: bool = True, allowed_slots: set[int] | None = None, groups: dict[str, set[int]] | None = None):
+        """groups: slots by a name such as text or image; then every record says how many candidate pairs of each kind
+        there were before the merge, and their mass. A kind is the names of both sides, in the order of groups; a token of several
+        groups, or of none, is mixed."""
+        self.vocab, self.cross, self.groups = vocab, cross, groups
+        self._names: dict[int, str] = {}
+        self.kind_count: Counter = Counter()
+        self.kind_mass: dict = defaultdict(float)
         self.allowed = None if allowed_slots is None else (lambda t: {s for s, _ in vocab.parts(t)} <= allowed_slots)
         self.chains = [Chain(states) for states, _ in corpus]
         self.counts = [n for _, n in corpus]
@@ -377,11 +386,30 @@ class Trainer:
             for pair, w in m.items():
                 self.total[pair] += w * self.counts[k]
                 self.where[pair].add(k)
+        for pair, w in self.total.items():
+            self._track(pair, 0.0, w)
         # rounded, so that equal masses are ties whatever the order in which they were summed
         self.heap = [(-round(w, 9), pair) for pair, w in self.total.items()]
         heapq.heapify(self.heap)
         self.log: list[dict] = []
 
+    def _name(self, token: int) -> str:
+        if token not in self._names:
+            slots = {s for s, _ in self.vocab.parts(token)}
+            self._names[token] = next((g for g, own in self.groups.items() if slots <= own), "mixed")
+        return self._names[token]
+
+    def kind(self, pair: tuple[int, int]) -> str:
+        order = [*self.groups, "mixed"]
+        return "_".join(sorted(map(self._name, pair), key=order.index))
+
+    def _track(self, pair, before: float, after: float) -> None:
+        """Keep the counts and masses of candidate kinds when a pair's mass changes; 0 is no candidate."""
+        if self.groups is not None:
+            k = self.kind(pair)
+            self.kind_count[k] += (after > 1e-12) - (before > 1e-12)
+            self.kind_mass[k] += after - before
+
     def step(self) -> dict | None:
         while self.heap:
             w, pair = heapq.heappop(self.heap)
@@ -389,6 +417,10 @@ class Trainer:
                 break
         else:
             return None
+        seen = {} if self.groups is None else {
+            "selected": self.kind(pair), "candidate_counts": dict(+self.kind_count),
+            "candidate_masses": {k: self.kind_mass[k] for k, n in self.kind_count.items() if n > 0},
+        }
         token = self.vocab.add(*pair, -w)
         touched, kinds, change = sorted(self.where[pair]), Counter(), set()
         for k in touched:
@@ -397,7 +429,9 @@ class Trainer:
             for p in new.keys() | old.keys():
                 d = (new.get(p, 0.0) - old.get(p, 0.0)) * self.counts[k]
                 if d:
+                    before = self.total.get(p, 0.0)
                     self.total[p] += d
+                    self._track(p, before, self.total[p])
                     change.add(p)
                 (self.where[p].add if p in new else self.where[p].discard)(k)
             self.own[k] = new
@@ -410,7 +444,7 @@ class Trainer:
         record = {
             "event": "merge", "step": token - n + 1, "new_token": token, "left": pair[0], "right": pair[1], "priority": -w,
             "affected_sequences": sum(self.counts[k] for k in touched), "merge_types": dict(kinds),
-            "slots": sorted({s for s, _ in self.vocab.parts(token)}), "pair_updates": len(change),
+            "slots": sorted({s for s, _ in self.vocab.parts(token)}), "pair_updates": len(change), **seen,
         }
         self.log.append(record)
         return record
@@ -420,6 +454,13 @@ class Trainer:
             pass
         return self.vocab
 
+    def records(self, interval: int = 1) -> list[dict]:
+        """The log with a start and an end record, and of the merges every interval-th one and the last."""
+        n = len(self.vocab.atoms)
+        steps = [r for r in self.log if r["step"] % interval == 0 or r is self.log[-1]]
+        start = {"event": "start", "atoms": n - 1, "sequences": len(self.chains), "interactions": sum(self.counts), "cross": self.cross}
+        return [start, *steps, {"event": "end", "size": len(self.vocab), "steps": len(self.log), "candidates": len(self.total)}]
+
 
 def train_vocabulary(seqs: DataFrame, size: int, most_sequences: int = 2_000_000, **options) -> tuple[Vocabulary, list[dict]]:
     """Train on a DataFrame (feats: array of arrays, the code tuples of a sequence's items).
@@ -440,8 +481,8 @@ def encode_sequences(seqs: DataFrame, vocab: Vocabulary, key: str, mode: str = "
     """(key, tokens) of every sequence of feats, in Arrow batches; the rules travel with the function.
 
     mode ``feature``: tokens of a state in random order, then flat merging over the whole list; ``none``:
-    best-first with context slots; ``token``: the same, then a random order inside. Random orders depend
-    on the seed and the key alone. scope ``item`` encodes each item by itself."""
+    best-first with context slots; ``token``: the same, then the tokens of each state in random order, the states in
+    theirs. Random orders depend on the seed and the key alone. scope ``item`` encodes each item by itself."""
     import random
 
     if mode not in ("feature", "none", "token") or scope not in ("sequence", "item"):
@@ -454,8 +495,9 @@ def encode_sequences(seqs: DataFrame, vocab: Vocabulary, key: str, mode: str = "
             for s in states:
                 flat += rng.sample(s, len(s))
             return vocab.encode_flat(flat)
-        out = vocab.encode_best(states)
-        return rng.sample(out, len(out)) if mode == "token" else out
+        if mode == "token":
+            return [t for g in vocab.encode_best(states, groups=True) for t in rng.sample(g, len(g))]
+        return vocab.encode_best(states)
 
     def run(batches):
         for pdf in batches:

@@ -67,19 +67,14 @@ def atom_sources(s, d):
     return out.select(F.col("token").cast("long").alias("token"), F.array_join("sources", ",").alias("sources"))
 
 
-def provenance_classes(s, d, which="user % 50 = item % 50"):
-    """How the buyers' segments of two neighbouring parts relate, over a fiftieth of the purchases as the SQL has it."""
+def provenance_classes(s, d):
+    """How the buyers' segments of two neighbouring parts relate."""
     seg = table(s, d, "customer").select(F.col("c_custkey").alias("user"), "c_mktsegment")
-    src = purchases(s, d).join(seg, "user").where(which).groupBy("item").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("sources"))
+    src = purchases(s, d).join(seg, "user").groupBy("item").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("sources"))
     nxt = src.select((F.col("item") - 1).alias("item"), F.col("sources").alias("other"))
     return src.join(nxt, "item").groupBy(M.provenance(F.col("sources"), F.col("other")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def provenance_classes_all(s, d):
-    """The same over all purchases."""
-    return provenance_classes(s, d, "true")
-
-
 def _trained(s, d, size=160):
     seqs = purchases(s, d).join(slot_items(s, d), "item")
     rows = seqs.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "feats"))), lambda x: x["feats"]).alias("feats"))
@@ -189,7 +184,7 @@ def label_tokens(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        merge_path_stages, history_policies, model_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, provenance_classes_all, trained_merges, encoded_sequences,
+        merge_path_stages, history_policies, model_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
         merge_outputs, merge_transitions, merge_phases, merge_examples, merge_exposure, slot_permutation, candidate_kinds,
     )
 }
@@ -219,11 +214,6 @@ SQL = {
         SELECT token, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources
         FROM (SELECT item, unnest([0, 1, 2]) AS slot, unnest(feats) AS code FROM ({SLOT_ITEMS})) JOIN ({ATOMS}) USING (slot, code) JOIN part ON p_partkey = item GROUP BY token""",
     "provenance_classes": """
-        WITH src AS (SELECT l_partkey AS item, list_sort(list(DISTINCT c_mktsegment)) AS sources FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-          JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 50 = l_partkey % 50 GROUP BY 1)
-        SELECT CASE WHEN NOT list_has_any(x.sources, y.sources) THEN 'cross_source' WHEN len(list_distinct(x.sources || y.sources)) > 1 THEN 'mixed_or_shared_source' ELSE 'single_source' END AS kind,
-          count(*) AS n FROM src x JOIN src y ON y.item = x.item + 1 GROUP BY 1""",
-    "provenance_classes_all": """
         WITH src AS (SELECT l_partkey AS item, list_sort(list(DISTINCT c_mktsegment)) AS sources FROM lineitem JOIN orders ON l_orderkey = o_orderkey
           JOIN customer ON c_custkey = o_custkey GROUP BY 1)
         SELECT CASE WHEN NOT list_has_any(x.sources, y.sources) THEN 'cross_source' WHEN len(list_distinct(x.sources || y.sources)) > 1 THEN 'mixed_or_shared_source' ELSE 'single_source' END AS kind,

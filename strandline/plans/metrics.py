@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import codes as C
 from strandline.operators import ranking as G
+from strandline.operators.tables import kept
 from strandline.plans.inputs import HITS, PREDS, SEQS, predictions, purchases, table
 
 KS = (1, 3, 5)
@@ -57,18 +58,12 @@ def length_gap(s, d):
 
 
 def padded_inputs(s, d):
-    """Sequences between begin and end tokens with a control suffix, cut to twenty items, padded, with masks."""
-    seqs = purchases(s, d).groupBy("user").agg(F.slice(F.array_sort(F.collect_list(F.struct("ts", "okey", "line", "item", "supp"))), 1, 20).alias("r"))
-    items = F.transform("r", lambda x: x["item"])
-    tokens = F.concat(F.array(F.lit(-1).cast("long")), items, C.control_suffix(F.size("r"), [7, 8]).cast("array<bigint>"), F.array(F.lit(-2).cast("long")))
-    rows = seqs.select("user", tokens.alias("t"))
-    return rows.select("user", F.array_join(C.right_padded("t", 62), " ").alias("input_ids"), F.aggregate(C.attention_mask("t", 62), F.lit(0), lambda a, x: a + x).cast("long").alias("n_tokens"))
-
-
-def shuffled_states(s, d):
-    """A repeatable permutation of the first items of each customer: the same items, whatever the partitions."""
-    seqs = purchases(s, d).groupBy("user").agg(F.slice(F.array_sort(F.collect_set("item")), 1, 8).alias("seq"))
-    return seqs.select("user", F.array_join(F.array_sort(C.shuffled("seq", "user")), " ").alias("items"))
+    """Sequences between begin and end tokens with a control suffix, padded to the longest, with masks."""
+    seqs = purchases(s, d).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "okey", "line", "item", "supp"))), lambda x: x["item"]).alias("seq"))
+    tokens = F.concat(F.array(F.lit(-1).cast("long")), F.col("seq"), C.control_suffix(F.size("seq"), [7, 8]).cast("array<bigint>"), F.array(F.lit(-2).cast("long")))
+    rows = kept(seqs.select("user", tokens.alias("t")), "token-rows")
+    width = F.lit(rows.agg(F.max(F.size("t"))).first()[0] or 0)  # one number
+    return rows.select("user", F.array_join(C.right_padded("t", width), " ").alias("input_ids"), F.aggregate(C.attention_mask("t", width), F.lit(0), lambda a, x: a + x).cast("long").alias("n_tokens"))
 
 
 def shuffled_sequences(s, d):
@@ -80,7 +75,7 @@ def shuffled_sequences(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        first_hits, ranking_metrics, ranking_metrics_by_source, allowed_predictions, fused_rankings, invalid_shares, length_profile, length_gap, padded_inputs, shuffled_states, shuffled_sequences,
+        first_hits, ranking_metrics, ranking_metrics_by_source, allowed_predictions, fused_rankings, invalid_shares, length_profile, length_gap, padded_inputs, shuffled_sequences,
     )
 }
 
@@ -116,7 +111,9 @@ SQL = {
           round(avg(two), 6) AS two_mean, round(median(two), 6) AS two_median, min(two)::BIGINT AS two_min, max(two)::BIGINT AS two_max, round_even(avg(two) - avg(one), 0)::BIGINT AS gap
         FROM (SELECT p_size % 5 + 1 AS one, p_size % 9 + 3 AS two FROM part)""",
     "padded_inputs": f"""
-        SELECT user, array_to_string(t || list_transform(range(62 - len(t)), lambda x: 0), ' ') AS input_ids, len(t) AS n_tokens FROM (
-          SELECT user, [-1] || s || flatten(list_transform(range(len(s)), lambda x: [7, 8])) || [-2] AS t FROM (SELECT user, seq[1:20] AS s FROM ({SEQS})))""",
-    "shuffled_states": f"SELECT user, array_to_string(list_sort(list_distinct(seq))[1:8], ' ') AS items FROM ({SEQS})",
+        WITH r AS (SELECT user, [-1] || seq || flatten(list_transform(range(len(seq)), lambda x: [7, 8])) || [-2] AS t FROM ({SEQS}))
+        SELECT user, array_to_string(t || list_transform(range((SELECT max(len(t)) FROM r) - len(t)), lambda x: 0), ' ') AS input_ids, len(t) AS n_tokens FROM r""",
+    "shuffled_sequences": f"""
+        SELECT user, string_agg(item, ' ' ORDER BY md5('2024|' || user || '|' || i || '|' || item), i) AS items FROM (
+          SELECT user, unnest(seq) AS item, generate_subscripts(seq, 1) - 1 AS i FROM ({SEQS})) GROUP BY user""",
 }

@@ -85,8 +85,8 @@ def unknown_items(s, d):
 
 def key_difference(s, d):
     """Customers and suppliers by nation: nations that only one side has."""
-    c = table(s, d, "customer").where("c_acctbal > 9000").select((F.col("c_nationkey") * 7 + F.floor(F.col("c_acctbal") / 100)).alias("k"))
-    p = table(s, d, "supplier").where("s_acctbal > 9000").select((F.col("s_nationkey") * 7 + F.floor(F.col("s_acctbal") / 100)).alias("k"))
+    c = table(s, d, "customer").select((F.col("c_nationkey") * 7 + F.floor(F.col("c_acctbal") / 100)).alias("k"))
+    p = table(s, d, "supplier").select((F.col("s_nationkey") * 7 + F.floor(F.col("s_acctbal") / 100)).alias("k"))
     return I.key_difference(c, p, "k")
 
 
@@ -143,20 +143,20 @@ def _streamed(s, d):
 
 
 def streamed_sequences(s, d):
-    """Lengths and first items of the streamed sequences."""
-    return _streamed(s, d).select("user_id", F.size("seq").cast("long").alias("n"), F.array_join(F.slice("seq", 1, 5), " ").alias("first_items"))
-
-
-def streamed_sequences_whole(s, d):
     """The streamed sequences with all their items."""
     return _streamed(s, d).select("user_id", F.array_join("seq", " ").alias("items"))
 
 
+def training_frequency(s, d):
+    """How often each item stands in a training prefix."""
+    return I.training_frequency(_seqs(s, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         user_sequences, user_positions, user_ids, item_ids, leave_one_out, prefix_windows, eval_windows, dataset_stats, merged_categories, item_sources,
-        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, streamed_sequences_whole,
+        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, training_frequency,
     )
 }
 
@@ -195,8 +195,8 @@ SQL = {
         EXCEPT SELECT item FROM ({PURCHASES}) WHERE year(ts) = 1996""",
     "key_difference": """
         SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side
-        FROM (SELECT DISTINCT c_nationkey * 7 + CAST(floor(c_acctbal / 100) AS BIGINT) AS k FROM customer WHERE c_acctbal > 9000) a
-        FULL JOIN (SELECT DISTINCT s_nationkey * 7 + CAST(floor(s_acctbal / 100) AS BIGINT) AS k FROM supplier WHERE s_acctbal > 9000) b ON a.k = b.k
+        FROM (SELECT DISTINCT c_nationkey * 7 + CAST(floor(c_acctbal / 100) AS BIGINT) AS k FROM customer) a
+        FULL JOIN (SELECT DISTINCT s_nationkey * 7 + CAST(floor(s_acctbal / 100) AS BIGINT) AS k FROM supplier) b ON a.k = b.k
         WHERE a.k IS NULL OR b.k IS NULL""",
     "image_status": """
         SELECT CASE WHEN s_suppkey IS NULL THEN 'missing' ELSE 'downloaded' END AS status, count(*) AS n
@@ -210,7 +210,6 @@ SQL = {
     "first_with_image": """
         SELECT p_partkey AS item, p_name, s_name FROM part JOIN supplier ON s_suppkey * 3 = p_partkey
         WHERE p_name <> '' AND s_acctbal > 0 ORDER BY item LIMIT 1""",
-    "streamed_sequences": """
-        SELECT user_id, count(*) AS n, array_to_string(list(event_id ORDER BY ts, event_id)[1:5], ' ') AS first_items FROM events GROUP BY user_id""",
-    "streamed_sequences_whole": "SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ' ') AS items FROM events GROUP BY user_id",
+    "streamed_sequences": "SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ' ') AS items FROM events GROUP BY user_id",
+    "training_frequency": f"SELECT item, count(*) AS n FROM (SELECT unnest(seq[1:len(seq) - 2]) AS item FROM ({SEQS}) WHERE len(seq) > 2) GROUP BY item",
 }

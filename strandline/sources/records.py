@@ -40,12 +40,21 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
 
 
-def lenient_json(spark: SparkSession, path, schema: str | T.StructType, spread: int | None = None) -> DataFrame:
+def utf8_violations(lines: DataFrame) -> DataFrame:
+    """(file, line) of lines that are no UTF-8."""
+    return lines.where(~F.is_valid_utf8("value")).select("file", "line")
+
+
+def lenient_json(spark: SparkSession, path, schema: str | T.StructType, spread: int | None = None, strict_utf8: bool = False) -> DataFrame:
     """(file, line, fields of schema) of JSON lines, gzip included; lines that neither JSON nor a literal
     reading understands are skipped.
 
-    Only lines that fail strict JSON visit Python. ``spread`` deals the rows of an unsplittable file out."""
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    Only lines that fail strict JSON visit Python. ``spread`` deals the rows of an unsplittable file out.
+    Bytes that are no UTF-8 are replaced, or with ``strict_utf8`` an error."""
+    lines = numbered_lines(spark, path)
+    if strict_utf8:
+        lines = lines.withColumn("value", F.validate_utf8("value"))
+    lines = lines.where(F.trim("value") != "")
     if spread:
         lines = lines.repartition(spread)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
@@ -101,13 +110,33 @@ def behaviour_log(rows: DataFrame) -> DataFrame:
     return rows.select("user", F.posexplode("seq").alias("ts", "item"), (F.col("line") * 1).alias("ord")).select("user", "item", F.col("ts").cast("double").alias("ts"), "ord")
 
 
-def pairs(spark: SparkSession, path, columns: tuple[str, str] = ("item", "user")) -> DataFrame:
-    """(user, item, ts, line) of a comma file in either column order, blank lines and a header skipped."""
-    raw = numbered_lines(spark, path).where(F.trim("value") != "")
-    part = F.split("value", ",")
-    names = {columns[0]: F.trim(F.get(part, 0)), columns[1]: F.trim(F.get(part, 1))}
-    out = raw.select(names["user"].alias("user"), names["item"].alias("item"), F.expr("try_cast(trim(get(split(value, ','), 2)) as double)").alias("ts"), "line")
-    return out.where("ts is not null")
+def _pair_fields(spark: SparkSession, path, columns: tuple[str, str]) -> DataFrame:
+    raw = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
+    # quoted fields are read as in any comma file; a field does not go on in the next line
+    cut = F.from_csv("value", "a string, b string, c string", {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    out = raw.withColumn("_r", cut).withColumn("_raw", F.trim("_r.c"))
+    names = {columns[0]: F.trim("_r.a"), columns[1]: F.trim("_r.b")}
+    out = out.select("file", "line", names["user"].alias("user"), names["item"].alias("item"), "_raw", F.expr("try_cast(_raw as double)").alias("ts"))
+    # a line that names the columns is none of the pairs
+    return out.where(~F.coalesce(F.lower("_raw").isin("timestamp", "time", "ts"), F.lit(False)))
+
+
+def pair_violations(spark: SparkSession, path, columns: tuple[str, str] = ("item", "user")) -> DataFrame:
+    """(rule, file, line): fewer than three fields, an empty user or item, a time that is no finite number."""
+    rows = _pair_fields(spark, path, columns)
+    rule = F.when(F.col("_raw").isNull(), "fields").when((F.coalesce("user", F.lit("")) == "") | (F.coalesce("item", F.lit("")) == ""), "empty")
+    finite = F.col("ts").isNotNull() & ~F.isnan("ts") & (F.abs("ts") < float("inf"))
+    return rows.select(rule.when(~F.coalesce(finite, F.lit(False)), "time").alias("rule"), "file", "line").where("rule is not null")
+
+
+def pairs(spark: SparkSession, path, columns: tuple[str, str] = ("item", "user"), check: bool = True) -> DataFrame:
+    """(user, item, ts, line) of a comma file in either column order, with quotes and a byte order mark, blank lines
+    and a header skipped. A row that breaks a rule of pair_violations is an error, found in a scan before; without
+    the check such rows are left out."""
+    if check:
+        require_empty(pair_violations(spark, path, columns), f"pairs in {path}")
+    rows = _pair_fields(spark, path, columns).where("user <> '' and item <> '' and ts is not null and not isnan(ts) and abs(ts) < double('infinity')")
+    return rows.select("user", "item", "ts", "line")
 
 
 def item_texts(spark: SparkSession, path) -> DataFrame:
@@ -154,6 +183,11 @@ def images(spark: SparkSession, path: str, suffixes=(".jpg", ".jpeg", ".png", ".
     return files.where(end.isin(list(suffixes))).select(F.regexp_replace(name, r"\.[^.]+$", "").alias("item"), "path", "length")
 
 
+def image_violations(files: DataFrame) -> DataFrame:
+    """(rule, item): items with several pictures."""
+    return files.groupBy("item").count().where("count > 1").select(F.lit("repeated item").alias("rule"), "item")
+
+
 def image_base64(spark: SparkSession, path: str) -> DataFrame:
     """(item, data): contents as data addresses."""
     files = spark.read.format("binaryFile").load(path)

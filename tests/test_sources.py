@@ -31,25 +31,32 @@ def test_lenient_json_gzip(spark, tmp_path):
 
 def test_behaviour_file(spark, tmp_path):
     path = tmp_path / "b.tsv"
-    path.write_text("﻿u2\tv2 v1\nu1\tv1 v3\n")
+    path.write_text("﻿carol\tq9 q4 q4\nada\tq4 q7 q9 q1\n")
     rows = R.behaviours(spark, str(path))
     assert R.behaviour_violations(rows).count() == 0
     seqs = rows.select("user", "seq")
     stats = I.dataset_stats(seqs).first()
-    assert (stats["n_users"], stats["n_items"], stats["n_interactions"]) == (3, 4, 4)
+    assert (stats["n_users"], stats["n_items"], stats["n_interactions"]) == (3, 5, 7)
     ids = I.first_appearance_ids(R.behaviour_log(rows), "item", [F.col("ord"), F.col("ts")])
-    assert {r["item"]: r["id"] for r in ids.collect()} == {"v2": 1, "v1": 2, "v3": 3}
+    assert {r["item"]: r["id"] for r in ids.collect()} == {"q9": 1, "q4": 2, "q7": 3, "q1": 4}
     bad = tmp_path / "bad.tsv"
-    bad.write_text("u1\tv1\nu1\tv2\nu3\t \n")
+    bad.write_text("ada\tq1 q2\nbob\t  \nada\tq3\n")
     assert {r["rule"] for r in R.behaviour_violations(R.behaviours(spark, str(bad))).collect()} == {"repeated user", "empty sequence"}
     with pytest.raises(ValueError):
         R.require_empty(R.behaviour_violations(R.behaviours(spark, str(bad))), "behaviours")
 
 
 def test_pairs_and_texts(spark, tmp_path):
-    (tmp_path / "p.csv").write_text("item,user,timestamp\nv2,u1,20\n\nv1,u1,10\nv3,u2,5\n")
+    (tmp_path / "p.csv").write_text("\ufeffitem,user,timestamp\nq7,ada,31.5\n\n\"q,4\",ada,30\nq1, bob ,8,more\nq9,ada,31.5\n")
     log = R.pairs(spark, str(tmp_path / "p.csv")).withColumnRenamed("line", "ord")
-    assert {r["user"]: r["seq"] for r in I.sequences(log).collect()} == {"u1": ["v1", "v2"], "u2": ["v3"]}
+    assert {r["user"]: r["seq"] for r in I.sequences(log).collect()} == {"ada": ["q,4", "q7", "q9"], "bob": ["q1"]}
+    (tmp_path / "bad.csv").write_text("q1,ada,1\nq2,ada\n,ada,3\nq3,ada,soon\nq4,ada,nan\nq5,,5\nq6,ada,6\n")
+    bad = R.pair_violations(spark, str(tmp_path / "bad.csv"))
+    assert sorted(r["rule"] for r in bad.collect()) == ["empty", "empty", "fields", "time", "time"]
+    with pytest.raises(ValueError, match="pairs in"):
+        R.pairs(spark, str(tmp_path / "bad.csv"))
+    assert [r["item"] for r in R.pairs(spark, str(tmp_path / "bad.csv"), check=False).collect()] == ["q1", "q6"]
+    assert {r["user"] for r in R.pairs(spark, str(tmp_path / "bad.csv"), ("user", "item"), check=False).collect()} == {"q1", "q6"}
     (tmp_path / "t.csv").write_text('item_id,zh,en\nv1,"甲, 乙",one\nv2,,two\n')
     texts = R.item_texts(spark, str(tmp_path / "t.csv"))
     got = {r["item"]: r["t"] for r in texts.select("item", X.bilingual_text("zh", "en").alias("t")).collect()}
@@ -68,6 +75,9 @@ def test_manifests_and_images(spark, tmp_path):
     files = R.images(spark, str(pics))
     assert {r["item"] for r in files.collect()} == {"v1", "v2"}
     assert [r["item"] for r in R.available(m, files).collect()] == ["v1"]
+    assert R.image_violations(files).count() == 0
+    (pics / "v1.webp").write_bytes(b"x")
+    assert [(r["rule"], r["item"]) for r in R.image_violations(R.images(spark, str(pics))).collect()] == [("repeated item", "v1")]
     assert {r["data"].split(";")[0] for r in R.image_base64(spark, str(pics / "v1.jpg")).collect()} == {"data:image/jpeg"}
     (tmp_path / "s.jsonl").write_text('{"item_id": "v1", "status": "failed"}\nbroken{\n{"item_id": "v1", "status": "downloaded"}\n')
     assert R.status_manifest(spark, str(tmp_path / "s.jsonl")).first()["status"] == "downloaded"
@@ -98,6 +108,62 @@ def test_matrix_and_artefacts(spark, tmp_path):
     assert one == two and one["n_rows"] == 2
 
 
+def test_utf8_can_be_strict(spark, tmp_path):
+    (tmp_path / "r.json").write_bytes(b'{"reviewerID": "u", "asin": "\xff\xfe", "unixReviewTime": 1}\n{"reviewerID": "v", "asin": "a", "unixReviewTime": 2}\n')
+    schema = "reviewerID string, asin string"
+    assert R.lenient_json(spark, str(tmp_path / "r.json"), schema).count() == 2
+    assert R.utf8_violations(R.numbered_lines(spark, str(tmp_path / "r.json"))).count() == 1
+    with pytest.raises(Exception, match="UTF"):
+        R.lenient_json(spark, str(tmp_path / "r.json"), schema, strict_utf8=True).collect()
+
+
+def test_nested_fields_as_text(spark):
+    rows = [('{"a": [" x ", {"b": 2, "c": null}], "d": ""}',), ("plain words",), (None,), ('["p", ["q", 1.5]]',)]
+    df = spark.createDataFrame(rows, "v string")
+    assert [r[0] for r in df.select(X.flattened("v")).collect()] == ["x 2", "plain words", "", "p q 1.5"]
+    made = df.limit(1).select(X.flattened(F.to_json(F.struct(F.array(F.lit("m"), F.lit("n")).alias("k"), F.lit(7).alias("z")))).alias("t"))
+    assert made.first()["t"] == "m n 7"
+
+
+def test_categories_are_checked():
+    from strandline.operators.registry import categories_of
+
+    assert categories_of(" Beauty, Baby,,") == ["Beauty", "Baby"] and categories_of(["one"], known=("one",)) == ["one"]
+    for wrong in ("", [], "Beauty,Unheard", " , "):
+        with pytest.raises(ValueError):
+            categories_of(wrong)
+
+
+def test_training_frequency(spark):
+    df = spark.createDataFrame([("u", ["a", "b", "a", "c"]), ("v", ["a", "b"]), ("w", ["c", "d", "e"]), ("x", [])], "user string, seq array<string>")
+    assert {r["item"]: r["n"] for r in I.training_frequency(df).collect()} == {"a": 1, "b": 1, "c": 1}
+
+
+def test_vocabulary_catalogue_and_caches(spark, tmp_path):
+    rows = [(1, 0, 0, 0, 5, 0.0), (2, 0, 0, 1, 6, 0.0), (3, 1, 2, -1, -1, 2.0), (4, 3, 1, -1, -1, 1.0)]
+    A.save(spark.createDataFrame(rows, "token int, left int, right int, slot int, code int, priority double"), str(tmp_path / "vocab"))
+    assert A.vocabulary(spark, str(tmp_path / "vocab")).count() == 4 and A.vocabulary(spark, str(tmp_path / "vocab"), 4).count() == 3
+    for size in (2, 6):
+        with pytest.raises(ValueError):
+            A.vocabulary(spark, str(tmp_path / "vocab"), size)
+    (tmp_path / "c.jsonl").write_text('{"item_id": "a", "title": "T", "image_url": "http://x"}\n{"item_id": "b", "text": "words"}\n')
+    assert {(r["item_id"], r["title"], r["text"]) for r in R.catalogue(spark, str(tmp_path / "c.jsonl")).collect()} == {("a", "T", None), ("b", None, "words")}
+    paths = spark.createDataFrame([([1, 2], [[1, 2], [3]])], "feats array<int>, path array<array<int>>")
+    A.path_cache(paths, f"{tmp_path}/cache", "abc")
+    A.path_cache(paths.limit(0), f"{tmp_path}/cache", "def")
+    assert A.cached_paths(spark, f"{tmp_path}/cache", "abc").first()["path"] == [[1, 2], [3]] and A.cached_paths(spark, f"{tmp_path}/cache", "def").count() == 0
+    out = spark.createDataFrame([(k, f"v{k}") for k in range(20)], "k int, v string")
+    A.save_json(out, str(tmp_path / "json"), order=["k"])
+    A.save_json(out.limit(3), str(tmp_path / "more"))
+    A.save_json(out.limit(2), str(tmp_path / "more"), append=True)
+    assert spark.read.json(str(tmp_path / "json")).count() == 20 and spark.read.json(str(tmp_path / "more")).count() == 5
+    with pytest.raises(Exception):
+        A.save_json(out, str(tmp_path / "json"))
+    files = sorted((tmp_path / "json").glob("part-*"))
+    ks = [json.loads(line)["k"] for f in files for line in f.read_text().splitlines()]
+    assert ks == sorted(ks)
+
+
 def test_config(tmp_path):
     assert config.parse_command_line(["--a=1", "--b", "[1, 2]", "--flag", "--c=__import__('os')"]) == {"a": 1, "b": [1, 2], "flag": True, "c": "__import__('os')"}
     (tmp_path / "c.yaml").write_text("a: 1\nb: text\n")
@@ -141,7 +207,7 @@ def test_codes_and_vectors(spark):
     with pytest.raises(Exception):
         v.select(V.normalise("z", strict=True)).collect()
     assert len(K.perfect_matchings(8)) == 105
-    assert df.select(C.with_null_slots(F.array(*[F.lit(x) for x in (1, 2, 3, 4, 11, 12, 13, 14, 7)]), 4, 4)).first()[0] == [1, 2, 3, 4, 256, 256, 256, 256, 7]
+    assert df.select(C.with_null_slots(F.array(*[F.lit(x) for x in (9, 8, 7, 6, 31, 32, 33, 34, 5)]), 4, 4)).first()[0] == [9, 8, 7, 6, 256, 256, 256, 256, 5]
 
 
 def test_ranking_edge_cases(spark):
