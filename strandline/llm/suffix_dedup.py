@@ -2,14 +2,16 @@
 
 Every string of ``MATCH`` bytes has an anchor: of its GRAM-byte substrings the one with the smallest
 hash, leftmost on ties. Equal strings have the same anchor at the same place, so only suffixes that
-begin at anchors (about one in eighty bytes) need to be indexed. A suffix enters a suffix array with
-its first bytes and two fingerprints: of its first GRAM bytes, and of the whole span of bytes that the
-strings with this anchor cover.
+begin at anchors (about one in eighty bytes) need to be indexed. A suffix enters a suffix array twice, with its
+first GRAM bytes as they are: once with the fingerprint of these bytes, which all suffixes that agree so far share, and once with
+that of the whole span of bytes that the strings with this anchor cover.
 
-A batch of documents becomes one sorted suffix array: a table of distinct suffixes with counts (so a
-passage that stands everywhere is one row), bucketed by key and sorted by prefix. It is merge-scanned
-against every existing level for suffixes that occur there too, and then levels of equal size merge,
-bucket by bucket and without a shuffle, so a suffix is rewritten a logarithmic number of times.
+A batch of documents becomes one sorted suffix array: a table of distinct entries with counts (so a
+passage that stands everywhere is one row), bucketed, and inside a bucket in the order of the suffixes. It is merge-scanned,
+two sorted buckets side by side, against every existing level for suffixes that occur there too, and then levels of
+equal size merge, bucket by bucket and without a shuffle, so a suffix is rewritten a logarithmic number of times.
+A family at a path outlives the session: later batches meet the levels of earlier ones, and a batch that is added again under its
+name is not indexed twice.
 
 Whatever the scans hit is then checked by whole strings: an anchor whose entire span is repeated is
 covered; around the ends of matches each single string of MATCH bytes is fingerprinted and looked up.
@@ -24,6 +26,7 @@ is kept is binary; extra columns are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 import gc
+import json
 import uuid
 
 import numpy as np
@@ -77,7 +80,8 @@ def pieces(texts: list[bytes]):
 
 
 def anchors(blocks: list[bytes]):
-    """Of every anchor: block number, place, first and last start of its strings, prefix, gram and span prints."""
+    """Of every anchor: block number, place, first and last start of its strings, place in all blocks together, gram and
+    span prints."""
     data = b"".join(blocks)
     sizes = np.array([len(b) for b in blocks])
     ends = np.cumsum(sizes)
@@ -96,9 +100,7 @@ def anchors(blocks: list[bytes]):
     h1 = grams[p]
     shape = ((p - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)
     h2 = mix(prints.of(lo, hi + MATCH) + mix(h1 ^ shape))
-    raw = prints.raw.astype(np.int64)
-    prefix = ((raw[p] << 24) | (raw[p + 1] << 16) | (raw[p + 2] << 8) | raw[p + 3]) - (1 << 31)
-    return block, p - begins[block], lo - begins[block], hi - begins[block], prefix.astype(np.int32), h1.view(np.int64), h2.view(np.int64)
+    return block, p - begins[block], lo - begins[block], hi - begins[block], p, h1.view(np.int64), h2.view(np.int64)
 
 
 def _parts(batches, rows: int = 512):
@@ -126,23 +128,26 @@ def _bytes(column) -> list[bytes]:
 
 
 def _suffixes(batches):
-    """Texts -> two suffix keys of each anchor, counted over a run of texts."""
+    """Texts -> the two entries of each anchored suffix: its first GRAM bytes, and a fingerprint."""
     for batch in _parts(batches):
         for run in _groups(pieces(_bytes(batch.column(0)))):
-            _, _, _, _, prefix, h1, h2 = anchors([b for _, _, b in run])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix, prefix])), pa.array(np.concatenate([h1, h2]))], names=["prefix", "h"])
+            blocks = [b for _, _, b in run]
+            *_, p, h1, h2 = anchors(blocks)
+            heads = np.frombuffer(b"".join(blocks), np.uint8)[p[:, None] + np.arange(GRAM)]
+            suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GRAM), len(p), [None, pa.py_buffer(np.ascontiguousarray(heads))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([suffix, suffix]), pa.array(np.concatenate([h1, h2]))], names=["suffix", "h"])
 
 
 def _places(batches):
     """Documents -> their anchors."""
     for batch in _parts(batches):
         for run in _groups(pieces(_bytes(batch.column(2)))):
-            block, _, lo, hi, prefix, h1, h2 = anchors([b for _, _, b in run])
+            block, _, lo, hi, _, h1, h2 = anchors([b for _, _, b in run])
             row = pa.array(np.array([k for k, _, _ in run], np.int64)[block])
             off = np.array([o for _, o, _ in run], np.int64)[block]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(lo + off), pa.array((hi - lo).astype(np.int32)), pa.array(prefix), pa.array(h1), pa.array(h2)],
-                names=["k1", "k2", "lo", "more", "prefix", "h1", "h2"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(lo + off), pa.array((hi - lo).astype(np.int32)), pa.array(h1), pa.array(h2)],
+                names=["k1", "k2", "lo", "more", "h1", "h2"],
             )
 
 
@@ -270,57 +275,99 @@ def _remove(batches):
 
 
 class SuffixLevels:
-    """The index family. Each level is a bucketed table (prefix, h, n) of distinct suffixes, sorted by
-    prefix and fingerprint; a level of rank r holds 2**r batches."""
+    """The index family. Each level is a bucketed table (suffix, h, n) of distinct entries, sorted by suffix and
+    fingerprint; a level of rank r holds 2**r batches.
 
-    def __init__(self, spark: SparkSession):
+    At a path the family lasts: a manifest there names its levels, the batches they hold and what each batch shared with
+    others when it came. Manifests are numbered and put in place by a rename after what they name is complete, so
+    whatever is lost on the way, the last manifest is true, and the batch is added again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
+        self.path = (path or scratch_path(spark, "suffix-family")).rstrip("/")
+        jvm = spark._jvm
+        self._hadoop = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}" if x else self.path)
+        self._fs = self._hadoop("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.version, self.levels, self.batches = 0, [], {}  # levels: rank, table, folder; batches: name, folder of its hits
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[tuple[int, str, str]] = []  # rank, table, path
-        self.hits: list[DataFrame] = []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._hadoop(""))] if self._fs.exists(self._hadoop("")) else []
+        found = [int(x[9:-5]) for x in names if x.startswith("manifest-") and x.endswith(".json")]
+        if found:
+            self.version = max(found)
+            text = spark.read.option("wholetext", True).text(f"{self.path}/manifest-{self.version}.json").first()[0]
+            state = json.loads(text)
+            self.buckets, self.batches = state["buckets"], state["batches"]
+            self.levels = [(rank, self._table(folder), folder) for rank, folder in state["levels"]]
+
+    def _table(self, folder: str) -> str:
+        name = f"suffix_level_{uuid.uuid4().hex[:12]}"
+        self.spark.sql(
+            f"CREATE TABLE {name} (suffix BINARY, h BIGINT, n BIGINT) USING parquet CLUSTERED BY (suffix, h) SORTED BY (suffix, h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{folder}'"
+        )
+        return name
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
-        name, path = f"suffix_level_{uuid.uuid4().hex[:12]}", scratch_path(self.spark, "suffix-level")
-        rows.write.format("parquet").bucketBy(self.buckets, "prefix", "h").sortBy("prefix", "h").option("path", path).saveAsTable(name)
-        return name, path
-
-    def _drop(self, table: str, path: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        discard(self.spark, path)
-
-    def add(self, texts: DataFrame) -> DataFrame:
-        """Index a batch (one column of texts); returns the keys it shares with itself or any level."""
-        rows = texts.mapInArrow(_suffixes, "prefix int, h long").groupBy("prefix", "h").agg(F.count(F.lit(1)).alias("n"))
-        table, path = self._write(rows)
-        own = self.spark.table(table)
-        found = own.where("n > 1").select("prefix", "h")
-        for _, level, _ in self.levels:
-            found = found.unionByName(own.select("prefix", "h").join(self.spark.table(level).select("prefix", "h"), ["prefix", "h"]))
-        found = stored(found, "suffix-hits")
-        self.hits.append(found)
-        self.levels.append((0, table, path))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a, pa_), (_, b, pb) = self.levels.pop(), self.levels.pop()
-            left, right = self.spark.table(a), self.spark.table(b).withColumnRenamed("n", "m")
-            both = left.join(right, ["prefix", "h"], "full_outer")
-            merged = both.select("prefix", "h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("long").alias("n"))
-            table, path = self._write(merged)
-            self._drop(a, pa_)
-            self._drop(b, pb)
-            self.levels.append((rank + 1, table, path))
-        return found
+        name, folder = f"suffix_level_{uuid.uuid4().hex[:12]}", f"level-{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, "suffix", "h").sortBy("suffix", "h").option("path", f"{self.path}/{folder}").saveAsTable(name)
+        return name, folder
+
+    def _commit(self) -> None:
+        self.version += 1
+        state = {"buckets": self.buckets, "levels": [[rank, folder] for rank, _, folder in self.levels], "batches": self.batches}
+        aside, place = self._hadoop(f"aside-{uuid.uuid4().hex}"), self._hadoop(f"manifest-{self.version}.json")
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs.rename(aside, place):
+            raise RuntimeError(f"another writer has made manifest {self.version} of {self.path}")
+
+    def add(self, texts: DataFrame, batch: str | None = None) -> DataFrame:
+        """Index a batch (one column of texts); returns the fingerprints it shares with itself or any level."""
+        batch = batch or uuid.uuid4().hex
+        if batch not in self.batches:
+            rows = texts.mapInArrow(_suffixes, "suffix binary, h long").groupBy("suffix", "h").agg(F.count(F.lit(1)).alias("n"))
+            table, folder = self._write(rows)
+            own = self.spark.table(table)
+            found = own.where("n > 1").select("h")
+            for _, level, _ in self.levels:
+                found = found.unionByName(own.select("suffix", "h").join(self.spark.table(level).select("suffix", "h"), ["suffix", "h"]).select("h"))
+            hits = f"hits-{uuid.uuid4().hex}"
+            found.write.parquet(f"{self.path}/{hits}")
+            self.levels.append((0, table, folder))
+            old = []
+            while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+                (rank, a, fa), (_, b, fb) = self.levels.pop(), self.levels.pop()
+                left, right = self.spark.table(a), self.spark.table(b).withColumnRenamed("n", "m")
+                both = left.join(right, ["suffix", "h"], "full_outer")
+                merged = both.select("suffix", "h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).cast("long").alias("n"))
+                self.levels.append((rank + 1, *self._write(merged)))
+                old += [(a, fa), (b, fb)]
+            self.batches[batch] = hits
+            self._commit()
+            for table, folder in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                self._fs.delete(self._hadoop(folder), True)
+        return self._hits(batch)
+
+    def _hits(self, batch: str) -> DataFrame:
+        return self.spark.read.schema("h long").parquet(f"{self.path}/{self.batches[batch]}")
 
     def matched(self) -> DataFrame:
-        """Distinct keys that occur twice or more in all that was added."""
-        every = self.hits[0]
-        for x in self.hits[1:]:
-            every = every.unionByName(x)
-        return every.distinct()
+        """Distinct fingerprints (h) that occur twice or more in all that was added."""
+        every = None
+        for batch in sorted(self.batches):
+            every = self._hits(batch) if every is None else every.unionByName(self._hits(batch))
+        return self.spark.createDataFrame([], "h long") if every is None else every.distinct()
 
     def close(self) -> None:
-        for _, table, path in self.levels:
-            self._drop(table, path)
-        self.levels = []
+        """Forget the names of the tables; the files stay."""
+        for _, table, _ in self.levels:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def delete(self) -> None:
+        self.close()
+        discard(self.spark, self.path)
 
 
 def release(spark: SparkSession) -> None:
@@ -329,48 +376,53 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, family: SuffixLevels | None = None, name: str = "batch", earlier: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (removed runs of bytes: start, end), kept (binary).
 
-    The rows of docs itself are indexed, in batches by a hash of the text; how many only changes the work, not
-    the result. Each batch reads docs again, so an input of one file or none is one batch.
+    The rows of docs itself are indexed, in batches by a hash of doc_id and text; how many only changes the work, not
+    the result. Each batch reads docs again. With a family that lasts, docs are added to it under name, and
+    what they share with its earlier batches goes from them too: earlier are those batches' documents, which are read for the
+    ends of matches and are not in the result; without them only whole spans of anchors are found there.
     """
     spark = docs.sparkSession
     text = text_or_empty().alias("text")
-    n = min(batches, len(docs.inputFiles())) if batches > 1 else 1
-    family = SuffixLevels(spark)
-    if n > 1:
-        for k in range(n):
-            family.add(docs.where(F.pmod(F.xxhash64(text_or_empty()), F.lit(n)) == k).select(text))
-            release(spark)
-    else:
-        family.add(docs.select(text))
-    found = stored(family.matched(), "suffix-matches")
-    family.close()
-    discard(spark, *family.hits)
+    own = family or SuffixLevels(spark)
+    part = F.pmod(F.xxhash64("doc_id", text_or_empty()), F.lit(batches))
+    for k in range(batches):
+        own.add((docs.where(part == k) if batches > 1 else docs).select(text), f"{name}-{k}-{batches}")
+        release(spark)
+    found = stored(own.matched(), "suffix-matches")
+    if family is None:
+        own.delete()
     release(spark)
 
     # the key of a document: equal rows share it, and then also all that is found for it
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text_or_empty()).alias("k2"), text, F.col("doc_id").cast("long").alias("doc_id"))
-    places = keyed.select("k1", "k2", "text").mapInArrow(_places, "k1 long, k2 long, lo long, more int, prefix int, h1 long, h2 long")
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text_or_empty()).alias("k2"), text]
+    keyed = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"))
+    every = keyed.select("k1", "k2", "text")
+    if earlier is not None:
+        every = every.unionByName(earlier.select(*keys))
+    places = every.mapInArrow(_places, "k1 long, k2 long, lo long, more int, h1 long, h2 long")
     # the gram print of an anchor has to be repeated; if its span print is too, all its strings are
-    hot = places.join(found.select("prefix", F.col("h").alias("h1")), ["prefix", "h1"], "left_semi")
-    hot = stored(hot.join(found.select("prefix", F.col("h").alias("h2"), F.lit(True).alias("whole")), ["prefix", "h2"], "left"), "suffix-places")
+    hot = places.join(found.select(F.col("h").alias("h1")), "h1", "left_semi")
+    hot = stored(hot.join(found.select(F.col("h").alias("h2"), F.lit(True).alias("whole")), "h2", "left"), "suffix-places")
     release(spark)
 
     # the strings of the other anchors are looked up one by one, among themselves and among those of
     # one representative of each repeated span with the same gram
     part = hot.where("whole is null")
-    one = hot.where("whole").groupBy("prefix", "h1", "h2").agg(F.min(F.struct("k1", "k2", "lo", "more")).alias("at"))
-    one = one.join(part.select("prefix", "h1").distinct(), ["prefix", "h1"], "left_semi").select("at.*", "prefix", "h1")
-    ends = stored(part.select("k1", "k2", "lo", "more", "prefix", "h1").unionByName(one), "suffix-ends")
+    one = hot.where("whole").groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "lo", "more")).alias("at"))
+    one = one.join(part.select("h1").distinct(), "h1", "left_semi").select("at.*", "h1")
+    ends = stored(part.select("k1", "k2", "lo", "more", "h1").unionByName(one), "suffix-ends")
     # contexts of one gram are compared in one place, unless they are many: those meet string by string
-    many = ends.groupBy("prefix", "h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("prefix", "h1", F.lit(True).alias("hot"))
+    many = ends.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h1", F.lit(True).alias("hot"))
     # a table of its own: else its grouping would also deal the rows of the join, hot grams and all
-    marked = ends.join(stored(many, "suffix-hot"), ["prefix", "h1"], "left").withColumn("hot", F.col("hot").isNotNull())
+    marked = ends.join(stored(many, "suffix-hot"), "h1", "left").withColumn("hot", F.col("hot").isNotNull())
     ranges = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "more", "h1", "hot")).alias("ranges"))
-    zipped = keyed.select("k1", "k2", "text", "doc_id").mapInArrow(_compress, "k1 long, k2 long, doc_id long, z binary")
-    some = zipped.join(ranges, ["k1", "k2"]).select("k1", "k2", "z", "ranges")
+    press = lambda df: df.select("k1", "k2", "text", "doc_id").mapInArrow(_compress, "k1 long, k2 long, doc_id long, z binary")
+    zipped = press(keyed)
+    texts = zipped if earlier is None else zipped.unionByName(press(earlier.select(*keys, F.col("doc_id").cast("long").alias("doc_id"))))
+    some = texts.join(ranges, ["k1", "k2"]).select("k1", "k2", "z", "ranges")
     contexts = stored(some.mapInArrow(_contexts, "k1 long, k2 long, h1 long, hot boolean, lo long, more int, bytes binary"), "suffix-contexts")
     discard(spark, ends)
     release(spark)

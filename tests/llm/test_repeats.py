@@ -88,6 +88,50 @@ def test_levels_merge_geometrically(spark):
     family.close()
 
 
+def test_levels_are_in_the_order_of_suffixes(spark):
+    family = suffix_dedup.SuffixLevels(spark)
+    rows = repeat_rows(4)
+    for k in range(3):
+        family.add(spark.createDataFrame([(r[1],) for r in rows[k::3]], "text string"), f"b{k}")
+    texts = [r[1].encode() for r in rows]
+    for _, table_name, folder in family.levels:
+        got = spark.table(table_name).collect()
+        assert got and all(any(bytes(r["suffix"]) in t for t in texts) and len(r["suffix"]) == suffix_dedup.GRAM for r in got)
+        for path in spark.read.parquet(f"{family.path}/{folder}").inputFiles():
+            run = [(bytes(r["suffix"]), r["h"]) for r in spark.read.parquet(path).collect()]
+            assert run == sorted(run)
+    # an entry's count over the levels is that of all texts in one batch
+    one = suffix_dedup.SuffixLevels(spark)
+    one.add(spark.createDataFrame([(r[1],) for r in rows], "text string"))
+    tally = lambda f: sum((Counter({(bytes(r["suffix"]), r["h"]): r["n"] for r in spark.table(t).collect()}) for _, t, _ in f.levels), Counter())
+    assert tally(family) == tally(one)
+    hits = lambda f: {r["h"] for r in f.matched().collect()}
+    assert hits(family) == hits(one)
+    family.delete()
+    one.delete()
+
+
+def test_a_family_lasts_and_a_batch_may_run_again(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/family", repeat_rows(5)
+    parts = [table(spark, rows[k::3], extra=False) for k in range(3)]
+    every = brute_removed([r[1] for part in range(3) for r in rows[part::3]])
+    done, before = 0, None
+    for k, docs in enumerate(parts):
+        for again in range(2):  # the second time as after a lost driver
+            family = suffix_dedup.SuffixLevels(spark, path)
+            got = suffix_dedup.remove_repeats(docs, 2, family, f"day{k}", before).collect()
+            family.close()
+            # what the batch shares with itself and all before it
+            so_far = brute_removed([r[1] for part in range(k + 1) for r in rows[part::3]])[done:]
+            own = rows[k::3]
+            assert Counter((r["doc_id"], bytes(r["kept"])) for r in got) == Counter((r[0], w[3]) for r, w in zip(own, so_far, strict=True)), (k, again)
+        done += len(rows[k::3])
+        before = docs if before is None else before.unionByName(docs)
+    family = suffix_dedup.SuffixLevels(spark, path)
+    assert len(family.batches) == 6 and [rank for rank, _, _ in family.levels] == [2, 1] and len(every) == done
+    family.delete()
+
+
 def test_blocks_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
     t = bytes(random.Random(0).choices(range(97, 110), k=1000))
