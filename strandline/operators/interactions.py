@@ -76,6 +76,18 @@ def last_window(seqs: DataFrame, most: int = 20, seq: str = "seq") -> DataFrame:
     return seqs.withColumn("window", F.slice(seq, F.greatest(n - most, F.lit(1)), F.lit(most + 1)))
 
 
+def example_windows(seqs: DataFrame, split: str, most: int = 20, seq: str = "seq") -> DataFrame:
+    """History and target as window, for the examples of a split of leave-one-out: of train every prefix of the sequence
+    without its last two items, of val and test the last window of the sequence without its last item and of all of it."""
+    if split not in ("train", "val", "test"):
+        raise ValueError("split is train, val or test")
+    cut = {"train": 2, "val": 1, "test": 0}[split]
+    own = seqs.withColumn(seq, F.slice(seq, F.lit(1), F.greatest(F.size(seq) - cut, F.lit(0))))
+    if split == "train":
+        return prefix_windows(own, most, seq).drop("target_pos")
+    return last_window(own.where(F.size(seq) > 1), most, seq).drop(seq)
+
+
 def dataset_stats(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     """n_users and n_items count the pad, and the average length divides by that padded count."""
     items = seqs.select(F.explode(seq).alias("item")).agg(F.count_distinct("item").alias("n_items"))

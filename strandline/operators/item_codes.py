@@ -20,7 +20,7 @@ def with_collision_digit(items: DataFrame, item: str = "item", codes: str = "cod
         raise ValueError("the number of buckets must be a power of two")
     # a tuple holds at most ``buckets`` items, so no window partition is larger
     n = F.row_number().over(Window.partitionBy(codes).orderBy(item)) - 1
-    h = F.xxhash64(F.lit(seed), codes)
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(codes).cast("array<string>"))), 1, 14), 16, 10).cast("long")
     a = F.pmod(h, F.lit(buckets)).bitwiseOR(F.lit(1))
     b = F.pmod(F.shiftright(h, 20), F.lit(buckets))
     digit = F.when(n >= buckets, F.raise_error(F.lit("more items of one code tuple than hash buckets")).cast("long")).otherwise(F.pmod(a * n + b, F.lit(buckets)))

@@ -125,11 +125,12 @@ def atom_sources(items: DataFrame, sources: DataFrame, vocab: DataFrame, item: s
 class Chain:
     """States in order with a slot between neighbours that holds the token of a merge across them."""
 
-    __slots__ = ("between", "states")
+    __slots__ = ("between", "moved", "states")
 
     def __init__(self, states, between=None):
         self.states = [list(s) for s in states]
         self.between = [None] * (len(self.states) - 1) if between is None else list(between)
+        self.moved = False  # whether the last merge emptied a state, after which places are others
 
     def groups(self) -> list[list[int]]:
         """Tokens state by state, each slot that holds a token as a group of its own."""
@@ -146,7 +147,8 @@ class Chain:
     def tidy(self) -> None:
         """A state that ran empty takes the token in front of it; an empty state with an empty slot
         behind it disappears. Repeated until nothing changes."""
-        again = True
+        self.moved = not all(self.states)
+        again = self.moved
         while again:
             again = False
             for k in range(1, len(self.states)):
@@ -161,10 +163,12 @@ class Chain:
                 else:
                     k += 1
 
-    def apply(self, low: int, high: int, token: int, cross: bool = True) -> Counter:
-        """Merge the pair wherever it occurs, from left to right; returns counts by kind of merge."""
+    def apply(self, low: int, high: int, token: int, cross: bool = True, places: list[int] | None = None) -> Counter:
+        """Merge the pair wherever it occurs, from left to right; returns counts by kind of merge. places, if known,
+        are those of the pair."""
         done: Counter = Counter()
-        for k, s in enumerate(self.states):
+        for k in self.places(low, high, cross) if places is None else places:
+            s = self.states[k]
             if low != high and low in s and high in s:
                 self.states[k] = [token] + [t for t in s if t not in (low, high)]
                 done["same_action"] += 1
@@ -210,9 +214,40 @@ class Chain:
                 else:
                     yield s, self.states[k + 1]
 
-    def masses(self, allowed=None, cross: bool = True) -> dict:
+    def places(self, low: int, high: int, cross: bool = True) -> list[int]:
+        """The states that a merge of the pair may change: those that hold both tokens, and two neighbours that hold one
+        each, one of them perhaps in the slot between them. A merge makes no new place of its pair."""
+        held = [(low in s) + 2 * (high in s) for s in self.states]
+        out = {k for k, x in enumerate(held) if x == 3}
+        if cross:
+            for k, t in enumerate(self.between):
+                x, y = held[k], held[k + 1]
+                if t is None:
+                    if x and y and (x | y) == 3:
+                        out |= {k, k + 1}
+                elif (t == low and (x | y) & 2) or (t == high and (x | y) & 1):
+                    out |= {k, k + 1}
+        return sorted(out)
+
+    def around(self, places: list[int], cross: bool = True):
+        """Of neighbours, the groups that have one of these states."""
+        edges = set()
+        for k in places:
+            yield self.states[k], None
+            edges |= {k - 1, k}
+        if cross:
+            for k in sorted(edges):
+                if 0 <= k < len(self.between):
+                    if self.between[k] is not None:
+                        yield self.states[k], [self.between[k]]
+                        yield [self.between[k]], self.states[k + 1]
+                    else:
+                        yield self.states[k], self.states[k + 1]
+
+    def masses(self, allowed=None, cross: bool = True, places: list[int] | None = None) -> dict:
+        """Masses of all pairs, or of the groups around some states."""
         out: dict = defaultdict(float)
-        for a, b in self.neighbours(cross):
+        for a, b in self.neighbours(cross) if places is None else self.around(places, cross):
             x = a if allowed is None else [t for t in a if allowed(t)]
             if b is None:
                 for i, t in enumerate(x):
@@ -363,7 +398,7 @@ def choose_stage(path: list[list[int]], policy: str, draw: int = 0) -> list[int]
 class Trainer:
     """Learns merge rules. corpus: (states, count) with states as lists of atom tokens.
 
-    A pair's mass is kept up to date by recounting the sequences that hold it; a heap with stale entries
+    A pair's mass is kept up to date by recounting, in the sequences that hold it, what lies around its tokens; a heap with stale entries
     gives the largest mass, ties to the smallest pair. Training ends early when no pair is left."""
 
     def __init__(self, vocab: Vocabulary, corpus, cross: bool = True, allowed_slots: set[int] | None = None, groups: dict[str, set[int]] | None = None):
@@ -424,17 +459,28 @@ class Trainer:
         token = self.vocab.add(*pair, -w)
         touched, kinds, change = sorted(self.where[pair]), Counter(), set()
         for k in touched:
-            kinds.update({kind: n * self.counts[k] for kind, n in self.chains[k].apply(*pair, token, self.cross).items()})
-            new, old = self.chains[k].masses(self.allowed, self.cross), self.own[k]
+            chain, own, n = self.chains[k], self.own[k], self.counts[k]
+            places = chain.places(*pair, self.cross)
+            old = chain.masses(self.allowed, self.cross, places)
+            kinds.update({kind: m * n for kind, m in chain.apply(*pair, token, self.cross, places).items()})
+            if chain.moved:
+                places, old = None, own
+            new = chain.masses(self.allowed, self.cross, places)
             for p in new.keys() | old.keys():
-                d = (new.get(p, 0.0) - old.get(p, 0.0)) * self.counts[k]
+                d = new.get(p, 0.0) - old.get(p, 0.0)
                 if d:
+                    left = own.get(p, 0.0) + d
+                    if left < 1e-9:  # far below any share of a pair
+                        own.pop(p, None)
+                        self.where[p].discard(k)
+                    else:
+                        own[p] = left
+                        self.where[p].add(k)
+                    d *= n
                     before = self.total.get(p, 0.0)
                     self.total[p] += d
                     self._track(p, before, self.total[p])
                     change.add(p)
-                (self.where[p].add if p in new else self.where[p].discard)(k)
-            self.own[k] = new
         for p in change:
             if abs(self.total[p]) < 1e-12:
                 self.total.pop(p)

@@ -182,6 +182,10 @@ SQL = {
     "repeated_tuples": f"SELECT array_to_string(feats, ' ') AS feats, count(*) AS n FROM ({SLOT_ITEMS}) GROUP BY feats HAVING count(*) > 1",
     "unique_features": "SELECT count(*) AS n_items, count(*) AS n_tuples, true AS in_range FROM part",
     "joined_codes": f"SELECT item, array_to_string(codes, ' ') AS codes FROM ({FOUR}) WHERE item % 6 = 0",
+    "collision_digits": """
+        WITH f AS (SELECT p_partkey AS item, [p_partkey % 7, p_partkey % 11, p_size] AS c FROM part),
+        n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY item) - 1 AS n, ('0x' || md5('2024|' || array_to_string(c, '|'))[1:14])::BIGINT AS h FROM f)
+        SELECT item, array_to_string(c || [(((h % 256) | 1) * n + (h >> 20) % 256) % 256], ' ') AS feats FROM n""",
     "slot_pair_frequency": _PAIRS,
     "best_slot_pairing": f"""
         WITH e AS ({_PAIRS})

@@ -156,23 +156,28 @@ def history_policies(s, d):
     return out
 
 
-def model_examples(s, d):
-    """Evaluation examples: up to twenty items of history, item by item encoded, and the target's atoms."""
-    from strandline.operators.interactions import last_window
+def model_examples(s, d, split="test"):
+    """Examples of a split: up to twenty items of history, item by item encoded, and the target's atoms."""
+    from strandline.operators.interactions import example_windows
 
     (vocab, _), _ = _trained(s, d)
     items = slot_items(s, d)
     tokens = X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]).select("item", "tokens")
     labels = X.label_atoms(items, vocab).select("item", "label")
-    w = last_window(sequences(purchases(s, d), "user", "item", ORDER), 20).where(F.size("window") > 1)
-    w = w.select("user", F.element_at("window", -1).alias("target"), F.posexplode(F.slice("window", F.lit(1), F.size("window") - 1)).alias("pos", "item"))
-    h = w.join(tokens, "item").groupBy("user", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("h"), F.count(F.lit(1)).cast("int").alias("n_items"))
+    w = example_windows(sequences(purchases(s, d), "user", "item", ORDER), split, 20).withColumn("example", F.monotonically_increasing_id())
+    w = kept(w, "windows").select("user", "example", F.element_at("window", -1).alias("target"), F.posexplode(F.slice("window", F.lit(1), F.size("window") - 1)).alias("pos", "item"))
+    h = w.join(tokens, "item").groupBy("user", "example", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("h"), F.count(F.lit(1)).cast("int").alias("n_items"))
     rows = h.join(labels.withColumnRenamed("item", "target"), "target").select("user", "n_items", "label", F.flatten(F.transform("h", lambda x: x["tokens"])).alias("tokens"))
     n = len(vocab)
     out = X.assemble(rows, 64, 4, n, n + 1)
     return out.select("user", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
 
 
+def train_examples(s, d):
+    """The same of the training split: an example for every prefix."""
+    return model_examples(s, d, "train")
+
+
 def label_tokens(s, d):
     """The atoms of every item as tokens."""
     items = slot_items(s, d)
@@ -184,7 +189,7 @@ def label_tokens(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        merge_path_stages, history_policies, model_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
+        merge_path_stages, history_policies, model_examples, train_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
         merge_outputs, merge_transitions, merge_phases, merge_examples, merge_exposure, slot_permutation, candidate_kinds,
     )
 }

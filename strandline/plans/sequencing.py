@@ -147,6 +147,12 @@ def streamed_sequences(s, d):
     return _streamed(s, d).select("user_id", F.array_join("seq", " ").alias("items"))
 
 
+def example_windows(s, d):
+    """History and target of the examples of every split."""
+    parts = [I.example_windows(_seqs(s, d), x).select(F.lit(x).alias("split"), "user", F.array_join("window", " ").alias("items")) for x in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def training_frequency(s, d):
     """How often each item stands in a training prefix."""
     return I.training_frequency(_seqs(s, d))
@@ -156,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         user_sequences, user_positions, user_ids, item_ids, leave_one_out, prefix_windows, eval_windows, dataset_stats, merged_categories, item_sources,
-        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, training_frequency,
+        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, example_windows, training_frequency,
     )
 }
 
@@ -211,5 +217,10 @@ SQL = {
         SELECT p_partkey AS item, p_name, s_name FROM part JOIN supplier ON s_suppkey * 3 = p_partkey
         WHERE p_name <> '' AND s_acctbal > 0 ORDER BY item LIMIT 1""",
     "streamed_sequences": "SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ' ') AS items FROM events GROUP BY user_id",
+    "example_windows": f"""
+        WITH cut AS (SELECT user, 'train' AS split, seq[1:len(seq) - 2] AS seq FROM ({SEQS}) WHERE len(seq) > 2
+          UNION ALL SELECT user, 'val', seq[1:len(seq) - 1] FROM ({SEQS}) UNION ALL SELECT user, 'test', seq FROM ({SEQS})),
+        ends AS (SELECT *, unnest(CASE WHEN split = 'train' THEN range(2, len(seq) + 1) ELSE [len(seq)] END) AS last FROM cut WHERE len(seq) > 1)
+        SELECT split, user, array_to_string(seq[greatest(last - 20, 1):last], ' ') AS items FROM ends""",
     "training_frequency": f"SELECT item, count(*) AS n FROM (SELECT unnest(seq[1:len(seq) - 2]) AS item FROM ({SEQS}) WHERE len(seq) > 2) GROUP BY item",
 }

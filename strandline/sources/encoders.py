@@ -7,6 +7,7 @@ folder made for another model, width or item order is refused."""
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def retrying(factory: Callable, attempts: int = 5, permanent: tuple = (ValueError, TypeError, PermissionError), longest: float = 8.0, sleep: Callable = time.sleep) -> Callable:
+    """A factory whose function is called again after an error, with waits of 1, 2, 4 ... seconds up to longest; errors of
+    the permanent kinds are raised at once, the last of the others after all attempts."""
+
+    def made():
+        call = factory()
+
+        def again(rows):
+            for k in range(attempts):
+                try:
+                    return call(rows)
+                except permanent:
+                    raise
+                except Exception as e:
+                    if k + 1 == attempts:
+                        raise RuntimeError(f"no answer after {attempts} attempts") from e
+                    sleep(min(2.0**k, longest))
+
+        return again
+
+    return made
+
+
 def encode(items: DataFrame, factory: Callable, inputs: list[str], width: int, key: str = "item", batch: int = 64, on_missing: str = "zero") -> DataFrame:
     """(key, vec) with vectors cut to width and of unit length.
 
@@ -45,9 +69,9 @@ def item_order_digest(items: DataFrame, key: str = "item", order: str = "id") ->
     return f"{r['n']}-{r['s']}-{r['x']}"
 
 
-def encode_resumable(items: DataFrame, factory: Callable, inputs: list[str], width: int, folder: str, identity: dict, key: str = "item", order: str = "id", step: int = 100_000) -> DataFrame:
+def encode_resumable(items: DataFrame, factory: Callable, inputs: list[str], width: int, folder: str, identity: dict, key: str = "item", order: str = "id", step: int = 100_000, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """Encode in ranges of ``order``, each committed as a folder of its own; a second call goes on where the
-    first stopped. Raises if the folder belongs to another identity."""
+    first stopped. Raises if the folder belongs to another identity. progress is told how many ranges are done, of how many."""
     spark = items.sparkSession
     mine = json.dumps(identity | {"width": width, "item_order": item_order_digest(items, key, order)}, sort_keys=True)
     jvm = spark._jvm
@@ -65,4 +89,6 @@ def encode_resumable(items: DataFrame, factory: Callable, inputs: list[str], wid
         if not fs.exists(at(f"part={start}/_SUCCESS")):
             part = items.where((F.col(order) >= start) & (F.col(order) < start + step))
             encode(part, factory, inputs, width, key).write.mode("overwrite").parquet(f"{folder}/part={start}")
+        if progress:
+            progress(start // step + 1, (last or 0) // step + 1)
     return spark.read.parquet(*[f"{folder}/part={s}" for s in range(0, (last or 0) + 1, step)])

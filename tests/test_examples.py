@@ -1,11 +1,14 @@
 import gzip
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import examples as X
-from strandline.operators import registry
+from strandline.operators import registry, search
 from strandline.operators import vocabulary as M
+from strandline.sources import encoders
 
 
 def trained():
@@ -72,3 +75,81 @@ def test_streamed_counts_drop_late_events(spark, tmp_path):
     q = S.windowed_counts(stream, "ts", ["user"]).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["user"], r["n"]) for r in spark.table("counts").collect()) == [(1, 2), (2, 1)]
+
+
+def all_endings(score, horizon, prefix=(), total=0.0):
+    if len(prefix) == horizon:
+        return
+    for token, p in score(prefix).items():
+        if token == 1:
+            yield (*prefix, 1), total + p
+        else:
+            yield from all_endings(score, horizon, (*prefix, token), total + p)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_wide_beams_find_what_exhaustion_finds(seed):
+    def score(prefix):
+        rng = random.Random(f"{seed}{prefix}")
+        w = [rng.random() for _ in range(4)] if len(prefix) < 4 else [1.0]
+        return {t: math.log(x / sum(w)) for t, x in enumerate(w, 1)}
+
+    want = sorted(all_endings(score, 5), key=lambda x: (-x[1], x[0]))[:6]
+    got = search.beam_search(score, 1, 5, beams=400, returns=6)
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
+def test_an_ended_sequence_is_scored_once_and_survives():
+    def score(prefix):
+        assert 1 not in prefix
+        return {1: math.log(0.4), 2: math.log(0.6)} if not prefix else {1: math.log(0.5), 3: math.log(0.5)}
+
+    for horizon in (3, 9):
+        got = search.beam_search(score, 1, horizon, beams=2, returns=2)
+        assert got[0] == ((1,), pytest.approx(math.log(0.4))) and got[1] == ((2, 1), pytest.approx(math.log(0.3)))
+    never = search.beam_search(lambda p: {2: -1.0, 3: -2.0}, 1, 2, beams=3, returns=2)
+    assert never == [((2, 2), -2.0), ((2, 3), -3.0)]
+
+
+def test_the_grammar_bounds_the_search(spark):
+    feats, vocab = trained()
+    steps = search.step_tokens(vocab, eos=99, control=[50])
+    table = {(r["step"], r["token"]) for r in search.grammar_table(spark, steps).collect()}
+    assert table == {(s, t) for (s, _), t in vocab.index.items()} | {(3, 50), (4, 99)}
+    got = search.beam_search(lambda p: {t: -1.0 - t / 1000 for t in range(100)}, 99, 9, beams=50, returns=4, steps=steps)
+    assert all(vocab.decode(list(tokens[:3])) is not None and tokens[3:] == (50, 99) for tokens, _ in got) and len(got) == 4
+
+
+def test_encoders_try_again_and_tell_how_far_they_are(spark, tmp_path):
+    waits, calls = [], []
+
+    def flaky():
+        def call(rows):
+            calls.append(len(rows))
+            if len(calls) < 4:
+                raise ConnectionError
+            return [[1.0]] * len(rows)
+
+        return call
+
+    assert encoders.retrying(flaky, sleep=waits.append)()([{}]) == [[1.0]] and waits == [1.0, 2.0, 4.0]
+    calls.clear()
+    with pytest.raises(RuntimeError, match="2 attempts"):
+        encoders.retrying(flaky, attempts=2, sleep=waits.append)()([{}])
+
+    def wrong():
+        def call(rows):
+            raise ValueError("bad input")
+
+        return call
+
+    with pytest.raises(ValueError, match="bad input"):
+        encoders.retrying(wrong, sleep=waits.append)()([{}])
+    items = spark.createDataFrame([(k, f"i{k}", "t") for k in range(5)], "id long, item string, text string")
+    told = []
+
+    def factory():
+        return lambda rows: [[1.0, 2.0] for _ in rows]
+
+    encoders.encode_resumable(items, factory, ["text"], 2, f"file://{tmp_path}/e", {}, step=2, progress=lambda a, b: told.append((a, b)))
+    assert told == [(1, 3), (2, 3), (3, 3)]
