@@ -14,6 +14,9 @@ MODULES = {
     "suffix_dedup": "op8_suffix_dedup",
     "unit_dedup": "op9_substring_dedup",
     "near_dedup": "op10_near_dedup",
+    "token_align": "op11_token_alignment",
+    "url_filter": "op12_url_filter",
+    "divergence": "op13_source_divergence",
 }
 
 
