@@ -1,9 +1,8 @@
 """The merge vocabulary: initial tokens, pair statistics, training, encoding and decoding.
 
 What is relational runs as DataFrames: the initial vocabulary, the corpus of tokens, the pair masses, and
-encoding of many sequences in Arrow batches with the rules sent along once. Training is inherently
-sequential (each merge changes the counts of the next), so it works on distinct weighted sequences in one
-process; its input is first reduced by a distributed distinct count."""
+encoding of many sequences in Arrow batches with the rules sent along once. Training on tables is in ``training``; ``Trainer`` is
+the form for a corpus that fits one process, which also says at each step what kinds of candidates there were."""
 
 from __future__ import annotations
 
@@ -336,41 +335,7 @@ class Vocabulary:
         """Best-first merging with context slots. The score of a merge is its priority over the sizes of
         what it joins; the first of equal scores in reading order wins. path: all stages as token lists; groups: the
         last stage state by state."""
-        chain = Chain(states)
-        stages = [chain.tokens()]
-        while True:
-            best, how = 0.0, None
-            for k, s in enumerate(chain.states):
-                for i, t in enumerate(s):
-                    for u in s[i + 1 :]:
-                        best, how = self._better(best, how, t, u, 2 / len(s), ("in", k))
-                if k < len(chain.between):
-                    held = chain.between[k]
-                    pairs = [((s, chain.states[k + 1]), "across")] if held is None else [((s, [held]), "slot"), ((chain.states[k + 1], [held]), "slot2")]
-                    for (a, b), kind in pairs:
-                        for t in a:
-                            for u in b:
-                                best, how = self._better(best, how, t, u, 1 / (len(a) * len(b)), (kind, k))
-            if how is None:
-                return stages if path else chain.groups() if groups else stages[-1]
-            (kind, k), (low, high), token = how
-            if kind == "in":
-                chain.states[k] = [token] + [t for t in chain.states[k] if t not in (low, high)]
-            elif kind == "across":
-                chain._across(k, low, high, token)
-            else:
-                chain._with_slot(k + (kind == "slot2"), k, low, high, token)
-            chain.tidy()
-            stages.append(chain.tokens())
-
-    def _better(self, best, how, t, u, share, where):
-        pair = (t, u) if t <= u else (u, t)
-        token = self.rank.get(pair)
-        if token is not None:
-            score = self.weight(token) * share
-            if how is None or score > best:
-                return score, (where, pair, token)
-        return best, how
+        return _Encoder(self, states).run(path, groups)
 
     def merge_path(self, state) -> list[list[int]]:
         return self.encode_best([state], path=True)
@@ -379,6 +344,126 @@ class Vocabulary:
         return len(self.encode_best([state]))
 
 
+class _Link:
+    """A state in a chain of them, and the slot behind it."""
+
+    __slots__ = ("age", "at", "behind", "front", "slot", "tokens")
+
+    def __init__(self, at: int, tokens: list[int]):
+        self.at, self.tokens, self.slot = at, tokens, None
+        self.front: _Link | None = None
+        self.behind: _Link | None = None
+        self.age = [0, 0, 0]  # of the places IN, BEHIND and NEXT
+
+
+class _Encoder:
+    """One sequence that is being merged. Places of a link, in reading order: IN its state; BEHIND it, its state with its slot, or with
+    the next state where the slot is empty; NEXT, the next state with the slot.
+
+    A heap has the best candidate of every place. A merge touches a state or two, so only the places around them are looked at
+    again; what the heap still holds of them is known by its age and passed over."""
+
+    IN, BEHIND, NEXT = 0, 1, 2
+
+    def __init__(self, vocab: Vocabulary, states):
+        self.vocab = vocab
+        self.heap: list = []
+        links = [_Link(k, list(s)) for k, s in enumerate(states)]
+        self.first = links[0] if links else None
+        for x, y in zip(links, links[1:], strict=False):
+            x.behind, y.front = y, x
+        for x in links:
+            self._look(x)
+
+    def groups(self) -> list[list[int]]:
+        out, x = [], self.first
+        while x is not None:
+            out.append(list(x.tokens))
+            if x.slot is not None:
+                out.append([x.slot])
+            x = x.behind
+        return out
+
+    def tokens(self) -> list[int]:
+        return [t for g in self.groups() for t in g]
+
+    def _enter(self, x: _Link, place: int, a: list[int], b: list[int] | None = None) -> None:
+        x.age[place] += 1
+        best, how, rank, weight = 0.0, None, self.vocab.rank, self.vocab.weight
+        for i, t in enumerate(a):
+            for u in a[i + 1 :] if b is None else b:
+                pair = (t, u) if t <= u else (u, t)
+                token = rank.get(pair)
+                if token is not None:
+                    score = weight(token) * (2 / len(a) if b is None else 1 / (len(a) * len(b)))
+                    if how is None or score > best:
+                        best, how = score, (pair, token)
+        if how is not None:
+            heapq.heappush(self.heap, (-best, x.at, place, x.age[place], x, how))
+
+    def _look(self, x: _Link) -> None:
+        """Find the best candidates of all places of a link again."""
+        self._enter(x, self.IN, x.tokens)
+        if x.behind is not None and x.slot is not None:
+            self._enter(x, self.BEHIND, x.tokens, [x.slot])
+            self._enter(x, self.NEXT, x.behind.tokens, [x.slot])
+        else:
+            self._enter(x, self.BEHIND, x.tokens, x.behind.tokens if x.behind else [])
+            x.age[self.NEXT] += 1
+
+    def _drop(self, x: _Link) -> None:
+        x.age = [a + 1 for a in x.age]
+        x.behind.front = x.front
+        if x.front is None:
+            self.first = x.behind
+        else:
+            x.front.behind = x.behind
+
+    def _tidy(self, around: list[_Link]) -> list[_Link]:
+        """What ``Chain.tidy`` does, for some neighbouring links; those that are left."""
+        again = not all(x.tokens for x in around)
+        while again:
+            again = False
+            for x in around:
+                if not x.tokens and x.front is not None and x.front.slot is not None:
+                    x.tokens, x.front.slot = [x.front.slot], None
+                    again = True
+            for x in list(around):
+                if not x.tokens and x.behind is not None and x.slot is None:
+                    self._drop(x)
+                    around.remove(x)
+                    again = True
+        return around
+
+    def _merge(self, x: _Link, place: int, pair: tuple[int, int], token: int) -> None:
+        low, high = pair
+        if place == self.IN:
+            x.tokens = [token] + [t for t in x.tokens if t not in pair]
+        elif x.slot is None:
+            y = x.behind
+            t, u = pair if low in x.tokens and high in y.tokens else (high, low)
+            x.tokens, y.tokens, x.slot = [v for v in x.tokens if v != t], [v for v in y.tokens if v != u], token
+        else:
+            y = x if place == self.BEHIND else x.behind
+            want = high if x.slot == low else low
+            y.tokens, x.slot = [v for v in y.tokens if v != want], token
+
+    def run(self, path: bool, groups: bool):
+        stages = [self.tokens()] if path else []
+        while self.heap:
+            _, _, place, age, x, how = heapq.heappop(self.heap)
+            if x.age[place] != age:
+                continue
+            self._merge(x, place, *how)
+            front, behind = x.front, x.behind
+            near = [y for y in (front and front.front, front, x, behind, behind and behind.behind) if y is not None]
+            for y in self._tidy(near):
+                self._look(y)
+            if path:
+                stages.append(self.tokens())
+        return stages if path else self.groups() if groups else self.tokens()
+
+
 def choose_stage(path: list[list[int]], policy: str, draw: int = 0) -> list[int]:
     """raw: atoms; full: merged as far as it goes; middle; random: by a number drawn from a hash."""
     if policy == "raw":
@@ -508,21 +593,6 @@ class Trainer:
         return [start, *steps, {"event": "end", "size": len(self.vocab), "steps": len(self.log), "candidates": len(self.total)}]
 
 
-def train_vocabulary(seqs: DataFrame, size: int, most_sequences: int = 2_000_000, **options) -> tuple[Vocabulary, list[dict]]:
-    """Train on a DataFrame (feats: array of arrays, the code tuples of a sequence's items).
-
-    Equal sequences are counted in the cluster first; the distinct ones have to fit the driver, and more
-    than ``most_sequences`` of them raises."""
-    distinct = seqs.groupBy("feats").agg(F.count(F.lit(1)).alias("n"))
-    rows = distinct.orderBy("feats").limit(most_sequences + 1).collect()
-    if len(rows) > most_sequences:
-        raise ValueError(f"more than {most_sequences} distinct sequences")
-    atoms = sorted({(k, c) for r in rows for item in r["feats"] for k, c in enumerate(item)})
-    vocab = Vocabulary(atoms)
-    trainer = Trainer(vocab, [([vocab.state(f) for f in r["feats"]], r["n"]) for r in rows], **options)
-    return trainer.train(size), trainer.log
-
-
 def encode_sequences(seqs: DataFrame, vocab: Vocabulary, key: str, mode: str = "none", scope: str = "sequence", seed: int = 2024) -> DataFrame:
     """(key, tokens) of every sequence of feats, in Arrow batches; the rules travel with the function.
 

@@ -8,6 +8,7 @@ from strandline.functions import codes as C
 from strandline.operators import examples as X
 from strandline.operators import merge_log as L
 from strandline.operators import ranking as G
+from strandline.operators import training
 from strandline.operators import vocabulary as M
 from strandline.operators.interactions import sequences
 from strandline.operators.tables import kept
@@ -78,17 +79,16 @@ def provenance_classes(s, d):
 def _trained(s, d, size=160):
     seqs = purchases(s, d).join(slot_items(s, d), "item")
     rows = seqs.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "feats"))), lambda x: x["feats"]).alias("feats"))
-    return M.train_vocabulary(rows, size, cross=True), rows
+    return *training.trained_once(kept(rows, "user-feats"), size), rows
 
 
 def trained_merges(s, d):
-    (_, log), _ = _trained(s, d)
-    rows = [(r["step"], r["new_token"], r["left"], r["right"], float(r["priority"]), r["affected_sequences"]) for r in log]
-    return s.createDataFrame(rows, "step int, new_token int, left int, right int, priority double, affected_sequences long")
+    _, log, _ = _trained(s, d)
+    return log
 
 
 def encoded_sequences(s, d):
-    (vocab, _), rows = _trained(s, d)
+    vocab, _, rows = _trained(s, d)
     out = M.encode_sequences(rows, vocab, "user", "none", "sequence")
     return out.select("user", F.array_join("tokens", " ").alias("tokens"))
 
@@ -140,13 +140,13 @@ def candidate_kinds(s, d):
 
 def merge_path_stages(s, d):
     """How many stages the merge paths of the distinct tuples have."""
-    (vocab, _), _ = _trained(s, d)
+    vocab, _, _ = _trained(s, d)
     return X.path_report(X.merge_paths(slot_items(s, d), vocab))
 
 
 def history_policies(s, d):
     """Token counts of the catalogue under each history policy."""
-    (vocab, _), _ = _trained(s, d)
+    vocab, _, _ = _trained(s, d)
     items = slot_items(s, d)
     paths = kept(items.join(X.merge_paths(items, vocab), "feats"), "paths")
     out = None
@@ -160,7 +160,7 @@ def model_examples(s, d, split="test"):
     """Examples of a split: up to twenty items of history, item by item encoded, and the target's atoms."""
     from strandline.operators.interactions import example_windows
 
-    (vocab, _), _ = _trained(s, d)
+    vocab, _, _ = _trained(s, d)
     items = slot_items(s, d)
     tokens = X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]).select("item", "tokens")
     labels = X.label_atoms(items, vocab).select("item", "label")
