@@ -83,7 +83,8 @@ def indexed(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """Every rule under the rarest of its literal tokens, by how many URLs have it (the first by its bytes of equals); under
     the empty token if it has none. urls: a column ``tokens``."""
     literals = rules.select("rule", F.explode("literals").alias("token"))
-    counts = urls.select(F.explode("tokens").alias("token")).join(literals.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the join, so that a common token is one row of each task
+    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = literals.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")), "token"))["token"].alias("token"))
     return rules.drop("literals").join(rarest, "rule", "left").withColumn("token", F.coalesce("token", F.lit("")))
 
