@@ -39,6 +39,8 @@ BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_CHARS = 16_000_000
 #: Units encoded in one call, and units and documents in one row or batch of the written table.
 LINE, ROW_UNITS, BATCH = 200, 20_000, 2_000
+#: Units whose intervals are tables at one time.
+TABLE_UNITS = 60_000
 #: Bytes of a unit beyond which its lines go to the slower encoder.
 LONG = 500
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -177,16 +179,14 @@ def units_of(text: str) -> list:
 
 #: The group of a token is the number of ends before its own that both tokenizers share.
 ALIGN = """
-CREATE OR REPLACE TEMP TABLE ta AS SELECT *, coalesce(sum(shared) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp
+CREATE OR REPLACE TEMP TABLE ta AS SELECT *, coalesce(sum(shared) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS grp
   FROM (SELECT a.*, (b.e IS NOT NULL)::INT AS shared FROM a LEFT JOIN b ON b.e = a.e);
-CREATE OR REPLACE TEMP TABLE tb AS SELECT *, coalesce(sum(shared) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grp
+CREATE OR REPLACE TEMP TABLE tb AS SELECT *, coalesce(sum(shared) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS grp
   FROM (SELECT b.*, (a.e IS NOT NULL)::INT AS shared FROM b LEFT JOIN a ON a.e = b.e);
 CREATE OR REPLACE TEMP TABLE links AS
   SELECT a.unit, a.id AS a, b.id AS b FROM tb b ASOF JOIN ta a ON b.s >= a.s
   UNION ALL
   SELECT a.unit, a.id, b.id FROM ta a ASOF JOIN tb b ON a.s > b.s WHERE a.s < b.e;
-CREATE OR REPLACE TEMP TABLE pairs AS
-  SELECT row_number() OVER (ORDER BY b, a) - 1 AS place, a, b, n FROM (SELECT a, b, sum(n)::BIGINT AS n FROM links JOIN times USING (unit) WHERE times.n > 0 GROUP BY a, b);
 """
 
 
@@ -202,15 +202,16 @@ class Aligner:
         import duckdb
 
         self.pair = pair
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
 
     def _table(self, name: str, ids: np.ndarray, count: np.ndarray, lens: np.ndarray, first: np.ndarray) -> None:
-        """Register the token intervals of all units."""
+        """Register the token intervals of some units; first has the byte at which each unit begins."""
         end = np.cumsum(lens[ids])
         before = np.concatenate([[0], end])[np.cumsum(count) - count]  # bytes of the tokens in front of a unit
         end = end - np.repeat(before - first, count)
         unit = np.repeat(np.arange(len(count)), count)
-        self.con.register(name, pa.table({"unit": pa.array(unit, pa.int32()), "id": pa.array(ids, pa.int32()), "s": pa.array(end - lens[ids], pa.int64()), "e": pa.array(end, pa.int64())}))
+        cols = {"unit": unit, "id": ids, "s": end - lens[ids], "e": end}
+        self.con.register(name, pa.table({k: pa.array(x, pa.int32()) for k, x in cols.items()}))
 
     def _strings(self, n: int) -> tuple[pa.Array, np.ndarray]:
         """The groups of every unit as one string, and how many there are."""
@@ -225,7 +226,8 @@ class Aligner:
     def block(self, number: int, doc_ids: list, texts: list):
         index: dict = {}
         codes = []
-        for text in texts:
+        for k, text in enumerate(texts):
+            texts[k] = None  # a text is not held once it is cut
             us = units_of(text) if text else []
             for u in set(us).difference(index):
                 index[u] = len(index)
@@ -244,24 +246,40 @@ class Aligner:
         codes = [place[c] for c in codes]
         codes = [c if good[c].all() else c[:0] for c in codes]
         times = np.bincount(np.concatenate([np.empty(0, np.int32), *codes]), minlength=len(good))
-        first = np.cumsum(size) - size
-        self._table("a", ids_a, n_a, self.pair.a_len, first)
-        self._table("b", ids_b, n_b, self.pair.b_len, first)
-        self.con.register("times", pa.table({"unit": pa.array(np.arange(len(good)), pa.int32()), "n": pa.array(times, pa.int64())}))
-        self.con.execute(ALIGN)
-        strings, n_groups = self._strings(len(good))
-        yield from self._pairs(number)
-        linked = self.con.sql("SELECT unit, place FROM links JOIN pairs USING (a, b) ORDER BY unit").to_arrow_table()
-        n_links = np.bincount(linked["unit"].to_numpy(), minlength=len(good)).astype(np.int64)
-        yield from self._units(number, linked["place"].to_numpy().astype(np.int32), n_links)
-        yield from self._docs(number, doc_ids, codes, (n_a, n_b, n_groups, n_links), strings)
-        for name in ("a", "b", "times"):
-            self.con.unregister(name)
-
-    def _pairs(self, number: int):
-        pairs = self.con.sql("SELECT place, a, b, n FROM pairs ORDER BY place").to_arrow_table().combine_chunks()
-        for x in pairs.to_batches(max_chunksize=50_000):
-            yield _rows(number, PAIRS, x["place"], a=x["a"], b=x["b"], n=x["n"])
+        strings, n_groups, links = [], [], []
+        of_a, of_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        for lo in range(0, len(good), TABLE_UNITS):
+            hi = min(lo + TABLE_UNITS, len(good))
+            first = np.cumsum(size[lo:hi]) - size[lo:hi]
+            self._table("a", ids_a[of_a[lo] : of_a[hi]], n_a[lo:hi], self.pair.a_len, first)
+            self._table("b", ids_b[of_b[lo] : of_b[hi]], n_b[lo:hi], self.pair.b_len, first)
+            self.con.execute(ALIGN)
+            text, n = self._strings(hi - lo)
+            strings.append(text)
+            n_groups.append(n)
+            found = self.con.sql("SELECT unit, a, b FROM links ORDER BY unit").to_arrow_table()
+            unit, x, y = (found[c].to_numpy() for c in ("unit", "a", "b"))
+            used = times[unit + lo] > 0  # not what only texts without tokens have
+            links.append((unit[used] + lo, y[used].astype(np.int64) << 32 | x[used]))
+            self.con.execute("DROP TABLE ta; DROP TABLE tb; DROP TABLE links")
+            self.con.unregister("a")
+            self.con.unregister("b")
+        none = np.empty(0, np.int64)
+        unit, pair = (np.concatenate([none, *x]) for x in (zip(*links, strict=True) if links else ((), ())))
+        pairs, at = np.unique(pair, return_inverse=True)
+        yield from self._pairs(number, pairs, np.bincount(at, times[unit], len(pairs)).astype(np.int64))
+        n_links = np.bincount(unit, minlength=len(good))
+        yield from self._units(number, at.astype(np.int32), n_links)
+        del links, unit, pair, at, ids_a, ids_b
+        n_groups = np.concatenate([none, *n_groups])
+        yield from self._docs(number, doc_ids, codes, (n_a, n_b, n_groups, n_links), pa.chunked_array(strings, pa.string()))
+        pa.default_memory_pool().release_unused()
+
+    @staticmethod
+    def _pairs(number: int, pairs: np.ndarray, n: np.ndarray):
+        for x in range(0, len(pairs), 50_000):
+            part = pairs[x : x + 50_000]
+            yield _rows(number, PAIRS, np.arange(x, x + len(part)), a=part & 0xFFFFFFFF, b=part >> 32, n=n[x : x + 50_000])
 
     @staticmethod
     def _units(number: int, links: np.ndarray, sizes: np.ndarray):
@@ -271,7 +289,7 @@ class Aligner:
             yield _rows(number, UNITS, [x], links=[links[ends[x] : ends[x + len(part)]]], sizes=[part.astype(np.int32)])
 
     @staticmethod
-    def _docs(number: int, doc_ids: list, codes: list[np.ndarray], counts: tuple, strings: pa.Array):
+    def _docs(number: int, doc_ids: list, codes: list[np.ndarray], counts: tuple, strings: pa.ChunkedArray):
         strings = np.array(strings.to_pylist(), object)
         for x in range(0, len(doc_ids), BATCH):
             part = codes[x : x + BATCH]
@@ -283,7 +301,7 @@ class Aligner:
 def _rows(number: int, kind: int, at, **columns) -> pa.RecordBatch:
     n = len(at)
     own = {"block": pa.array([number] * n, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "at": at} | columns
-    cols = [own[f.name].cast(f.type) if isinstance(own.get(f.name), pa.Array) else pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in PARTS]
+    cols = [pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in PARTS]
     return pa.RecordBatch.from_arrays(cols, schema=PARTS)
 
 
@@ -295,13 +313,14 @@ def block_rows(docs: DataFrame, byte_path: str | None = None, piece_path: str |
         task, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         aligner = Aligner(Pair.shared(byte_path, piece_path))
         for batch in batches:
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if ids and size + len(text or "") > block_chars:
-                    yield from aligner.block(task << 24 | seq, ids, texts)
-                    seq, ids, texts, size = seq + 1, [], [], 0
-                ids.append(key)
-                texts.append(text)
-                size += len(text or "")
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    if ids and size + len(text or "") > block_chars:
+                        yield from aligner.block(task << 24 | seq, ids, texts)
+                        seq, ids, texts, size = seq + 1, [], [], 0
+                    ids.append(key)
+                    texts.append(text)
+                    size += len(text or "")
         if ids:
             yield from aligner.block(task << 24 | seq, ids, texts)
 
