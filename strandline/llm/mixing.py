@@ -136,9 +136,6 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int = 2) -> dict[t
     """
     out: dict[tuple, float] = {}
     for part in _parts(patterns):
-        if len(part) == 1 and len(part[0]) == 1:
-            out[part[0]] = min(float(targets[part[0][0]]), float(repeats * patterns[part[0]]))
-            continue
         names = list(dict.fromkeys(s for p in part for s in p))
         at = {s: 2 + i for i, s in enumerate(names)}
         net = Flow(2 + len(names) + len(part))
