@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,23 @@ GRAM, WINDOW = 3, 3
 COVERAGE = 0.8
 BLOCK = 4_000_000
 
+#: A template of up to this many words must agree with the text in its telling words: numbers, and what tells licenses of one family apart.
+TELLING_WORDS = 80
+TELLING = frozenset(b"nc nd sa noncommercial noderivatives noderivs sharealike lesser library affero".split())
+
+
+def _creative_commons() -> dict[str, str]:
+    """The short statement and the sentence of every license of the family."""
+    long = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+    out = {}
+    for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        for version, scope in (("3.0", "Unported"), ("4.0", "International")):
+            out[f"CC-{kind}-{version}"] = f"Licensed under CC {kind} {version}"
+            name = "-".join(long[x] for x in kind.split("-"))
+            out[f"CC-{kind}-{version}-statement"] = f"This work is licensed under a Creative Commons {name} {version} {scope} License"
+    return out
+
+
 # Statements by which texts name their license, and short license texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -58,9 +75,15 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "GPL-2.0": "licensed under the GNU General Public License, version 2",
+    "GPL-2.0-name": "GNU General Public License version 2",
+    "GPL-3.0-name": "GNU General Public License version 3",
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    **_creative_commons(),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All-rights-reserved-statement": "All rights reserved",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission",
@@ -164,6 +187,8 @@ class TemplateIndex:
             raise ValueError("a template needs a word at least")
         self.number = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.numbers = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
+        # telling words of the short ones
+        self.telling = [Counter(w for w in ws if w in TELLING or w.isdigit()) if len(ws) <= TELLING_WORDS else None for ws in self.words]
         self.posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.keys = self._post([d for d, w in enumerate(self.words) if len(w) >= GRAM + WINDOW - 1], winnowed)
         # keys of the short templates by the length of their runs
@@ -179,6 +204,15 @@ class TemplateIndex:
             self.posts[x].append((which[d], p))
         return np.array(sorted(set(h.tolist())), np.uint64)
 
+    def agrees(self, name: int, words: list[bytes]) -> bool:
+        """Whether a text's words have the telling words of the template: another version or another license of a family is no match.
+        Numbers count where the template has some; a copy may number its clauses."""
+        want = self.telling[name]
+        if want is None:
+            return True
+        numbers = any(w.isdigit() for w in want)
+        return Counter(w for w in words if w in TELLING or (numbers and w.isdigit())) == want
+
     def found(self, texts: list[bytes]) -> dict[int, list[tuple[int, int]]]:
         """By text number, (word number, fingerprint) of what is in the index."""
         doc, words, n = hashed_words(texts)
@@ -254,7 +288,7 @@ def scan(text: bytes, index: TemplateIndex, places: list[tuple[int, int]], cover
             lo = s - band
             near = numbers[max(0, lo) : s + len(want) + band]
             n, a, b = align(want, np.concatenate([np.full(max(0, -lo), -1, np.int64), near]), band)
-            if n >= coverage * len(want):
+            if n >= coverage * len(want) and index.agrees(name, words[lo + a : lo + b + 1]):
                 found.append((name, n, len(want), lo + a, lo + b))
     best = []
     for m in sorted(found, key=lambda m: (-m[1], m[2], m[3], m[0])):  # of equally many words, the most covered template
