@@ -28,7 +28,7 @@ def initial_vocabulary(items: DataFrame, feats: str = "feats") -> DataFrame:
 
 def token_states(seqs: DataFrame, items: DataFrame, vocab: DataFrame, key: str, seq: str = "seq", item: str = "item", feats: str = "feats") -> DataFrame:
     """(key, pos, state): every item of a sequence as the array of its atoms' tokens, in slot order."""
-    atoms = items.select(item, F.posexplode(feats).alias("slot", "code")).join(F.broadcast(vocab), ["slot", "code"])  # vocab: see above
+    atoms = items.select(item, F.posexplode(feats).alias("slot", "code")).join(vocab, ["slot", "code"])
     states = atoms.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("slot", "token"))).alias("_s"))
     states = states.select(item, F.transform("_s", lambda x: x["token"]).alias("state"))
     return seqs.select(key, F.posexplode(seq).alias("pos", item)).join(states, item).select(key, "pos", "state")
@@ -113,7 +113,7 @@ def provenance(left, right):
 
 def atom_sources(items: DataFrame, sources: DataFrame, vocab: DataFrame, item: str = "item", feats: str = "feats") -> DataFrame:
     """(token, sources): the sources of the items an atom occurs in."""
-    atoms = items.select(item, F.posexplode(feats).alias("slot", "code")).join(F.broadcast(vocab), ["slot", "code"])
+    atoms = items.select(item, F.posexplode(feats).alias("slot", "code")).join(vocab, ["slot", "code"])
     flat = atoms.select(item, "token").join(sources.select(item, F.explode("sources").alias("source")), item)
     return flat.groupBy("token").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 

@@ -9,6 +9,8 @@ from strandline.functions import text as X
 from strandline.functions import vectors as V
 from strandline.operators import item_codes as K
 from strandline.operators import ranking as G
+from strandline.operators import rotation as R
+from strandline.operators.tables import kept
 from strandline.plans.inputs import FOUR, SLOT_ITEMS, four_slots, slot_items, table
 from strandline.sources import artefacts as A
 
@@ -114,13 +116,22 @@ def best_slot_pairing(s, d):
 
 
 def product_codes(s, d):
-    """Codes of the embeddings by product quantisation, and how far the nearest centroids are on average."""
+    """Codes of the embeddings by product quantisation."""
     v = _vectors(s, d).select("id", "vec")
     return K.ProductQuantizer(4, 16, 5).fit(v).encode(v).select("id", F.array_join("codes", " ").alias("codes"))
 
 
+def rotated_codes(s, d):
+    """Codes of the embeddings after a rotation, trained on those that some order bought, and how far they are from what the codes stand for."""
+    v = _vectors(s, d).select("id", "vec")
+    bought = table(s, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct().withColumn("bought", F.lit(True))
+    marked = kept(v.join(bought, "id", "left"), "marked")
+    out = R.RotatedQuantizer(4, 16, 5, 5).fit(marked, train=F.col("bought").isNotNull()).encode(marked.drop("bought"))
+    return out.select("id", F.array_join("codes", " ").alias("codes"), F.round("error", 6).alias("error"))
+
+
 def whitened_vectors(s, d):
-    w = K.whiten(_vectors(s, d).select("id", "vec"), 8)
+    w = R.whiten(_vectors(s, d).select("id", "vec"), 8)
     return w.select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
@@ -132,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_titles, item_sentences, structured_texts, bilingual_texts, first_urls, safe_names, vector_norms, vector_prefixes, vector_fusion, vector_cosines,
-        packed_codes, collision_stats, repeated_tuples, collision_digits, unique_features, joined_codes, slot_pair_frequency, best_slot_pairing, product_codes, whitened_vectors, content_manifest,
+        packed_codes, collision_stats, repeated_tuples, collision_digits, unique_features, joined_codes, slot_pair_frequency, best_slot_pairing, product_codes, rotated_codes, whitened_vectors, content_manifest,
     )
 }
 

@@ -48,14 +48,14 @@ def mass_difference(s, d):
     masses = kept(M.pair_masses(_states(s, d), "user").select("a", "b", "mass"), "masses")
     new = masses.groupBy("a", "b").agg(F.sum("mass").alias("mass"))
     diff = M.mass_difference(new, _totals(s, d, False))
-    return diff.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("change", 4).alias("change")).where("abs(change) >= 0.001")
+    return diff.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("change", 4).alias("change")).where("change != 0")
 
 
 def decoded_states(s, d):
     """Atoms of every item back to its codes; odd items lack a slot, and do not decode."""
     items = slot_items(s, d)
     vocab = M.initial_vocabulary(items)
-    flat = items.select("item", F.posexplode("feats").alias("slot", "code")).join(F.broadcast(vocab), ["slot", "code"])
+    flat = items.select("item", F.posexplode("feats").alias("slot", "code")).join(vocab, ["slot", "code"])
     flat = flat.where("item % 2 = 0 or slot > 0").select("item", "token")
     return M.decode_states(flat, vocab.select("token", "slot", "code"), "item", 3).select("item", F.array_join("codes", " ").alias("codes"))
 
@@ -126,14 +126,14 @@ def merge_exposure(s, d):
 
 def slot_permutation(s, d):
     out = L.slot_permutation_test(log_of_merges(s, d), TEXT, IMAGE, HASH)
-    return out.select("metric", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("metric", "z_score")])
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in out.columns if c != "metric"])
 
 
 def candidate_kinds(s, d):
     """Candidate pairs inside items by the slots of their tokens."""
     t = _totals(s, d, False)
     v = M.initial_vocabulary(slot_items(s, d)).select("token", "slot")
-    both = t.join(F.broadcast(v.withColumnRenamed("token", "a").withColumnRenamed("slot", "sa")), "a").join(F.broadcast(v.withColumnRenamed("token", "b").withColumnRenamed("slot", "sb")), "b")
+    both = t.join(v.withColumnRenamed("token", "a").withColumnRenamed("slot", "sa"), "a").join(v.withColumnRenamed("token", "b").withColumnRenamed("slot", "sb"), "b")
     kind = F.concat_ws("-", C.pair_low("sa", "sb"), C.pair_high("sa", "sb"))
     return L.candidate_exposure(both, kind).select("kind", "n", F.round("mass", 3).alias("mass"), F.round("largest", 3).alias("largest"))
 
@@ -213,7 +213,7 @@ SQL = {
     "token_states": f"SELECT user, pos, array_to_string(state, ' ') AS state FROM ({STATES})",
     "pair_masses": _TOTAL.format(f"{_INSIDE} UNION ALL {_CROSS}"),
     "best_pair": f"{_TOTAL.format(_INSIDE)} ORDER BY sum(w) DESC, a, b LIMIT 1",
-    "mass_difference": f"SELECT a, b, round(sum(w), 4) AS change FROM ({_CROSS}) GROUP BY a, b HAVING abs(sum(w)) >= 0.001",
+    "mass_difference": f"SELECT a, b, round(sum(w), 4) AS change FROM ({_CROSS}) GROUP BY a, b HAVING round(sum(w), 4) != 0",
     "decoded_states": f"SELECT item, CASE WHEN item % 2 = 0 THEN array_to_string(feats, ' ') END AS codes FROM ({SLOT_ITEMS})",
     "atom_sources": f"""
         SELECT token, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS sources
