@@ -8,12 +8,14 @@ from strandline.functions import codes as C
 from strandline.operators import examples as X
 from strandline.operators import merge_log as L
 from strandline.operators import ranking as G
+from strandline.operators import search as B
 from strandline.operators import training
 from strandline.operators import vocabulary as M
 from strandline.operators.interactions import sequences
 from strandline.operators.tables import kept
-from strandline.plans.inputs import ATOMS, CLASSIFIED, ORDER, SLOT_ITEMS, STATES, log_of_merges, purchases, slot_items, table
+from strandline.plans.inputs import ATOMS, CLASSIFIED, ORDER, PURCHASES, SLOT_ITEMS, STATES, log_of_merges, purchases, slot_items, table
 
+END = 0
 TEXT, IMAGE, HASH = [0, 1, 2, 3], [4, 5, 6, 7], 8
 
 
@@ -178,6 +180,38 @@ def train_examples(s, d):
     return model_examples(s, d, "train")
 
 
+def _transitions(s, d):
+    """(context, step, prev, token, score): for every user, how often an atom of their purchases follows the one of the slot before. Parts of
+    odd keys end after two slots; END follows the last atom."""
+    items = slot_items(s, d)
+    atoms = M.initial_vocabulary(items)
+    flat = items.select("item", F.posexplode("feats").alias("slot", "code")).join(atoms, ["slot", "code"]).where("slot < 2 or item % 2 = 0")
+    spelt = flat.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "token"))), lambda x: x["token"]).alias("t"))
+    spelt = spelt.select("item", F.concat(F.array(F.lit(B.START)), "t", F.array(F.lit(END))).alias("t"))
+    steps = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda k: F.struct(k.alias("step"), F.get("t", k).alias("prev"), F.get("t", k + 1).alias("token")))
+    uses = purchases(s, d).groupBy(F.col("user").alias("context"), "item").agg(F.count(F.lit(1)).alias("n")).join(spelt.select("item", F.explode(steps).alias("x")), "item")
+    counts = uses.groupBy("context", "x.step", "x.prev", "x.token").agg(F.sum("n").alias("n")).select("context", "step", "prev", "token", F.log(F.col("n").cast("double")).alias("score"))
+    grammar = atoms.select(F.col("slot").alias("step"), "token").unionByName(s.createDataFrame([(2, END), (3, END)], "step int, token int"))
+    return counts, grammar
+
+
+def _searched(s, d, end_aware):
+    counts, grammar = _transitions(s, d)
+    scores = kept(B.constrained(counts, grammar), "scores")
+    out = B.search_table(scores.select(F.col("context").alias("example"), "context").distinct(), scores, END, 4, 4, 3, end_aware)
+    return out.select(F.col("example").alias("user"), F.col("rank").cast("long").alias("rank"), F.array_join("tokens", " ").alias("tokens"), F.round("score", 6).alias("score"))
+
+
+def searched_items(s, d):
+    """The three likeliest items of every user, spelt in atoms, by beam search over the user's own transitions."""
+    return _searched(s, d, True)
+
+
+def searched_items_fixed(s, d):
+    """The same with beams of fixed length, where items that end early fall out."""
+    return _searched(s, d, False)
+
+
 def label_tokens(s, d):
     """The atoms of every item as tokens."""
     items = slot_items(s, d)
@@ -189,7 +223,7 @@ def label_tokens(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        merge_path_stages, history_policies, model_examples, train_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
+        searched_items, searched_items_fixed, merge_path_stages, history_policies, model_examples, train_examples, label_tokens, initial_vocabulary, token_states, pair_masses, best_pair, mass_difference, decoded_states, atom_sources, provenance_classes, trained_merges, encoded_sequences,
         merge_outputs, merge_transitions, merge_phases, merge_examples, merge_exposure, slot_permutation, candidate_kinds,
     )
 }
@@ -205,7 +239,29 @@ FROM ({STATES}) s JOIN ({STATES}) n ON n.user = s.user AND n.pos = s.pos + 1, LA
 _GROUP = "CASE WHEN transition IN ('text_text', 'image_image', 'text_image', 'hash_related') THEN transition WHEN starts_with(transition, 'mixed') THEN 'mixed_related' ELSE 'unknown' END"
 _TOTAL = "SELECT a, b, round(sum(w), 4) AS mass, count(DISTINCT user) AS n_sequences FROM ({0}) GROUP BY a, b"
 
+
+def _search_sql(end_aware: bool) -> str:
+    """Beam search over four steps, one common table after the other."""
+    top = "QUALIFY row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, tokens) <= 4"
+    steps = ["b0 AS (SELECT user, [-1] AS tokens, -1 AS prev, 0.0::DOUBLE AS score FROM (SELECT DISTINCT user FROM sc))"]
+    for k in range(4):
+        steps.append(f"g{k + 1} AS (SELECT b.user, list_append(b.tokens, sc.token) AS tokens, sc.token AS prev, b.score + sc.s AS score FROM b{k} b JOIN sc ON sc.user = b.user AND sc.prev = b.prev AND sc.step = {k})")
+        steps.append(f"b{k + 1} AS (SELECT * FROM g{k + 1} WHERE {'prev != 0' if end_aware else 'true'} {top})")
+    found = " UNION ALL ".join(["SELECT * FROM b4", *(f"SELECT * FROM g{k} WHERE prev = 0" for k in range(1, 5) if end_aware)])
+    return f"""
+        WITH spelt AS (SELECT item, list(token ORDER BY slot) AS t FROM (SELECT item, unnest([0, 1, 2]) AS slot, unnest(feats) AS code FROM ({SLOT_ITEMS})) JOIN ({ATOMS}) USING (slot, code) GROUP BY item),
+        uses AS (SELECT user, item, t FROM ({PURCHASES}) JOIN spelt USING (item)),
+        tr AS (SELECT user, 0 AS step, -1 AS prev, t[1] AS token FROM uses UNION ALL SELECT user, 1, t[1], t[2] FROM uses
+          UNION ALL SELECT user, 2, t[2], CASE WHEN item % 2 = 0 THEN t[3] ELSE 0 END FROM uses UNION ALL SELECT user, 3, t[3], 0 FROM uses WHERE item % 2 = 0),
+        sc AS (SELECT user, step, prev, token, ln(n / sum(n) OVER (PARTITION BY user, step, prev)) AS s FROM (SELECT user, step, prev, token, count(*)::DOUBLE AS n FROM tr GROUP BY ALL)),
+        {", ".join(steps)}
+        SELECT user, rank, array_to_string(tokens[2:], ' ') AS tokens, round(score, 6) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, tokens) AS rank FROM ({found})) WHERE rank <= 3"""
+
+
 SQL = {
+    "searched_items": _search_sql(True),
+    "searched_items_fixed": _search_sql(False),
     "initial_vocabulary": ATOMS,
     "label_tokens": f"""
         SELECT item, string_agg(token, ' ' ORDER BY slot) AS label
