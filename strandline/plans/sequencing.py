@@ -147,6 +147,20 @@ def streamed_sequences(s, d):
     return _streamed(s, d).select("user_id", F.array_join("seq", " ").alias("items"))
 
 
+def keyed_sequences(s, d):
+    """The streamed sequences from keyed state: the events come in three files, each a trigger, and a day is the horizon."""
+    from strandline.streaming import keyed
+    from strandline.streaming.sequences import append_batches
+
+    events = kept(table(s, d, "events").repartition(3, "event_id"), "event-files")
+    files = events.inputFiles()[0].rsplit("/", 1)[0]
+    root = kept(s.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    append_batches(keyed.tails(stream, "user_id", "event_id", "ts", "event_id", 86400.0), f"{root}/log", f"{root}/progress").awaitTermination()
+    seqs = keyed.sequences_of(keyed.read_log(s, f"{root}/log"))
+    return seqs.select(F.col("user").cast("long").alias("user_id"), F.array_join("seq", " ").alias("items"))
+
+
 def example_windows(s, d):
     """History and target of the examples of every split."""
     parts = [I.example_windows(_seqs(s, d), x).select(F.lit(x).alias("split"), "user", F.array_join("window", " ").alias("items")) for x in ("train", "val", "test")]
@@ -162,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         user_sequences, user_positions, user_ids, item_ids, leave_one_out, prefix_windows, eval_windows, dataset_stats, merged_categories, item_sources,
-        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, example_windows, training_frequency,
+        known_items, unknown_items, key_difference, image_status, field_coverage, review_profile, usage_totals, latest_status, first_with_image, streamed_sequences, keyed_sequences, example_windows, training_frequency,
     )
 }
 
@@ -217,6 +231,7 @@ SQL = {
         SELECT p_partkey AS item, p_name, s_name FROM part JOIN supplier ON s_suppkey * 3 = p_partkey
         WHERE p_name <> '' AND s_acctbal > 0 ORDER BY item LIMIT 1""",
     "streamed_sequences": "SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ' ') AS items FROM events GROUP BY user_id",
+    "keyed_sequences": "SELECT user_id, array_to_string(list(event_id ORDER BY ts, event_id), ' ') AS items FROM events GROUP BY user_id",
     "example_windows": f"""
         WITH cut AS (SELECT user, 'train' AS split, seq[1:len(seq) - 2] AS seq FROM ({SEQS}) WHERE len(seq) > 2
           UNION ALL SELECT user, 'val', seq[1:len(seq) - 1] FROM ({SEQS}) UNION ALL SELECT user, 'test', seq FROM ({SEQS})),
