@@ -5,11 +5,11 @@ replace what is there."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.matrix import read_matrix, write_matrix  # noqa: F401  the matrix readers live there
+
 
 def save(df: DataFrame, path: str, overwrite: bool = False, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")
@@ -22,26 +22,6 @@ def save_json(df: DataFrame, path: str, order: list[str] | None = None, append:
     out.write.mode("append" if append else "errorifexists").json(path)
 
 
-def read_matrix(spark: SparkSession, path: str, width: int, first_id: int = 1) -> DataFrame:
-    """(id, vec) of a headerless row-major float32 file, read by many tasks.
-
-    The file's size has to be a whole number of rows."""
-    size = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0] or 0
-    if size % (4 * width):
-        raise ValueError(f"{path} is not a whole number of rows of {width} floats")
-    rows = size // (4 * width)
-    if rows == 0:
-        return spark.createDataFrame([], "id long, vec array<float>")
-    # fixed-length records are the one reader here that can split such a file and number its rows
-    raw = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex().map(lambda r: (r[1] + first_id, r[0]))
-
-    @F.pandas_udf("array<float>")
-    def floats(s: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, "<f4") for x in s])
-
-    return spark.createDataFrame(raw, "id long, content binary").select("id", floats("content").alias("vec"))
-
-
 def codes_table(spark: SparkSession, path: str, length: int) -> DataFrame:
     """(item, codes) cut to the configured length."""
     return spark.read.parquet(path).select("item", F.slice("codes", 1, length).alias("codes"))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.sources import quoted
+
 _WORD = {"true": "True", "false": "False", "null": "None"}
 
 
@@ -140,8 +142,10 @@ def pairs(spark: SparkSession, path, columns: tuple[str, str] = ("item", "user")
 
 
 def item_texts(spark: SparkSession, path) -> DataFrame:
-    """(item, zh, en) of a quoted comma file; a first line that names the columns is dropped."""
-    raw = spark.read.csv(path, schema="item string, zh string, en string", quote='"', escape='"', multiLine=True)
+    """(item, zh, en) of a quoted comma file; a first line that names the columns is dropped. Quotes that do not pair up
+    are an error, found in a scan before; fields may hold line breaks, and a file is still read by many tasks."""
+    require_empty(quoted.unpaired(spark, path), "quotes that do not pair up")
+    raw = quoted.read_quoted(spark, path, "item string, zh string, en string").select("item", "zh", "en")
     return raw.where(~F.lower("item").isin("item_id", "item", "itemid"))
 
 
