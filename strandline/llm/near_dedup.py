@@ -237,14 +237,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = stored(groups, "texts")
     reps = signed.join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
     member = reps.select("row", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    member = stored(member.join(shared, "band"), "buckets")
+    member = _shared(member)
     texts = stored(signed.select("row", "z").join(member.select("row").distinct(), "row", "left_semi"), "candidates")
     shares = stored(texts.mapInArrow(_shingle_shares, "row long, h long, share float, n int"), "shingles")
-    able = stored(_able(shares, threshold), "able")
-    member = member.join(able, "row")
-    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    member = stored(member.join(shared, "band"), "buckets")
+    able = _able(shares, threshold)
+    old, member = member, _shared(member.join(able, "row"))
+    discard(spark, old)
     labels = stored(member.select("row", F.col("row").alias("cls")).distinct(), "classes")
     old, texts = texts, stored(texts.join(labels.select("row"), "row", "left_semi"), "candidates")
     discard(spark, old)
@@ -255,6 +253,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         by = F.struct(F.col("held"), F.col("n"), F.col("row")) if turn == 1 else F.struct(draw, F.col("row"))
         here = F.struct(by.alias("by"), "cls", "row", "n", "c")
         ends = now.groupBy("band").agg(F.max(here).alias("x"), F.min(here).alias("y"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
+        ends = stored(ends, "ends")
         if turn < 4:
             met = now.join(ends.select("band", F.array("x", "y").alias("other")), "band").select("row", "cls", "n", "c", F.explode("other").alias("o"))
             pairs = met.where("cls != o.cls").select("row", "n", "c", F.col("o.row").alias("row2"), F.col("o.n").alias("n2"), F.col("o.c").alias("c2"))
@@ -264,11 +263,23 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             pairs = _prefix_pairs(shares, left, threshold)
         pairs = pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
         found = _round(pairs, tested, texts, threshold, turn)
+        discard(spark, ends)
         labels = merge_classes(labels, found.where("linked").select("a", "b"))
         tested = found if tested is None else tested.unionByName(found)
     return _result(signed, groups, labels)
 
 
+def _shared(member: DataFrame) -> DataFrame:
+    """The rows of member whose band another row has too.
+
+    The bands are written before they meet the rows: a join in one plan with its own grouping takes over the exchange of that, and
+    then adaptive execution can't split the rows of a band that many have."""
+    shared = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band"), "shared-bands")
+    out = stored(member.join(shared, "band"), "buckets")
+    discard(member.sparkSession, shared)
+    return out
+
+
 def _round(pairs: DataFrame, tested: DataFrame | None, texts: DataFrame, threshold: float, turn: int) -> DataFrame:
     """Pairs (a, b) not verified before, with linked."""
     if tested is not None:
@@ -285,9 +296,11 @@ def _possible(threshold: float):
 
 def _able(shares: DataFrame, threshold: float) -> DataFrame:
     """(row, held, n, c) of documents of whose shingle mass at least threshold occurs in another one."""
-    known = shares.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    known = stored(shares.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "known-shingles")
     held = shares.join(known, "h", "left_semi").groupBy("row").agg(F.sum(F.col("share").cast("double")).alias("held"), F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("c"))
-    return held.where(F.col("held") >= threshold - 1e-4)
+    able = stored(held.where(F.col("held") >= threshold - 1e-4), "able")
+    discard(shares.sparkSession, known)
+    return able
 
 
 def _prefix_pairs(shares: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -299,11 +312,12 @@ def _prefix_pairs(shares: DataFrame, rows: DataFrame, threshold: float) -> DataF
     t / (1 + t) * (n + n2) shingles, and what comes before the first common one counts against that."""
     t = threshold
     own = stored(shares.select("row", "h", "share").join(rows, "row"), "own-shingles")
-    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    often = stored(own.groupBy("h").agg(F.count(F.lit(1)).alias("k")), "often")
     w = Window.partitionBy("row").orderBy("k", "h")
     before = F.coalesce(F.sum(F.col("share").cast("double")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     ranked = own.join(often, "h").withColumn("before", before).withColumn("at", F.row_number().over(w) - 1)
     one = stored(ranked.where((F.col("before") <= 1 - t + 1e-4) & (F.col("k") > 1)).select("row", "cls", "n", "c", "h", "at"), "prefixes")
+    discard(shares.sparkSession, own, often)
     two = one.select("h", *[F.col(x).alias(f"{x}2") for x in ("row", "cls", "n", "c", "at")])
     sets = (F.col("n") > 0) & (F.col("n2") > 0)
     room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= t / (1 + t) * (F.col("n") + F.col("n2")) - 1e-6

@@ -204,6 +204,40 @@ def test_near_classes_equal_brute_force(spark, rows):
     assert sum(kept.values()) == sum(brute_classes(rows).values())
 
 
+def light_copies(seed, n=40):
+    """Texts of 60 to 600 words, each with a copy of six kinds: rows, and (kind, doc_id, id of the copy)."""
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(9000)]
+    edits = {
+        "one word in a hundred": lambda w: [rng.choice(vocab) if rng.random() < 0.01 else x for x in w],
+        "three words in a hundred": lambda w: [rng.choice(vocab) if rng.random() < 0.03 else x for x in w],
+        "a sentence more at the end": lambda w: w + rng.choices(vocab, k=12),
+        "a heading": lambda w: rng.choices(vocab, k=4) + w,
+        "the last tenth missing": lambda w: w[: len(w) * 9 // 10],
+        "halves swapped": lambda w: w[len(w) // 2 :] + w[: len(w) // 2],
+    }
+    rows, copies = [], []
+    for _ in range(n):
+        w = rng.choices(vocab, k=rng.randint(60, 600))
+        first = len(rows)
+        rows.append((first, " ".join(w), "en", "s", 0))
+        for kind, edit in edits.items():
+            copies.append((kind, first, len(rows)))
+            rows.append((len(rows), " ".join(edit(w)), "en", "s", 0))
+    return rows, copies
+
+
+def test_planted_near_copies_are_caught_at_the_threshold(spark):
+    rows, copies = light_copies(5)
+    sh = [near_dedup.word_shingles(r[1].encode()) for r in rows]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(table(spark, rows)).collect()}
+    similar = [(a, b) for _, a, b in copies if near_dedup.probability_jaccard(sh[a], sh[b]) >= 0.8]
+    assert len(similar) > 120
+    # candidates come from bands, whose miss at 0.8 is one in four thousand
+    assert sum(found[a] == found[b] for a, b in similar) >= 0.99 * len(similar)
+    assert all(found[a] // 7 == a // 7 for a in found)  # different texts never share a class
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(3)
     a = [rng.choice("abcdefghijklmnop") * 3 for _ in range(400)]
