@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -93,3 +94,35 @@ def test_long_tails_take_several_rows(spark):
 def test_an_empty_log_has_no_sequences(spark):
     assert keyed.sequences_of(spark.createDataFrame([], keyed.LOG)).count() == 0
     assert keyed.sequences_of(spark.createDataFrame([], keyed.LOG).withColumn("seq", F.lit(1))).columns == ["user", "seq"]
+
+
+def test_a_timer_settles_idle_users(spark, tmp_path):
+    first, later = [("a", "x", 5.0, 1), ("a", "y", 6.0, 1)], [("a", "early", 5.5, 1), ("b", "z", 1.0, 1)]
+    add_file(spark, f"{tmp_path}/in", first)
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    rows = keyed.tails(stream, "u", "i", "t", "n", 100.0, idle=datetime.timedelta(milliseconds=200))
+    query = append_batches(rows, f"{tmp_path}/log", f"{tmp_path}/progress", trigger_once=False)
+
+    def wait(done):
+        end = time.monotonic() + 40
+        while time.monotonic() < end and not done():
+            assert query.exception() is None
+            time.sleep(0.3)
+        assert done()
+
+    def logged():
+        done = sum(1 for _ in (tmp_path / "log").glob("batch=*/_SUCCESS")) if (tmp_path / "log").exists() else 0
+        return done, keyed.read_log(spark, f"{tmp_path}/log").agg(F.sum(F.size("events"))).first()[0] if done else 0
+
+    try:
+        wait(lambda: logged()[1] == 2)
+        batches = logged()[0]
+        wait(lambda: logged()[0] >= batches + 4)  # batches without data look for timers
+        add_file(spark, f"{tmp_path}/in", later)
+        wait(lambda: logged()[1] == 4)
+    finally:
+        query.stop()
+    log = keyed.read_log(spark, f"{tmp_path}/log")
+    # within the horizon, yet late: the timer had settled the user
+    assert [e["item"] for r in log.where("late").collect() for e in r["events"]] == ["early"]
+    assert found(log) == expected(first + later)
