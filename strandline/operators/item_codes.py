@@ -10,21 +10,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_collision_digit(items: DataFrame, item: str = "item", codes: str = "codes", buckets: int = 128, seed: int = 2024) -> DataFrame:
+def with_collision_digit(items: DataFrame, item: str = "item", codes: str = "codes", buckets: int = 128, seed: int = 2024, more: str = "raise") -> DataFrame:
     """items with feats: the codes and a last digit that tells items of the same codes apart.
 
     The n-th item (by id) of a tuple takes the n-th entry of a permutation of the buckets that belongs
     to the tuple: x -> (a x + b) mod buckets with a odd and both from a hash of the tuple, which is a
-    permutation where buckets is a power of two. More items than buckets raises."""
+    permutation where buckets is a power of two. Where a tuple has more items than buckets, more says what is done: ``raise``;
+    ``repeat``, the permutation starts again, so that digits come up more than once; or ``digits``, the rounds through it stand
+    before the last digit in digits of their own, so that no two items are alike."""
     if buckets & (buckets - 1):
         raise ValueError("the number of buckets must be a power of two")
-    # a tuple holds at most ``buckets`` items, so no window partition is larger
+    if more not in ("raise", "repeat", "digits") or (more == "digits" and buckets < 2):
+        raise ValueError("more is raise, repeat or, for two buckets at least, digits")
+    # the window counts as it reads the sorted rows of a tuple and holds none of them
     n = F.row_number().over(Window.partitionBy(codes).orderBy(item)) - 1
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(codes).cast("array<string>"))), 1, 14), 16, 10).cast("long")
     a = F.pmod(h, F.lit(buckets)).bitwiseOR(F.lit(1))
     b = F.pmod(F.shiftright(h, 20), F.lit(buckets))
-    digit = F.when(n >= buckets, F.raise_error(F.lit("more items of one code tuple than hash buckets")).cast("long")).otherwise(F.pmod(a * n + b, F.lit(buckets)))
-    return items.withColumn("feats", F.concat(F.col(codes).cast("array<bigint>"), F.array(digit)))
+    digit = F.pmod(a * n + b, F.lit(buckets))
+    if more == "raise":
+        digit = F.when(n >= buckets, F.raise_error(F.lit("more items of one code tuple than hash buckets")).cast("long")).otherwise(digit)
+    before = []
+    if more == "digits":
+        bits = buckets.bit_length() - 1
+        rounds = [F.shiftright(n, k * bits) for k in range(31 // bits, 0, -1)]  # row numbers have 31 bits
+        before = [F.array_compact(F.array(*[F.when(r > 0, F.pmod(r, F.lit(buckets)).cast("long")) for r in rounds]))]
+    return items.withColumn("feats", F.concat(F.col(codes).cast("array<bigint>"), *before, F.array(digit)))
 
 
 def collision_stats(items: DataFrame, codes: str = "codes") -> DataFrame:
