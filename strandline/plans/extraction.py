@@ -94,8 +94,8 @@ def collision_digits(s, d):
 
 
 def unique_features(s, d):
-    """No two items share a tuple once it has its collision digit."""
-    out = K.with_collision_digit(slot_items(s, d).withColumnRenamed("feats", "codes"), buckets=256)
+    """No two items share a tuple once it has its collision digit, or digits where 256 are too few."""
+    out = K.with_collision_digit(slot_items(s, d).withColumnRenamed("feats", "codes"), buckets=256, more="digits")
     return out.agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("feats").alias("n_tuples"), F.max(F.element_at("feats", -1) < 256).alias("in_range"))
 
 

@@ -35,3 +35,7 @@ def test_collision_digits_beyond_256_items(spark, tmp_path):
     got = {r["item"]: r["feats"].split() for r in extraction.collision_digits(spark, parts(spark, tmp_path)).collect()}
     assert len(got) == 600 and all(len(f) == 4 and int(f[3]) < 256 for f in got.values())
     assert len({tuple(f) for f in got.values()}) == 512 and got[0] == got[77 * 512]
+
+
+def test_unique_features_beyond_256_items(spark, tmp_path):
+    assert tuple(extraction.unique_features(spark, parts(spark, tmp_path)).first()) == (600, 600, True)
