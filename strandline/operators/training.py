@@ -1,128 +1,335 @@
 """Training of the merge vocabulary on tables: sequences never leave the executors.
 
-The corpus is a table of distinct sequences with their counts, in buckets by a hash. A second table has the masses of
-pairs by bucket, as increments: a first count, then what each merge changed. Its sums over buckets are the pair
-masses, and its buckets are the index from a pair to the sequences that hold it.
+The corpus is a table of distinct sequences with their counts. A second table has the masses of pairs, as increments: a first
+count, then what each merge changed.
 
 Merges depend on each other, so a round guesses the next few: the pair of largest mass, which is known, and after it pairs
-that share no token with each other. Tasks read the buckets that hold one of them, make the merges one after the other and
-write what each changes. One query then gives the pairs of largest mass after each of the merges, and the guesses hold as long as
-the next one is the true maximum; what comes after the first wrong guess is left out by its number. So the log is that of
-merging one by one, whatever was guessed. The driver holds the rules, and of the pairs some hundred with the largest masses.
+that share no token with each other. Tasks read the sequences, make the merges one after the other, each in some ten thousand
+sequences at once by NumPy, and write what each changes. One query then gives the pairs of largest mass after each of the
+merges, and the guesses hold as long as the next one is the true maximum; what comes after the first wrong guess is left out by
+its number. So the log is that of merging one by one, whatever was guessed. The driver holds the rules, and of the pairs some
+hundred with the largest masses.
 
 Merges that hold are made again by every task that reads the sequences, until there are REWRITE of them: then the sequences
 are written anew. A round that is lost runs again from tables; a whole training goes on from its log (``guide``).
 
-Masses are rounded to nine digits before they are compared, so that equal ones are ties in whatever order they were summed;
-ties go to the smallest pair. Null, empty and repeated sequences: a null or empty one has no pairs, equal ones are counted together.
+Masses are summed as whole numbers over a common denominator and rounded to nine digits before they are compared, so that equal
+ones are ties in whatever order they were summed; ties go to the smallest pair. Null, empty and repeated sequences: a null or empty one has no pairs, equal ones are counted together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from strandline.operators.tables import discarded, exists, kept, named
-from strandline.operators.vocabulary import Chain, Vocabulary, from_table, vocabulary_table
+from strandline.operators.vocabulary import Vocabulary, from_table, vocabulary_table
 
 #: Candidates that the driver gets in a round, the most merges of a round, merges after which sequences are written anew,
 #: and rounds after which the increments of masses are summed up.
 CANDIDATES, AHEAD, REWRITE, COMPACT = 256, 24, 20, 5
-SEQUENCES = "n long, states array<array<int>>, between array<int>, bucket int"
-CHANGES = "round int, bucket int, step int, a int, b int, value double, what string"
+SEQUENCES = "n long, tokens array<int>, between array<int>"
+CHANGES = "step int, a int, b int, value double, what string"
+NAMES = ["step", "a", "b", "value", "what"]
+KINDS = ("same_action", "action_context", "adjacent_actions")
 LOG = "step int, new_token int, left int, right int, priority double, affected_sequences long"
-#: Changes that a task holds before it hands them on.
-HELD = 500_000
-
+#: Changes that a task holds before it hands them on, states that it takes at once, and how many pairs of tokens there may be
+#: for sums by place instead of by sorting.
+HELD, STATES, DENSE = 2_000_000, 500_000, 1 << 22
+
+
+class _Block:
+    """Sequences side by side in NumPy: tokens (slots x states, 0 where nothing is), between (the token in the slot behind a
+    state, or 0), last (whether a state ends its sequence), seq (of which sequence it is) and n (how often that one occurs).
+
+    The merges are those of ``Chain``, made in all sequences at once. The order of tokens in a state, of which no two are
+    equal, has no bearing on them."""
+
+    def __init__(self, tokens: np.ndarray, between: np.ndarray, sizes: np.ndarray, n: np.ndarray):
+        self.tokens, self.between, self.n = tokens, between, n
+        self.seq = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.last = np.zeros(len(between), bool)
+        self.last[np.cumsum(sizes) - 1] = True
+        self.empty = ~tokens.any(0)
+
+    def __len__(self) -> int:
+        return len(self.between)
+
+    def _near(self, at: np.ndarray) -> np.ndarray:
+        """These states and the ones next to them, as flags."""
+        out = np.zeros(len(self), bool)
+        out[at] = True
+        out[at[~self.last[at]] + 1] = True
+        front = at[at > 0] - 1
+        out[front[~self.last[front]]] = True
+        return out
 
-def _chains(batches):
-    """n, bucket, chain and the tokens of every sequence."""
+    def places(self, low: int, high: int, cross: bool) -> np.ndarray:
+        held = np.zeros(len(self), np.uint8)
+        for bit, t in ((1, low), (2, high)):
+            for row in self.tokens:
+                held |= (row == t).view(np.uint8) * np.uint8(bit)
+        out = held == 3
+        if cross and len(self) > 1:
+            both = held[:-1] | held[1:]
+            k = np.flatnonzero((both == 3) & ~self.last[:-1])
+            k = k[(self.between[k] == 0) & (held[k] > 0) & (held[k + 1] > 0)]
+            for t, other in ((low, 2), (high, 1)):
+                j = np.flatnonzero(self.between[:-1] == t)
+                k = np.concatenate([k, j[(both[j] & other) > 0]])
+            out[k] = out[k + 1] = True
+        return np.flatnonzero(out)
+
+    def _has(self, at: np.ndarray, token) -> np.ndarray:
+        return (self.tokens[:, at] == token).any(0)
+
+    def _without(self, at: np.ndarray, token) -> None:
+        own = self.tokens[:, at]
+        own[own == token] = 0
+        self.tokens[:, at] = own
+
+    def apply(self, low: int, high: int, token: int, cross: bool, places: np.ndarray) -> dict[str, int]:
+        """Counts by kind of merge. What is done at a place depends on the place in front of it alone, so of every run of
+        neighbouring places the first ones go together, then the second ones, and so on."""
+        made = dict.fromkeys(KINDS, 0)
+        starts = np.ones(len(places), bool)
+        starts[1:] = (np.diff(places) != 1) | self.last[places[:-1]]
+        turn = np.arange(len(places))
+        turn -= np.maximum.accumulate(np.where(starts, turn, 0))
+        left, wave = places, 0
+        while len(left):
+            now, rest = left[turn == wave], turn > wave
+            left, turn, wave = left[rest], turn[rest], wave + 1
+            if low != high:
+                k = now[self._has(now, low) & self._has(now, high)]
+                own = self.tokens[:, k]
+                own[own == high] = 0
+                own[own == low] = token
+                self.tokens[:, k] = own
+                made["same_action"] += self._times(k)
+            if not cross:
+                continue
+            now = now[~self.last[now]]
+            k = now[self.between[now] == 0]
+            for x, y in ((low, high), (high, low)):
+                hit = self._has(k, x) & self._has(k + 1, y)
+                j, k = k[hit], k[~hit]
+                self._without(j, x)
+                self._without(j + 1, y)
+                self.between[j] = token
+                made["adjacent_actions"] += self._times(j)
+            # slots that held something before, and not the new token
+            for held, want in ((low, high), (high, low)):
+                k = now[self.between[now] == held]
+                for step in (0, 1):
+                    hit = self._has(k + step, want)
+                    j, k = k[hit], k[~hit]
+                    self._without(j + step, want)
+                    self.between[j] = token
+                    made["action_context"] += self._times(j)
+        self.empty[places] = ~self.tokens[:, places].any(0)
+        return {kind: m for kind, m in made.items() if m}
+
+    def _times(self, at: np.ndarray) -> int:
+        return int(self.n[self.seq[at]].sum())
+
+    def empties(self, places: np.ndarray) -> np.ndarray:
+        """Empty states of the sequences that have one of these places."""
+        at = np.flatnonzero(self.empty)
+        if len(at):
+            touched = np.zeros(len(self.n), bool)
+            touched[self.seq[places]] = True
+            at = at[touched[self.seq[at]]]
+        return at
+
+    def tidy(self, touched: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """``Chain.tidy`` in some sequences; flags of states without those that disappear."""
+        while True:
+            at = np.flatnonzero(self.empty)
+            at = at[touched[self.seq[at]]]
+            k = at[at > 0]
+            k = k[~self.last[k - 1] & (self.between[k - 1] != 0)]
+            self.tokens[0, k], self.between[k - 1], self.empty[k] = self.between[k - 1], 0, False
+            gone = at[self.empty[at] & (self.between[at] == 0) & ~self.last[at]]
+            if len(gone):
+                keep = np.ones(len(self), bool)
+                keep[gone] = False
+                self.tokens = np.stack([row[keep] for row in self.tokens])
+                self.between, self.seq, self.last, self.empty, flags = (x[keep] for x in (self.between, self.seq, self.last, self.empty, flags))
+            if not len(k) and not len(gone):
+                return flags
+
+    def merge(self, low: int, high: int, token: int, cross: bool, before=None, after=None):
+        """Merge a pair wherever it occurs; counts by kind, and of the sequences that have a place of it. before and after are
+        called with the flags of the states around what changes."""
+        places = self.places(low, high, cross)
+        if not len(places):
+            return None
+        flags = self._near(np.concatenate([places, self.empties(places)]))
+        touched = np.zeros(len(self.n), bool)
+        touched[self.seq[places]] = True
+        if before:
+            before(self, flags)
+        made = self.apply(low, high, token, cross, places)
+        flags = self.tidy(touched, flags) if self.empty.any() else flags
+        if after:
+            after(self, flags)
+        made["sequences"] = int(self.n[touched].sum())
+        return made
+
+    def masses(self, size: int, scale: int, cross: bool, barred: np.ndarray | None, flags: np.ndarray | None = None):
+        """Pairs (first * size + second) and masses times scale, of all groups or of those that have a flagged state."""
+        pairs: list = []
+        weights: list = []
+        own = self.tokens if flags is None else self.tokens[:, flags]
+        n = self.n[self.seq if flags is None else self.seq[flags]].astype(float)
+
+        def allowed(x):
+            return x if barred is None else np.where(barred[x], 0, x)
+
+        def group(a, b, w):
+            x, y = np.minimum(a, b), np.maximum(a, b)
+            pairs.append(x.astype(np.int64) * size + y)
+            weights.append(np.where(x > 0, w, 0.0))
+
+        def width(x):
+            return np.maximum((x != 0).sum(0), 1)
+
+        own = allowed(own)
+        w = np.rint(2 * scale / width(own)) * n if scale > 1 else 2 / width(own) * n
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                group(own[i], own[j], w)
+        if cross:
+            inner = ~self.last
+            if flags is not None:
+                inner[:-1] &= flags[:-1] | flags[1:]
+            k = np.flatnonzero(inner)
+            slot = self.between[k]
+            n, x, y, t = self.n[self.seq[k]].astype(float), allowed(self.tokens[:, k]), allowed(self.tokens[:, k + 1]), allowed(slot)
+            per = lambda d: np.rint(scale / d) if scale > 1 else 1 / d
+            free, lx, ly = slot == 0, width(x), width(y)
+            w = np.where(free, per(lx * ly), 0.0) * n
+            for a in x:
+                for b in y:
+                    group(a, b, w)
+            used = np.flatnonzero(~free)
+            for side, wide in ((x, lx), (y, ly)):
+                w = (per(wide) * n)[used]
+                for a in side:
+                    group(a[used], t[used], w)
+        return _summed(np.concatenate(pairs), np.concatenate(weights), size)
+
+
+def _summed(pairs: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if size * size <= DENSE:
+        total = np.bincount(pairs, weights, size * size)
+        found = np.flatnonzero(total)
+        return found, total[found]
+    found, at = np.unique(pairs, return_inverse=True)
+    total = np.bincount(at, weights, len(found))
+    return found[total != 0], total[total != 0]
+
+
+def _blocks(batches, slots: int):
     for batch in batches:
-        states = batch["states"]
-        tokens, cuts = states.flatten().flatten().to_pylist(), states.flatten().offsets.to_pylist()
-        at = 0
-        for n, size, between, bucket in zip(batch["n"].to_pylist(), states.value_lengths().to_pylist(), batch["between"].to_pylist(), batch["bucket"].to_pylist(), strict=True):
-            ends = cuts[at : at + size + 1]
-            own = [tokens[x - cuts[0] : y - cuts[0]] for x, y in zip(ends, ends[1:], strict=False)]
-            at += size
-            present = set(between)
-            present.update(tokens[ends[0] - cuts[0] : ends[-1] - cuts[0]])
-            yield n, bucket, Chain(own, [None if t < 0 else t for t in between]), present
-
-
-def _catch_up(chain: Chain, present: set[int], rules: list[tuple[int, int, int]], cross: bool) -> None:
-    """Make merges that are known to hold. present: all tokens that the chain may have."""
-    for low, high, token in rules:
-        if low in present and high in present:
-            chain.apply(low, high, token, cross)
-            present.add(token)
-
-
-def _rewritten(rules, cross):
+        ends = batch["between"].value_lengths().to_numpy(zero_copy_only=False).cumsum()
+        row = 0
+        while row < batch.num_rows:
+            begun = ends[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, begun + STATES, "right")))
+            part = batch.slice(row, end - row)
+            tokens = part["tokens"].flatten().to_numpy().reshape(-1, slots).T.astype(np.int32)
+            sizes = part["between"].value_lengths().to_numpy(zero_copy_only=False)
+            yield _Block(np.ascontiguousarray(tokens), part["between"].flatten().to_numpy().copy(), sizes, part["n"].to_numpy())
+            row = end
+
+
+def _table(n: np.ndarray, tokens: np.ndarray, between: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Rows of SEQUENCES from tokens, states x slots."""
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    lists = [pa.ListArray.from_arrays(pa.array(cuts * k, pa.int32()), pa.array(x.ravel(), pa.int32())) for k, x in ((tokens.shape[1], tokens), (1, between))]
+    return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *lists], names=["n", "tokens", "between"])
+
+
+def _first_states(atoms: list[tuple[int, int | None]], slots: int):
+    """Tokens of the atoms from code tuples."""
+    null = np.iinfo(np.int64).min
+    books = [sorted((null if c is None else c, t) for t, (slot, c) in enumerate(atoms, 1) if slot == k) for k in range(slots)]
+
     def run(batches):
-        rows: list = []
+        for batch in batches:
+            items = batch["feats"].flatten()
+            wide, codes = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), items.flatten().cast(pa.int64()).fill_null(null).to_numpy()
+            state = np.repeat(np.arange(len(items)), wide)
+            slot = np.arange(len(codes)) - np.repeat(np.cumsum(wide) - wide, wide)
+            tokens = np.zeros((len(items), slots), np.int32)
+            for k, book in enumerate(books):
+                own = slot == k
+                known, number = np.array([c for c, _ in book], np.int64), np.array([t for _, t in book], np.int32)
+                tokens[state[own], k] = number[np.searchsorted(known, codes[own])]
+            yield _table(batch["n"].to_numpy(), tokens, np.zeros(len(items), np.int32), batch["feats"].value_lengths().to_numpy(zero_copy_only=False))
 
-        def table():
-            cols = zip(*rows, strict=True)
-            kinds = (pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["n", "states", "between", "bucket"])
-
-        for n, bucket, chain, present in _chains(batches):
-            _catch_up(chain, present, rules, cross)
-            rows.append((n, chain.states, [-1 if t is None else t for t in chain.between], bucket))
-            if len(rows) == 5_000:
-                yield table()
-                rows.clear()
-        if rows:
-            yield table()
+    return run
+
+
+def _rewritten(rules, cross: bool, slots: int):
+    def run(batches):
+        for block in _blocks(batches, slots):
+            for rule in rules:
+                block.merge(*rule, cross)
+            yield _table(block.n, block.tokens.T, block.between, np.bincount(block.seq, minlength=len(block.n)))
 
     return run
 
 
-def _changes(number: int, rules, plan, cross: bool, barred: frozenset, first: int):
+def _changes(rules, plan, cross: bool, barred: frozenset, first: int, slots: int, size: int, scale: int):
     """What the merges of plan change, in this order; step first counts from there. Without a plan: all masses, as step 0."""
-    allowed = (lambda t: t not in barred) if barred else None
+    out = np.zeros(size, bool)
+    out[sorted(barred)] = True
+    out = out if barred else None
 
     def run(batches):
-        value: dict = defaultdict(float)
+        found: dict = defaultdict(list)  # by step, pairs and values
+        made: dict = defaultdict(Counter)
+        held = 0
 
         def table():
-            rows = [(number, bucket, step, a, b, v, what) for (bucket, step, a, b, what), v in value.items()]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
-            cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["round", "bucket", "step", "a", "b", "value", "what"])
-
-        for n, bucket, chain, present in _chains(batches):
-            _catch_up(chain, present, rules, cross)
+            rows = []
+            for step, parts in found.items():
+                pairs, values = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)), size)
+                rows.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), step), pa.int32()), pa.array(pairs // size, pa.int32()), pa.array(pairs % size, pa.int32()), pa.array(values, pa.float64()), pa.nulls(len(pairs), pa.string())], names=NAMES))
+            for step, counts in made.items():
+                rows.append(pa.RecordBatch.from_arrays([pa.array([step] * len(counts), pa.int32()), *[pa.array([-1] * len(counts), pa.int32())] * 2, pa.array(list(counts.values()), pa.float64()), pa.array(list(counts), pa.string())], names=NAMES))
+            found.clear()
+            made.clear()
+            return rows
+
+        for block in _blocks(batches, slots):
+            for rule in rules:
+                block.merge(*rule, cross)
             if not plan:
-                for (a, b), w in chain.masses(allowed, cross).items():
-                    value[bucket, 0, a, b, None] += w * n
-            for step, (low, high, token) in enumerate(plan, first):
-                if low not in present or high not in present:
-                    continue
-                places = chain.places(low, high, cross)
-                if not places:
-                    continue
-                before = Chain(chain.states, chain.between)
-                made = chain.apply(low, high, token, cross, places)
-                present.add(token)
-                around = None if chain.moved else places  # places are others once a state ran empty
-                old, new = before.masses(allowed, cross, around), chain.masses(allowed, cross, around)
-                for p in old.keys() | new.keys():
-                    d = new.get(p, 0.0) - old.get(p, 0.0)
-                    if d:
-                        value[bucket, step, *p, None] += d * n
-                value[bucket, step, -1, -1, "sequences"] += n
-                for kind, m in made.items():
-                    value[bucket, step, -1, -1, kind] += m * n
-            if len(value) > HELD:
-                yield table()
-                value.clear()
-        yield table()
+                found[0].append(block.masses(size, scale, cross, out))
+                held += len(found[0][-1][0])
+            for step, rule in enumerate(plan, first):
+                seen: list = []
+                look = lambda b, flags: seen.append(b.masses(size, scale, cross, out, flags))  # noqa: B023, E731
+                counts = block.merge(*rule, cross, look, look)
+                if counts is not None:
+                    (old, minus), (new, plus) = seen
+                    found[step].append((np.concatenate([old, new]), np.concatenate([-minus, plus])))
+                    held += len(old) + len(new)
+                    made[step].update(counts)
+            if held > HELD:
+                yield from table()
+                held = 0
+        yield from table()
 
     return run
 
@@ -131,52 +338,51 @@ class TableTrainer:
     """seqs: feats, the code tuples of a sequence's items (array of arrays). Rules and log are those of ``vocabulary.Trainer`` on
     the same corpus. guide: (left, right, priority) of merges that are known or to be checked, in order."""
 
-    def __init__(self, seqs: DataFrame, cross: bool = True, allowed_slots: set[int] | None = None, buckets: int | None = None, ahead: int = AHEAD):
+    def __init__(self, seqs: DataFrame, cross: bool = True, allowed_slots: set[int] | None = None, ahead: int = AHEAD):
         spark = seqs.sparkSession
         self.spark, self.cross, self.slots, self.most = spark, cross, allowed_slots, ahead
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         corpus = kept(seqs.where("size(feats) > 0").groupBy("feats").agg(F.count(F.lit(1)).alias("n")), "corpus")
         # slots x codes is bounded by the code books
         atoms = corpus.select(F.explode("feats").alias("f")).select(F.posexplode("f").alias("slot", "code")).distinct().orderBy("slot", "code").collect()
         self.vocab = Vocabulary([(r["slot"], r["code"]) for r in atoms])
-        index = self.vocab.index
-
-        def states(batches):
-            for batch in batches:
-                for part in (batch.slice(k, 5_000) for k in range(0, batch.num_rows, 5_000)):
-                    tokens = [[[index[k, c] for k, c in enumerate(item)] for item in seq] for seq in part["feats"].to_pylist()]
-                    cols = [part["n"], pa.array(tokens, pa.list_(pa.list_(pa.int32()))), pa.array([[-1] * (len(s) - 1) for s in tokens], pa.list_(pa.int32())), part["bucket"]]
-                    yield pa.RecordBatch.from_arrays(cols, names=["n", "states", "between", "bucket"])
-
-        dealt = corpus.withColumn("bucket", F.pmod(F.xxhash64("feats"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-        self.sequences = kept(dealt.mapInArrow(states, SEQUENCES), "sequences", "bucket")
+        self.width = max(1, self.vocab.slots)
+        # masses are whole numbers times this, so that sums are exact in any order; for very wide states they are not
+        self.scale = math.lcm(*range(1, self.width + 1)) ** 2
+        self.scale = self.scale if self.scale <= 10**9 else 1
+        self.sequences = kept(corpus.mapInArrow(_first_states(self.vocab.atoms[1:], self.width), SEQUENCES), "sequences")
         discarded(corpus)
         self.n_sequences, self.n_rows = self.sequences.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.pending: list[tuple[int, int, int]] = []
-        self.rounds = [kept(self.sequences.mapInArrow(_changes(0, [], [], cross, self._barred(), 0), CHANGES), "masses")]
-        self.base, self.since = self.rounds[0].select("bucket", "step", "a", "b", "value"), 1  # rounds from here on are not in base
+        self.rounds = [self._written([])]
+        self.base, self.since = self.rounds[0].select("step", "a", "b", "value"), 1  # rounds from here on are not in base
         self.held = [0]  # by round, the last step that holds
         self.steps: list[tuple[int, int, float]] = []
         self.rows, self.now = self._top(0), 0  # and which of their masses are the present ones
 
+    def _written(self, merges: list[tuple[int, int, int]], done: int = 0) -> DataFrame:
+        # a token made of allowed ones is allowed, and no others are merged
+        size = len(self.vocab) + len(merges)
+        changes = self.sequences.mapInArrow(_changes(self.pending, merges, self.cross, self._barred(), done + 1, self.width, size, self.scale), CHANGES)
+        return kept(changes.groupBy("step", "a", "b", "what").agg(F.sum("value").alias("value")).select(*NAMES), "changes")
+
     def _barred(self) -> frozenset:
         if self.slots is None:
             return frozenset()
         return frozenset(t for t in range(1, len(self.vocab)) if not {s for s, _ in self.vocab.parts(t)} <= self.slots)
 
     def _increments(self, guessed: int = 0) -> DataFrame:
-        """bucket, step, a, b, value of all that holds, and of the last round also what is guessed."""
+        """step, a, b, value of all that holds, and of the last round also what is guessed."""
         out = self.base
         for k in range(self.since, len(self.rounds)):
             last = self.held[k] if k < len(self.held) else len(self.steps) + guessed
-            out = out.unionByName(self.rounds[k].where((F.col("step") <= last) & F.col("what").isNull()).select("bucket", "step", "a", "b", "value"))
+            out = out.unionByName(self.rounds[k].where((F.col("step") <= last) & F.col("what").isNull()).select("step", "a", "b", "value"))
         return out
 
     def _top(self, guessed: int) -> list[Row]:
-        """a, b, at (masses after 0, 1, ... of the guessed merges) and buckets of the pairs that are largest at any of these."""
+        """a, b and at (masses after 0, 1, ... of the guessed merges) of the pairs that are largest at any of these."""
         done = len(self.steps)
-        after = [F.coalesce(F.round(F.sum(F.when(F.col("step") <= done + j, F.col("value"))), 9), F.lit(0.0)) for j in range(guessed + 1)]
-        totals = self._increments(guessed).groupBy("a", "b").agg(F.array(*after).alias("at"), F.collect_set("bucket").alias("buckets"))
+        after = [F.coalesce(F.round(F.sum(F.when(F.col("step") <= done + j, F.col("value"))) / self.scale, 9), F.lit(0.0)) for j in range(guessed + 1)]
+        totals = self._increments(guessed).groupBy("a", "b").agg(F.array(*after).alias("at"))
         most = F.array_max("at")
         return totals.withColumn("most", most).where("most > 0").orderBy(F.desc("most"), "a", "b").limit(CANDIDATES).collect()
 
@@ -197,13 +403,10 @@ class TableTrainer:
                 taken |= {r["a"], r["b"]}
         return plan
 
-    def _round(self, plan: list[tuple[int, int]], buckets: set[int]) -> None:
+    def _round(self, plan: list[tuple[int, int]]) -> None:
         """Write what the merges of plan change."""
-        n, done = len(self.vocab), len(self.steps)
-        merges = [(a, b, n + k) for k, (a, b) in enumerate(plan)]
-        held = self.sequences if not buckets else self.sequences.where(F.col("bucket").isin(sorted(buckets)))
-        # a token made of allowed ones is allowed, and no others are merged
-        self.rounds.append(kept(held.mapInArrow(_changes(len(self.rounds), self.pending, merges, self.cross, self._barred(), done + 1), CHANGES), "changes"))
+        n = len(self.vocab)
+        self.rounds.append(self._written([(a, b, n + k) for k, (a, b) in enumerate(plan)], len(self.steps)))
 
     def train(self, size: int, guide: list[tuple[int, int, float]] | None = None) -> Vocabulary:
         """Merge until the vocabulary has this size or no pair is left. With a guide, its merges are the guesses, and one that
@@ -221,10 +424,7 @@ class TableTrainer:
             plan = [(a, b) for a, b, _ in known] or self._guess(first, self.now, min(ahead, left))
             if plan[0] != (first["a"], first["b"]):
                 raise ValueError(f"step {done + 1} merges {plan[0]}, where {first['a'], first['b']} is the next pair")
-            where = {(r["a"], r["b"]): r["buckets"] for r in self.rows}
-            # a pair that the driver does not hold may be in any bucket
-            buckets = {b for p in plan for b in where[p]} if all(p in where for p in plan) else set()
-            self._round(plan, buckets)
+            self._round(plan)
             mass = [first["at"][self.now]]
             self.rows = self._top(len(plan))
             while len(mass) < len(plan):
@@ -247,13 +447,13 @@ class TableTrainer:
     def _tidy(self) -> None:
         if len(self.pending) >= REWRITE:
             old = self.sequences
-            self.sequences = kept(old.mapInArrow(_rewritten(self.pending, self.cross), SEQUENCES).repartition("bucket"), "sequences", "bucket")
+            self.sequences = kept(old.mapInArrow(_rewritten(self.pending, self.cross, self.width), SEQUENCES), "sequences")
             discarded(old)
             self.pending = []
         if len(self.rounds) - self.since >= COMPACT:
             old = self.base
-            summed = self._increments().groupBy("bucket", "a", "b").agg(F.sum("value").alias("value")).where("abs(value) > 1e-10")
-            self.base = kept(summed.select("bucket", F.lit(0).alias("step"), "a", "b", "value"), "masses")
+            summed = self._increments().groupBy("a", "b").agg(F.sum("value").alias("value")).where("abs(value) > 1e-10")
+            self.base = kept(summed.select(F.lit(0).alias("step"), "a", "b", "value"), "masses")
             self.since = len(self.rounds)
             discarded(old)
 
@@ -265,7 +465,7 @@ class TableTrainer:
             rows = one if rows is None else rows.unionByName(one)
         counts: dict = defaultdict(Counter)
         if rows is not None:
-            pairs = F.count_distinct(F.when(F.col("what").isNull(), F.struct("a", "b")))
+            pairs = F.count_if(F.col("what").isNull() & (F.col("value") != 0))
             # a few rows for each rule
             for r in rows.groupBy("step", F.coalesce("what", F.lit("")).alias("what")).agg(F.sum("value").alias("v"), pairs.alias("p")).collect():
                 counts[r["step"]][r["what"]] = r["p"] if r["what"] == "" else int(r["v"])
