@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from strandline.operators.encoding import atom_tokens
 from strandline.operators.tables import discarded, exists, kept, named
 from strandline.operators.vocabulary import Vocabulary, from_table, vocabulary_table
 
@@ -258,23 +259,14 @@ def _table(n: np.ndarray, tokens: np.ndarray, between: np.ndarray, sizes: np.nda
     return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *lists], names=["n", "tokens", "between"])
 
 
-def _first_states(atoms: list[tuple[int, int | None]], slots: int):
+def _first_states(vocab: Vocabulary):
     """Tokens of the atoms from code tuples."""
-    null = np.iinfo(np.int64).min
-    books = [sorted((null if c is None else c, t) for t, (slot, c) in enumerate(atoms, 1) if slot == k) for k in range(slots)]
+    atoms = atom_tokens(vocab)
 
     def run(batches):
         for batch in batches:
-            items = batch["feats"].flatten()
-            wide, codes = items.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), items.flatten().cast(pa.int64()).fill_null(null).to_numpy()
-            state = np.repeat(np.arange(len(items)), wide)
-            slot = np.arange(len(codes)) - np.repeat(np.cumsum(wide) - wide, wide)
-            tokens = np.zeros((len(items), slots), np.int32)
-            for k, book in enumerate(books):
-                own = slot == k
-                known, number = np.array([c for c, _ in book], np.int64), np.array([t for _, t in book], np.int32)
-                tokens[state[own], k] = number[np.searchsorted(known, codes[own])]
-            yield _table(batch["n"].to_numpy(), tokens, np.zeros(len(items), np.int32), batch["feats"].value_lengths().to_numpy(zero_copy_only=False))
+            tokens = atoms(batch["feats"].flatten())
+            yield _table(batch["n"].to_numpy(), tokens, np.zeros(len(tokens), np.int32), batch["feats"].value_lengths().to_numpy(zero_copy_only=False))
 
     return run
 
@@ -349,7 +341,7 @@ class TableTrainer:
         # masses are whole numbers times this, so that sums are exact in any order; for very wide states they are not
         self.scale = math.lcm(*range(1, self.width + 1)) ** 2
         self.scale = self.scale if self.scale <= 10**9 else 1
-        self.sequences = kept(corpus.mapInArrow(_first_states(self.vocab.atoms[1:], self.width), SEQUENCES), "sequences")
+        self.sequences = kept(corpus.mapInArrow(_first_states(self.vocab), SEQUENCES), "sequences")
         discarded(corpus)
         self.n_sequences, self.n_rows = self.sequences.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.pending: list[tuple[int, int, int]] = []

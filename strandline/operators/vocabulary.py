@@ -597,7 +597,7 @@ def encode_sequences(seqs: DataFrame, vocab: Vocabulary, key: str, mode: str = "
     """(key, tokens) of every sequence of feats, in Arrow batches; the rules travel with the function.
 
     mode ``feature``: tokens of a state in random order, then flat merging over the whole list; ``none``:
-    best-first with context slots; ``token``: the same, then the tokens of each state in random order, the states in
+    best-first with context slots, in many sequences at once; ``token``: the same, then the tokens of each state in random order, the states in
     theirs. Random orders depend on the seed and the key alone. scope ``item`` encodes each item by itself."""
     import random
 
@@ -624,6 +624,10 @@ def encode_sequences(seqs: DataFrame, vocab: Vocabulary, key: str, mode: str = "
             yield pd.DataFrame({key: pdf[key], "tokens": tokens})
 
     kind = dict(seqs.dtypes)[key]
+    if mode == "none":
+        from strandline.operators.encoding import encoded
+
+        return seqs.select(key, "feats").mapInArrow(encoded(vocab, key, scope == "item"), f"{key} {kind}, tokens array<int>")
     return seqs.select(key, "feats").mapInPandas(run, f"{key} {kind}, tokens array<int>")
 
 
