@@ -81,7 +81,8 @@ def provenance_classes(s, d):
 def _trained(s, d, size=160):
     seqs = purchases(s, d).join(slot_items(s, d), "item")
     rows = seqs.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "feats"))), lambda x: x["feats"]).alias("feats"))
-    return *training.trained_once(kept(rows, "user-feats"), size), rows
+    rows = kept(rows, "user-feats")
+    return *training.trained_once(rows, size), rows
 
 
 def trained_merges(s, d):
@@ -164,12 +165,13 @@ def model_examples(s, d, split="test"):
 
     vocab, _, _ = _trained(s, d)
     items = slot_items(s, d)
-    tokens = X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]).select("item", "tokens")
-    labels = X.label_atoms(items, vocab).select("item", "label")
-    w = example_windows(sequences(purchases(s, d), "user", "item", ORDER), split, 20).withColumn("example", F.monotonically_increasing_id())
-    w = kept(w, "windows").select("user", "example", F.element_at("window", -1).alias("target"), F.posexplode(F.slice("window", F.lit(1), F.size("window") - 1)).alias("pos", "item"))
-    h = w.join(tokens, "item").groupBy("user", "example", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("h"), F.count(F.lit(1)).cast("int").alias("n_items"))
-    rows = h.join(labels.withColumnRenamed("item", "target"), "target").select("user", "n_items", "label", F.flatten(F.transform("h", lambda x: x["tokens"])).alias("tokens"))
+    spelt = X.label_atoms(X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]), vocab).select("item", "tokens", "label")
+    # tokens and label go along with each purchase, so that windows are slices of a user's own sequence; unknown items keep their place
+    bought = purchases(s, d).join(spelt, "item", "left").groupBy("user").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "tokens", "label"))).alias("seq"))
+    w = example_windows(bought.select("user", F.transform("seq", lambda x: F.struct(x["tokens"].alias("tokens"), x["label"].alias("label"))).alias("seq")), split, 20)
+    history = F.filter(F.slice("window", F.lit(1), F.size("window") - 1), lambda x: x["tokens"].isNotNull())
+    h = w.select("user", F.element_at("window", -1)["label"].alias("label"), F.transform(history, lambda x: x["tokens"]).alias("h")).where("label is not null and size(h) > 0")
+    rows = h.select("user", F.size("h").alias("n_items"), "label", F.flatten("h").alias("tokens"))
     n = len(vocab)
     out = X.assemble(rows, 64, 4, n, n + 1)
     return out.select("user", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
