@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from array import array
 from collections import Counter
 
 # Element names by their role in HTML.
@@ -33,7 +33,7 @@ MAIN = frozenset(["article", "main"])
 #: Elements that hold the page or its article are never taken for clutter by a name.
 NAMING = frozenset(["class", "id", "role"])
 NEVER = MAIN | frozenset(["html", "body"])
-#: Lists of children are aligned by dynamic programming up to this many cells, else in one pass.
+#: Without effect: lists of children are aligned in full at any length. A test still sets it.
 CELLS = 40_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*(?:>|\Z)|[^<]+|<", re.S)
@@ -171,63 +171,47 @@ def tree(root: Element) -> Run:
     return top
 
 
-def _one_pass(x: list, y: list) -> list[tuple[int, int]]:
-    """Order-keeping pairs of equal signs, each with the next free one: for lists too long for all cells."""
-    places: dict[str, list[int]] = {}
-    for i, p in enumerate(x):
-        places.setdefault(p.sign, []).append(i)
-    out, last = [], -1
-    for j, q in enumerate(y):
-        at = places.get(q.sign, ())
-        k = bisect_right(at, last)
-        if k < len(at):
-            last = at[k]
-            out.append((last, j))
-    return out
-
-
-def _candidates(x: list, y: list) -> list[tuple[int, int]]:
-    """Pairs of children that may be matched."""
-    signs = [p.sign for p in x]
-    if signs == [q.sign for q in y] and len(set(signs)) == len(signs):  # the usual case, and then the largest matching
-        return [(i, i) for i in range(len(x))]
-    if len(x) * len(y) > CELLS:
-        return _one_pass(x, y)
+def _candidates(x: list, y: list) -> list[tuple[int, list[int]]]:
+    """For each child of x that may be matched, the children of y that it may be matched with."""
     where: dict[str, list[int]] = {}
     for j, q in enumerate(y):
         where.setdefault(q.sign, []).append(j)
-    return [(i, j) for i, s in enumerate(signs) for j in where.get(s, ())]
+    # children of one sign share one list, so this takes no room for each cell
+    return [(i, where[p.sign]) for i, p in enumerate(x) if p.sign in where]
 
 
-def _best(cells: list[tuple[int, int]], weight: list[int], width: int) -> tuple[int, list[int]]:
-    """Of cells sorted by row and column, the heaviest chain that rises in both; its weight and places."""
-    if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(cells, cells[1:], strict=False)):
-        return sum(weight), list(range(len(cells)))
-    # best[j]: heaviest chain so far that ends before column j, as a Fenwick tree of maxima
+def _best(rows: list[tuple[int, list[int]]], weight, width: int) -> tuple[int, list[tuple[int, int]]]:
+    """Of the cells of rows, the heaviest chain that rises in both; its weight and cells. A cell takes twelve bytes, so lists of any
+    length are aligned in full."""
+    if all(len(js) == 1 for _, js in rows) and all(p[1][0] < q[1][0] for p, q in zip(rows, rows[1:], strict=False)):
+        return sum(weight(i, js[0]) for i, js in rows), [(i, js[0]) for i, js in rows]
+    # best[j]: heaviest chain so far that ends before column j and its last cell, as a Fenwick tree of maxima
     best: list[tuple[int, int]] = [(0, -1)] * (width + 1)
-    back = [-1] * len(cells)
-    total = [0] * len(cells)
-    k, n = 0, len(cells)
-    while k < n:
-        row = k
-        while k < n and cells[k][0] == cells[row][0]:
-            j, top = cells[k][1], (0, -1)
-            while j > 0:
-                top = max(top, best[j])
-                j &= j - 1
-            total[k], back[k] = top[0] + weight[k], top[1]
-            k += 1
-        for c in range(row, k):
-            j = cells[c][1] + 1
-            while j <= width:
-                best[j] = max(best[j], (total[c], c))
-                j += j & -j
-    at = max(range(n), key=total.__getitem__, default=-1)
-    size, chain = total[at] if n else 0, []
-    while at >= 0:
-        chain.append(at)
-        at = back[at]
-    return size, chain[::-1]
+    at_i, at_j, back = array("i"), array("i"), array("i")
+    top, end = 0, -1
+    for i, js in rows:
+        new = []
+        for j in js:
+            k, found = j, (0, -1)
+            while k > 0:
+                found = max(found, best[k])
+                k &= k - 1
+            new.append((found[0] + weight(i, j), len(back)))
+            at_i.append(i)
+            at_j.append(j)
+            back.append(found[1])
+        for j, reached in zip(js, new, strict=True):
+            if reached[0] > top:
+                top, end = reached
+            k = j + 1
+            while k <= width:
+                best[k] = max(best[k], reached)
+                k += k & -k
+    chain = []
+    while end >= 0:
+        chain.append((at_i[end], at_j[end]))
+        end = back[end]
+    return top, chain[::-1]
 
 
 def matching(a, b) -> tuple[int, list[tuple]]:
@@ -249,11 +233,14 @@ def matching(a, b) -> tuple[int, list[tuple]]:
                 continue
             cells = _candidates(x.kids, y.kids)
             todo.append((x, y, cells))
-            todo.extend((x.kids[i], y.kids[j], None) for i, j in cells)
+            for i, js in cells:
+                if x.kids[i].kids:
+                    todo.extend((x.kids[i], y.kids[j], None) for j in js if y.kids[j].kids)
         else:
-            total, chain = _best(cells, [size[id(x.kids[i]), id(y.kids[j])] for i, j in cells], len(y.kids))
+            # a pair of which one has no children counts itself alone
+            total, chain = _best(cells, lambda i, j: size.get((id(x.kids[i]), id(y.kids[j])), 1), len(y.kids))  # noqa: B023
             size[key] = 1 + total
-            chosen[key] = [(x.kids[cells[c][0]], y.kids[cells[c][1]]) for c in chain]
+            chosen[key] = [(x.kids[i], y.kids[j]) for i, j in chain]
     pairs, open_pairs = [], [(a, b)]
     while open_pairs:
         x, y = open_pairs.pop()
