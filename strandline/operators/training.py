@@ -35,14 +35,15 @@ from strandline.operators.vocabulary import Vocabulary, from_table, vocabulary_t
 #: Candidates that the driver gets in a round, the most merges of a round, merges after which sequences are written anew,
 #: and rounds after which the increments of masses are summed up.
 CANDIDATES, AHEAD, REWRITE, COMPACT = 256, 24, 20, 5
-SEQUENCES = "n long, tokens array<int>, between array<int>"
+#: Sequences side by side as bytes, a block of them a row: nothing is converted item by item on the way to a task and back.
+SEQUENCES = "n binary, sizes binary, tokens binary, between binary"
 CHANGES = "step int, a int, b int, value double, what string"
 NAMES = ["step", "a", "b", "value", "what"]
 KINDS = ("same_action", "action_context", "adjacent_actions")
 LOG = "step int, new_token int, left int, right int, priority double, affected_sequences long"
-#: Changes that a task holds before it hands them on, states that it takes at once, and how many pairs of tokens there may be
-#: for sums by place instead of by sorting.
-HELD, STATES, DENSE = 2_000_000, 500_000, 1 << 22
+#: Changes that a task holds before it hands them on, states that it takes at once, states whose pairs are made at once, and how
+#: many pairs of tokens there may be for sums by place instead of by sorting.
+HELD, STATES, PART, DENSE = 2_000_000, 500_000, 8_192, 1 << 22
 
 
 class _Block:
@@ -57,7 +58,7 @@ class _Block:
         self.seq = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.last = np.zeros(len(between), bool)
         self.last[np.cumsum(sizes) - 1] = True
-        self.empty = ~tokens.any(0)
+        self.empty = _widths(tokens) == 0
 
     def __len__(self) -> int:
         return len(self.between)
@@ -72,28 +73,33 @@ class _Block:
         return out
 
     def places(self, low: int, high: int, cross: bool) -> np.ndarray:
-        held = np.zeros(len(self), np.uint8)
-        for bit, t in ((1, low), (2, high)):
-            for row in self.tokens:
-                held |= (row == t).view(np.uint8) * np.uint8(bit)
-        out = held == 3
+        one, two = self._holds(low), self._holds(high)
+        out = one & two
         if cross and len(self) > 1:
-            both = held[:-1] | held[1:]
-            k = np.flatnonzero((both == 3) & ~self.last[:-1])
-            k = k[(self.between[k] == 0) & (held[k] > 0) & (held[k + 1] > 0)]
-            for t, other in ((low, 2), (high, 1)):
+            k = np.flatnonzero(((one[:-1] & two[1:]) | (two[:-1] & one[1:])) & ~self.last[:-1])
+            k = k[self.between[k] == 0]
+            for t, other in ((low, two), (high, one)):
                 j = np.flatnonzero(self.between[:-1] == t)
-                k = np.concatenate([k, j[(both[j] & other) > 0]])
+                k = np.concatenate([k, j[other[j] | other[j + 1]]])
             out[k] = out[k + 1] = True
         return np.flatnonzero(out)
 
+    def _holds(self, token) -> np.ndarray:
+        """Whether a state has the token; row by row, which is faster than a reduction over a short axis."""
+        out = self.tokens[0] == token
+        for row in self.tokens[1:]:
+            out |= row == token
+        return out
+
     def _has(self, at: np.ndarray, token) -> np.ndarray:
-        return (self.tokens[:, at] == token).any(0)
+        out = self.tokens[0].take(at) == token
+        for row in self.tokens[1:]:
+            out |= row.take(at) == token
+        return out
 
-    def _without(self, at: np.ndarray, token) -> None:
-        own = self.tokens[:, at]
-        own[own == token] = 0
-        self.tokens[:, at] = own
+    def _replace(self, at: np.ndarray, token, by=0) -> None:
+        for row in self.tokens:
+            row[at[row.take(at) == token]] = by
 
     def apply(self, low: int, high: int, token: int, cross: bool, places: np.ndarray) -> dict[str, int]:
         """Counts by kind of merge. What is done at a place depends on the place in front of it alone, so of every run of
@@ -109,10 +115,8 @@ class _Block:
             left, turn, wave = left[rest], turn[rest], wave + 1
             if low != high:
                 k = now[self._has(now, low) & self._has(now, high)]
-                own = self.tokens[:, k]
-                own[own == high] = 0
-                own[own == low] = token
-                self.tokens[:, k] = own
+                self._replace(k, high)
+                self._replace(k, low, token)
                 made["same_action"] += self._times(k)
             if not cross:
                 continue
@@ -121,8 +125,8 @@ class _Block:
             for x, y in ((low, high), (high, low)):
                 hit = self._has(k, x) & self._has(k + 1, y)
                 j, k = k[hit], k[~hit]
-                self._without(j, x)
-                self._without(j + 1, y)
+                self._replace(j, x)
+                self._replace(j + 1, y)
                 self.between[j] = token
                 made["adjacent_actions"] += self._times(j)
             # slots that held something before, and not the new token
@@ -131,12 +135,15 @@ class _Block:
                 for step in (0, 1):
                     hit = self._has(k + step, want)
                     j, k = k[hit], k[~hit]
-                    self._without(j + step, want)
+                    self._replace(j + step, want)
                     self.between[j] = token
                     made["action_context"] += self._times(j)
-        self.empty[places] = ~self.tokens[:, places].any(0)
+        self.empty[places] = _widths(self._states(places)) == 0
         return {kind: m for kind, m in made.items() if m}
 
+    def _states(self, at: np.ndarray) -> np.ndarray:
+        return np.stack([row.take(at) for row in self.tokens])
+
     def _times(self, at: np.ndarray) -> int:
         return int(self.n[self.seq[at]].sum())
 
@@ -186,46 +193,69 @@ class _Block:
 
     def masses(self, size: int, scale: int, cross: bool, barred: np.ndarray | None, flags: np.ndarray | None = None):
         """Pairs (first * size + second) and masses times scale, of all groups or of those that have a flagged state."""
-        pairs: list = []
-        weights: list = []
-        own = self.tokens if flags is None else self.tokens[:, flags]
-        n = self.n[self.seq if flags is None else self.seq[flags]].astype(float)
+        whole = np.rint if scale > 1 else lambda x: x
+        wide = np.arange(len(self.tokens) + 1).clip(1)  # by number of tokens; without any there is no pair, whatever the weight
+        inside, beside, across = whole(2 * scale / wide), whole(scale / wide), whole(scale / (wide[:, None] * wide)).ravel()
+        i, j = np.triu_indices(len(self.tokens), 1)
 
-        def allowed(x):
+        def states(at):
+            x = self._states(at)
             return x if barred is None else np.where(barred[x], 0, x)
 
-        def group(a, b, w):
-            x, y = np.minimum(a, b), np.maximum(a, b)
-            pairs.append(x.astype(np.int64) * size + y)
-            weights.append(np.where(x > 0, w, 0.0))
+        def within(at):
+            x = states(at)
+            w = inside[_widths(x)] * self.n[self.seq[at]]
+            return ((x * np.int64(size))[i] + x[j]).ravel(), np.tile(w, len(i))
 
-        def width(x):
-            return np.maximum((x != 0).sum(0), 1)
+        def free(at):
+            x, y = states(at), states(at + 1)
+            w = across[_widths(x) * len(wide) + _widths(y)] * self.n[self.seq[at]]
+            return ((x * np.int64(size))[:, None] + y).ravel(), np.tile(w, len(x) * len(y))
 
-        own = allowed(own)
-        w = np.rint(2 * scale / width(own)) * n if scale > 1 else 2 / width(own) * n
-        for i in range(len(own)):
-            for j in range(i + 1, len(own)):
-                group(own[i], own[j], w)
+        def held(at):
+            t = self.between[at] if barred is None else np.where(barred[self.between[at]], 0, self.between[at])
+            both = np.concatenate([states(at), states(at + 1)])
+            n, half = self.n[self.seq[at]], len(both) // 2
+            w = [beside[_widths(x)] * n for x in (both[:half], both[half:])]
+            return (both * np.int64(size) + t).ravel(), np.concatenate([np.tile(x, half) for x in w])
+
+        kinds = [(within, np.arange(len(self)) if flags is None else np.flatnonzero(flags))]
         if cross:
             inner = ~self.last
             if flags is not None:
                 inner[:-1] &= flags[:-1] | flags[1:]
             k = np.flatnonzero(inner)
-            slot = self.between[k]
-            n, x, y, t = self.n[self.seq[k]].astype(float), allowed(self.tokens[:, k]), allowed(self.tokens[:, k + 1]), allowed(slot)
-            per = lambda d: np.rint(scale / d) if scale > 1 else 1 / d
-            free, lx, ly = slot == 0, width(x), width(y)
-            w = np.where(free, per(lx * ly), 0.0) * n
-            for a in x:
-                for b in y:
-                    group(a, b, w)
-            used = np.flatnonzero(~free)
-            for side, wide in ((x, lx), (y, ly)):
-                w = (per(wide) * n)[used]
-                for a in side:
-                    group(a[used], t[used], w)
-        return _summed(np.concatenate(pairs), np.concatenate(weights), size)
+            slot = self.between[k] != 0
+            kinds += [(free, k[~slot]), (held, k[slot])]
+        step = max(PART, size * size // 8)  # so much at a time as stays in a cache
+        return _folded((f(at[k : k + step]) for f, at in kinds for k in range(0, len(at), step)), size)
+
+
+def _widths(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens a state has."""
+    out = np.zeros(tokens.shape[1], np.int64)
+    for row in tokens:
+        out += row != 0
+    return out
+
+
+def _folded(parts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (pairs, weights), pairs in either order, with the smaller token first, and of none with token 0."""
+    if size * size <= DENSE:
+        total = np.zeros(size * size)
+        for pairs, weights in parts:
+            total += np.bincount(pairs, weights, size * size)
+        total = total.reshape(size, size)
+        total[0] = total[:, 0] = 0
+        total = (np.triu(total) + np.tril(total, -1).T).ravel()
+        found = np.flatnonzero(total)
+        return found, total[found]
+    out = [(np.zeros(0, np.int64), np.zeros(0))]
+    for pairs, weights in parts:
+        a, b = np.divmod(pairs, size)
+        real = (a > 0) & (b > 0)
+        out.append(_summed((np.minimum(a, b) * size + np.maximum(a, b))[real], weights[real], size))
+    return _summed(*(np.concatenate(x) for x in zip(*out, strict=True)), size)
 
 
 def _summed(pairs: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,23 +270,15 @@ def _summed(pairs: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarr
 
 def _blocks(batches, slots: int):
     for batch in batches:
-        ends = batch["between"].value_lengths().to_numpy(zero_copy_only=False).cumsum()
-        row = 0
-        while row < batch.num_rows:
-            begun = ends[row - 1] if row else 0
-            end = max(row + 1, int(np.searchsorted(ends, begun + STATES, "right")))
-            part = batch.slice(row, end - row)
-            tokens = part["tokens"].flatten().to_numpy().reshape(-1, slots).T.astype(np.int32)
-            sizes = part["between"].value_lengths().to_numpy(zero_copy_only=False)
-            yield _Block(np.ascontiguousarray(tokens), part["between"].flatten().to_numpy().copy(), sizes, part["n"].to_numpy())
-            row = end
+        for row in range(batch.num_rows):
+            n, sizes, tokens, between = (np.frombuffer(column[row].as_buffer(), kind) for column, kind in zip(batch.columns, ("<i8", "<i4", "<i4", "<i4"), strict=True))
+            yield _Block(tokens.reshape(slots, -1).copy(), between.copy(), sizes, n)
 
 
-def _table(n: np.ndarray, tokens: np.ndarray, between: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """Rows of SEQUENCES from tokens, states x slots."""
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    lists = [pa.ListArray.from_arrays(pa.array(cuts * k, pa.int32()), pa.array(x.ravel(), pa.int32())) for k, x in ((tokens.shape[1], tokens), (1, between))]
-    return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *lists], names=["n", "tokens", "between"])
+def _table(n: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, between: np.ndarray) -> pa.RecordBatch:
+    """A row of SEQUENCES; tokens are slots x states."""
+    parts = [np.ascontiguousarray(x, kind).tobytes() for x, kind in ((n, "<i8"), (sizes, "<i4"), (tokens, "<i4"), (between, "<i4"))]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["n", "sizes", "tokens", "between"])
 
 
 def _first_states(vocab: Vocabulary):
@@ -265,8 +287,15 @@ def _first_states(vocab: Vocabulary):
 
     def run(batches):
         for batch in batches:
-            tokens = atoms(batch["feats"].flatten())
-            yield _table(batch["n"].to_numpy(), tokens, np.zeros(len(tokens), np.int32), batch["feats"].value_lengths().to_numpy(zero_copy_only=False))
+            ends = batch["feats"].value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            row = 0
+            while row < batch.num_rows:
+                begun = ends[row - 1] if row else 0
+                end = max(row + 1, int(np.searchsorted(ends, begun + STATES, "right")))
+                part = batch.slice(row, end - row)
+                tokens = atoms(part["feats"].flatten())
+                yield _table(part["n"].to_numpy(), np.diff(ends[row:end], prepend=begun), tokens.T, np.zeros(len(tokens), np.int32))
+                row = end
 
     return run
 
@@ -276,7 +305,7 @@ def _rewritten(rules, cross: bool, slots: int):
         for block in _blocks(batches, slots):
             for rule in rules:
                 block.merge(*rule, cross)
-            yield _table(block.n, block.tokens.T, block.between, np.bincount(block.seq, minlength=len(block.n)))
+            yield _table(block.n, np.bincount(block.seq, minlength=len(block.n)), block.tokens, block.between)
 
     return run
 
@@ -342,8 +371,8 @@ class TableTrainer:
         self.scale = math.lcm(*range(1, self.width + 1)) ** 2
         self.scale = self.scale if self.scale <= 10**9 else 1
         self.sequences = kept(corpus.mapInArrow(_first_states(self.vocab), SEQUENCES), "sequences")
+        self.n_sequences, self.n_rows = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         discarded(corpus)
-        self.n_sequences, self.n_rows = self.sequences.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.pending: list[tuple[int, int, int]] = []
         self.rounds = [self._written([])]
         self.base, self.since = self.rounds[0].select("step", "a", "b", "value"), 1  # rounds from here on are not in base
@@ -480,13 +509,19 @@ def train_on_tables(seqs: DataFrame, size: int, **options) -> tuple[Vocabulary,
     return vocab, log
 
 
-def trained_once(seqs: DataFrame, size: int, **options) -> tuple[Vocabulary, DataFrame]:
+def _contents(table: DataFrame) -> Row:
+    """Number and two sums of hashes of the rows, whatever their order."""
+    row = F.xxhash64(*table.columns)
+    return table.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(20,0)")), F.bit_xor(F.xxhash64(row, F.lit(1)))).first()
+
+
+def trained_once(seqs: DataFrame, size: int, inputs: list[DataFrame] | None = None, **options) -> tuple[Vocabulary, DataFrame]:
     """Vocabulary and log of ``train_on_tables`` as tables in the session's shared folder, under a name made of the contents of
-    seqs and the options, so that the same corpus is trained on once."""
+    seqs and the options, so that the same corpus is trained on once. inputs: tables whose rows alone make seqs; the name is of
+    their contents then, and seqs are not made where the training is there."""
     spark = seqs.sparkSession
-    row = F.xxhash64("feats")
-    n, total, mixed = seqs.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(20,0)")), F.bit_xor(F.xxhash64(row, F.lit(1)))).first()
-    digest = hashlib.sha256(repr((n, total, mixed, size, sorted(options.items()))).encode()).hexdigest()[:24]
+    found = [tuple(_contents(x)) for x in inputs or [seqs.select("feats")]]
+    digest = hashlib.sha256(repr((found, size, sorted(options.items()))).encode()).hexdigest()[:24]
     path = named(spark, f"vocabulary-{digest}")
     if not exists(spark, f"{path}/log/_SUCCESS"):
         vocab, log = train_on_tables(seqs, size, **options)
