@@ -14,12 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER = ("ts", "okey", "line", "item", "supp")
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user, item, ts, okey, line, supp): customers buy parts."""
+def purchase_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and their lines, as far as purchases are made of them."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user"), F.col("o_orderdate").alias("ts"))
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line")
     )
+    return o, li
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, item, ts, okey, line, supp): customers buy parts."""
+    o, li = purchase_tables(spark, sf_dir)
     return li.join(o, "o_orderkey").withColumnRenamed("o_orderkey", "okey")
 
 

@@ -13,7 +13,7 @@ from strandline.operators import training
 from strandline.operators import vocabulary as M
 from strandline.operators.interactions import sequences
 from strandline.operators.tables import kept
-from strandline.plans.inputs import ATOMS, CLASSIFIED, ORDER, PURCHASES, SLOT_ITEMS, STATES, log_of_merges, purchases, slot_items, table
+from strandline.plans.inputs import ATOMS, CLASSIFIED, ORDER, PURCHASES, SLOT_ITEMS, STATES, log_of_merges, purchase_tables, purchases, slot_items, table
 
 END = 0
 TEXT, IMAGE, HASH = [0, 1, 2, 3], [4, 5, 6, 7], 8
@@ -78,11 +78,13 @@ def provenance_classes(s, d):
     return src.join(nxt, "item").groupBy(M.provenance(F.col("sources"), F.col("other")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _trained(s, d, size=160):
+def _trained(s, d, size=160, keep=False):
+    """Vocabulary, log and the users' sequences. The training is found again by the tables that sequences are made of, so only who
+    reads them (keep) or trains makes them."""
     seqs = purchases(s, d).join(slot_items(s, d), "item")
     rows = seqs.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "feats"))), lambda x: x["feats"]).alias("feats"))
-    rows = kept(rows, "user-feats")
-    return *training.trained_once(rows, size), rows
+    rows = kept(rows, "user-feats") if keep else rows
+    return *training.trained_once(rows, size, [*purchase_tables(s, d), slot_items(s, d)]), rows
 
 
 def trained_merges(s, d):
@@ -91,7 +93,7 @@ def trained_merges(s, d):
 
 
 def encoded_sequences(s, d):
-    vocab, _, rows = _trained(s, d)
+    vocab, _, rows = _trained(s, d, keep=True)
     out = M.encode_sequences(rows, vocab, "user", "none", "sequence")
     return out.select("user", F.array_join("tokens", " ").alias("tokens"))
 
