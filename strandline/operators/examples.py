@@ -73,3 +73,23 @@ def assemble(rows: DataFrame, width: int, label_width: int, bos: int, eos: int,
     return out.withColumn("labels", C.right_padded("_label", label_width, IGNORE)).drop("_ids", "_label")
 
 
+def padded_label(label: str, width: int, eos: int):
+    """The labels of ``assemble``, which an item has wherever it is the target."""
+    return C.right_padded(F.concat(label, F.array(F.lit(eos))), width, IGNORE)
+
+
+def spelt(tokens: str):
+    """Tokens as text; null where there are none, which no list of texts shows."""
+    return F.nullif(F.array_join(tokens, " "), F.lit(""))
+
+
+def assemble_texts(rows: DataFrame, width: int, bos: int, eos: int) -> DataFrame:
+    """rows (texts: the ``spelt`` tokens of the items of the history, counts: how many each has) with input_ids and attention_mask
+    of ``assemble``, joined by spaces: no token is handled for itself, so examples that share items cost no more than their text."""
+    n = F.aggregate("counts", F.lit(2), lambda a, x: a + x)
+    out = rows.withColumn("_n", F.when(n > width, F.raise_error(F.lit("an input is wider than the batch")).cast("int")).otherwise(n))
+    pad = F.repeat(F.lit(" 0"), width - F.col("_n"))
+    out = out.withColumn("input_ids", F.concat(F.concat_ws(" ", F.lit(str(bos)), F.array_compact("texts"), F.lit(str(eos))), pad))
+    return out.withColumn("attention_mask", F.concat(F.lit("1"), F.repeat(F.lit(" 1"), F.col("_n") - 1), pad)).drop("_n")
+
+

@@ -167,16 +167,15 @@ def model_examples(s, d, split="test"):
 
     vocab, _, _ = _trained(s, d)
     items = slot_items(s, d)
-    spelt = X.label_atoms(X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]), vocab).select("item", "tokens", "label")
-    # tokens and label go along with each purchase, so that windows are slices of a user's own sequence; unknown items keep their place
-    bought = purchases(s, d).join(spelt, "item", "left").groupBy("user").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "tokens", "label"))).alias("seq"))
-    w = example_windows(bought.select("user", F.transform("seq", lambda x: F.struct(x["tokens"].alias("tokens"), x["label"].alias("label"))).alias("seq")), split, 20)
-    history = F.filter(F.slice("window", F.lit(1), F.size("window") - 1), lambda x: x["tokens"].isNotNull())
-    h = w.select("user", F.element_at("window", -1)["label"].alias("label"), F.transform(history, lambda x: x["tokens"]).alias("h")).where("label is not null and size(h) > 0")
-    rows = h.select("user", F.size("h").alias("n_items"), "label", F.flatten("h").alias("tokens"))
     n = len(vocab)
-    out = X.assemble(rows, 64, 4, n, n + 1)
-    return out.select("user", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
+    spelt = X.label_atoms(X.history_tokens(items.join(X.merge_paths(items, vocab), "feats"), "full", ["item"]), vocab)
+    # an item is spelt once, tokens and label as text along with each purchase, so that windows are slices of a user's own sequence; unknown items keep their place
+    spelt = spelt.select("item", X.spelt("tokens").alias("text"), F.size("tokens").alias("n"), F.array_join(X.padded_label("label", 4, n + 1), " ").alias("label"))
+    bought = purchases(s, d).join(spelt, "item", "left").groupBy("user").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "text", "n", "label"))).alias("seq"))
+    w = example_windows(bought.select("user", F.transform("seq", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), x["label"].alias("label"))).alias("seq")), split, 20)
+    h = w.select("user", F.element_at("window", -1)["label"].alias("labels"), F.slice("window", F.lit(1), F.size("window") - 1).alias("h"))
+    rows = h.select("user", "labels", F.col("h.text").alias("texts"), F.array_compact("h.n").alias("counts")).where("labels is not null and size(counts) > 0")
+    return X.assemble_texts(rows, 64, n, n + 1).select("user", "input_ids", "attention_mask", "labels")
 
 
 def train_examples(s, d):

@@ -42,6 +42,19 @@ def test_assembled_examples(spark):
         X.assemble(rows, 4, 4, 90, 91).collect()
 
 
+def test_examples_of_texts_are_those_of_tokens(spark):
+    rng = random.Random(3)
+    drawn = [(k, [[rng.randrange(300) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(1, 6))], [rng.randrange(9) for _ in range(3)]) for k in range(40)]
+    rows = spark.createDataFrame(drawn, "k int, h array<array<int>>, label array<int>")
+    want = X.assemble(rows.select("k", F.flatten("h").alias("tokens"), "label"), 20, 4, 300, 301)
+    want = {r["k"]: tuple(r)[1:] for r in want.select("k", *[F.array_join(c, " ") for c in ("input_ids", "attention_mask", "labels")]).collect()}
+    texts = rows.select("k", F.transform("h", X.spelt).alias("texts"), F.transform("h", F.size).alias("counts"), F.array_join(X.padded_label("label", 4, 301), " ").alias("labels"))
+    out = X.assemble_texts(texts, 20, 300, 301)
+    assert {r["k"]: (r["input_ids"], r["attention_mask"], r["labels"]) for r in out.collect()} == want
+    with pytest.raises(Exception, match="wider"):
+        X.assemble_texts(texts, 4, 300, 301).collect()
+
+
 def test_labels_are_atoms(spark):
     feats, vocab = trained()
     items = spark.createDataFrame(list(feats.items()), "item string, feats array<int>")
