@@ -136,7 +136,8 @@ def repeated_runs(units: DataFrame, min_run: int) -> DataFrame:
     first = units.groupBy("d1", "d2").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # a table of its own: else its grouping would also deal the rows of the join, common units and all
     first = stored(first.select("d1", "d2", F.col("least._row").alias("first_row"), F.col("least.number").alias("first_number")), "unit-first")
-    again = units.select("_row", "number", "words", "d1", "d2").join(first, ["d1", "d2"])
+    # both sides sorted at every size, as a table of repeated digests that happens to fit a broadcast does not for long
+    again = units.select("_row", "number", "words", "d1", "d2").join(first.hint("merge"), ["d1", "d2"])
     again = again.select("_row", "number", "words", ((F.col("_row") != F.col("first_row")) | (F.col("number") != F.col("first_number"))).alias("later"))
     w = Window.partitionBy("_row").orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # numbers without a gap differ from their count by a constant
@@ -163,7 +164,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     discard(spark, units)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done with
-    joined = base.join(runs, "_row", "left").select("doc_id", "text", "runs")
+    joined = base.join(runs.hint("merge"), "_row", "left").select("doc_id", "text", "runs")
     kinds = "doc_id long, kept_text string, n_removed_chars long, n_repeated_chars long, n_units_removed long, spans array<struct<start: long, end: long>>"
     return joined.mapInArrow(_cut(unit, min_words), kinds)
 

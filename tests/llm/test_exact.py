@@ -609,3 +609,17 @@ def test_runs_equal_brute_force(spark, unit, min_run):
     assert Counter((r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"]), r["n_repeated_chars"]) for r in got) == runs_left(rows, unit, min_run)
     text = Counter((r[0], len(r[1] or "")) for r in rows)
     assert Counter((r["doc_id"], r["n_removed_chars"] + len(r["kept_text"])) for r in got) == text
+
+
+def test_unit_joins_are_alike_at_every_size(spark, monkeypatch):
+    """No broadcast where a table happens to be small: it would not be one on a larger table, so disk would grow faster than the input."""
+    plans, write = [], unit_dedup.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(unit_dedup, "stored", seen)
+    out = unit_dedup.dedup_units(table(spark, random_rows(8, 80)), min_run=2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
