@@ -2,14 +2,15 @@
 
 Terms are runs of letters of any script but ASCII's other characters, with A-Z in lower case. Two passes:
 
-1. Every task counts, by language, in how many of its documents a term stands, and writes these partial counts with
+1. Every task counts, by language, in how many of its documents a term stands, and hands on these partial counts with
    the number of its split. Their sums are exact document frequencies, and the terms of at least MIN_DOCS documents of a
-   language are kept.
+   language are kept. The counts of a term meet once: there they get their sum and, as the term's number, the least of their own.
 2. The texts go to one task a split together with the kept terms that this split has (found in the first pass, so
    an automaton grows with a split and not with the vocabulary of the corpus). An Aho-Corasick automaton of the terms, each
    padded with a blank on both sides, runs over the texts, in which every delimiter is a blank, and counts occurrences.
 
-What comes out are sparse postings (language, term, the sources that have it with their counts). For a pair of sources most
+What comes out are sparse postings (a term's number, the sources that have it with their counts); the terms themselves come
+back to the few that are ranked highest. For a pair of sources most
 kept terms stand in neither or in one of the two, so their sum is made of three parts: terms that both have, from the
 postings; terms that only one has, from the histogram of that source's counts; and terms that neither has, which all weigh the
 same. Everything is integer arithmetic.
@@ -22,6 +23,7 @@ by the UTF-8 order of items; extra columns are ignored; an empty table gives an
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from pyspark.sql.types import StructType
 from .common import discard, read, repeatable, stored
 
 MIN_DOCS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
+#: Counts below this one times SCALE fit a long.
+MOST_SMALL = 9_000_000_000
 #: Terms that a task holds before it hands on what it has counted, and characters that go through the automaton at once.
 HELD_TERMS, CHUNK = 400_000, 1_000_000
 #: Bytes that are part of a term as they are in UTF-8, upper case in lower case; all others are blanks.
@@ -45,21 +49,25 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _frequencies(batches):
-    """split, lang, text -> split, lang, term, number of documents."""
+    """split, lang, text -> split, lang, term, number of documents, number of the row. A task has one split, and terms come in
+    the order of the texts, so a row has its number whenever it is made."""
     counts: dict = defaultdict(Counter)
-    held = 0
+    held = made = 0
 
     def rows():
+        nonlocal made
         for (split, lang), terms in counts.items():
             n = len(terms)
-            cols = [pa.array([split] * n, pa.int32()), pa.array([lang] * n, pa.string()), pa.array([t.decode("utf-8", "replace") for t in terms], pa.string()), pa.array(list(terms.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["split", "lang", "term", "n"])
+            term = pa.array([t.decode("utf-8", "replace") for t in terms], pa.string())
+            cols = [pa.repeat(pa.scalar(split, pa.int32()), n), pa.repeat(pa.scalar(lang, pa.string()), n), term, pa.array(list(terms.values()), pa.int64()), pa.array(np.arange(made, made + n) + (split << 36))]
+            made += n
+            yield pa.RecordBatch.from_arrays(cols, names=["split", "lang", "term", "n", "row"])
 
     for batch in batches:
         for split, lang, text in zip(*(batch[c].to_pylist() for c in ("split", "lang", "text")), strict=True):
             own = counts[split, lang]
             held -= len(own)
-            own.update(set(text.translate(TABLE).split()))
+            own.update(dict.fromkeys(text.translate(TABLE).split()).keys())
             held += len(own)
             if held > HELD_TERMS:
                 yield from rows()
@@ -69,14 +77,15 @@ def _frequencies(batches):
 
 
 def _occurrences(batches):
-    """Rows of one split and language after the other, first its terms, then its texts by source -> lang, source, term, n."""
+    """Rows of one split and language after the other, first its terms, then its texts by source -> lang, source, id (of a
+    term), n."""
     import ahocorasick
 
-    key, terms, found, counts, source, chunk, size = None, [], None, None, None, [], 0
+    key, terms, ids, found, counts, source, chunk, size = None, [], [], None, None, None, [], 0
 
     def search():
         text = " " + " ".join(chunk) + " "
-        hits = np.fromiter((k for _, k in found.iter(text)), np.int64)
+        hits = np.fromiter(map(itemgetter(1), found.iter(text)), np.int64)
         counts[:] += np.bincount(hits, minlength=len(counts))
 
     def close():
@@ -84,17 +93,19 @@ def _occurrences(batches):
             search()
         some = np.flatnonzero(counts)
         n = len(some)
-        cols = [pa.array([key[1]] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([terms[k] for k in some.tolist()], pa.string()), pa.array(counts[some], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n"])
+        cols = [pa.repeat(pa.scalar(key[1], pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), pa.array(ids[some]), pa.array(counts[some], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["lang", "source", "id", "n"])
 
     for batch in batches:
-        for split, lang, of, text, term in zip(*(batch[c].to_pylist() for c in ("split", "lang", "source", "text", "term")), strict=True):
+        for split, lang, of, text, term, number in zip(*(batch[c].to_pylist() for c in ("split", "lang", "source", "text", "term", "id")), strict=True):
             if (split, lang) != key:
                 if source is not None:
                     yield close()
-                key, terms, found, source, chunk, size = (split, lang), [], None, None, [], 0
+                key, terms, ids, found, source, chunk, size = (split, lang), [], [], None, None, [], 0
             if term is not None:
+                # a term that the first pass handed on twice keeps its last place, and the other counts nothing
                 terms.append(term)
+                ids.append(number)
                 continue
             if not terms:
                 continue  # nothing of this language is kept
@@ -103,6 +114,7 @@ def _occurrences(batches):
                 for k, t in enumerate(terms):
                     found.add_word(f" {t} ", k)
                 found.make_automaton()
+                ids = np.array(ids, np.int64)
             if of != source:
                 if source is not None:
                     yield close()
@@ -117,32 +129,34 @@ def _occurrences(batches):
         yield close()
 
 
-def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """First pass: (lang, term, n_docs) of the kept terms, and (split, lang, term) of those that a split has, as written
-    tables. docs must give the same splits whenever it is read (see ``repeatable``)."""
-    parts = stored(_plain(docs).select("split", "lang", "text").mapInArrow(_frequencies, "split int, lang string, term string, n long"), "term-parts")
-    kept = stored(parts.groupBy("lang", "term").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs), "kept-terms")
-    # one row of a term for each split, so the commonest term has as many rows as there are splits
-    own = stored(parts.select("split", "lang", "term").join(kept.select("lang", "term"), ["lang", "term"]).select("split", "lang", "term").distinct(), "split-terms")
-    discard(docs.sparkSession, parts)
-    return kept, own
+def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """First pass: split, lang, term, id of the kept terms that a split has, as a written table; named is true on one row of a
+    term. docs must give the same splits whenever it is read (see ``repeatable``)."""
+    parts = _plain(docs).select("split", "lang", "text").mapInArrow(_frequencies, "split int, lang string, term string, n long, row long")
+    # a term has as many rows as there are splits at most; terms come first, as a sort looks at the first column most
+    of_term = Window.partitionBy("term", "lang")
+    met = parts.withColumn("n_docs", F.sum("n").over(of_term)).withColumn("id", F.min("row").over(of_term))
+    return stored(met.where(F.col("n_docs") >= min_docs).select("split", "lang", "term", "id", (F.col("row") == F.col("id")).alias("named")), "split-terms")
 
 
 def term_counts(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """Second pass: lang, source, term, n (occurrences) of the kept terms, as a written table."""
-    kinds = "split int, lang string, source string, text binary, term string"
+    """Second pass: lang, source, id, n (occurrences) of the kept terms, as a written table."""
+    kinds = "split int, lang string, source string, text binary, term string, id long"
     none = F.lit(None)
-    texts = _plain(docs).withColumn("term", none.cast("string"))
-    terms = own.select("split", "lang", none.cast("string").alias("source"), none.cast("binary").alias("text"), "term")
+    texts = _plain(docs).withColumns({"term": none.cast("string"), "id": none.cast("long")})
+    terms = own.select("split", "lang", none.cast("string").alias("source"), none.cast("binary").alias("text"), "term", "id")
     rows = terms.unionByName(texts).to(StructType.fromDDL(kinds)).repartition("split").sortWithinPartitions("split", "lang", F.col("source").asc_nulls_first())
-    counted = rows.mapInArrow(_occurrences, "lang string, source string, term string, n long")
-    return stored(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "term-counts")
+    counted = rows.mapInArrow(_occurrences, "lang string, source string, id long, n long")
+    # within a split nothing is left to sum up, so rows are dealt before they are
+    return stored(counted.repartition("id").groupBy("id", "lang", "source").agg(F.sum("n").alias("n")), "term-counts")
 
 
 def _share(n: Column, total: Column, v: Column) -> Column:
-    """1 + floor(SCALE * (n + 2) / (total + 2 v)), exact for counts of any size."""
+    """1 + floor(SCALE * (n + 2) / (total + 2 v)), exact for counts of any size; those that fit a long are divided as such."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.when(v > 0, F.call_function("div", wide(n + 2) * F.lit(SCALE).cast("decimal(11,0)"), wide(total + 2 * v)) + 1)
+    small = F.call_function("div", (n + 2) * F.lit(SCALE).cast("long"), total + 2 * v)
+    large = F.call_function("div", wide(n + 2) * F.lit(SCALE).cast("decimal(11,0)"), wide(total + 2 * v))
+    return F.when(v > 0, F.when(n < MOST_SMALL, small).otherwise(large) + 1)
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -150,47 +164,71 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def group_stats(docs: DataFrame, kept: DataFrame, counts: DataFrame) -> DataFrame:
-    """lang, source, total (occurrences of kept terms), n_terms (that it has), v (kept terms of the language), p0 (the share of
-    a term that it lacks) of every group, as a written table."""
+def group_stats(docs: DataFrame, own: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gid (a number of its own), lang, source, total (occurrences of kept terms), n_terms (that it has), v (kept terms of the
+    language), p0 (the share of a term that it lacks), lang_total of every group; and gid, p, terms: how many of its terms
+    have one share. Both are written tables."""
+    spark = docs.sparkSession
     groups = _plain(docs).select("lang", "source").distinct()
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_terms"))
-    size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+    equal = stored(counts.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms")), "equal-counts")
+    sums = equal.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("terms")).alias("total"), F.sum("terms").alias("n_terms"))
+    size = own.where("named").groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    out = groups.join(sums, ["lang", "source"], "left").join(size, "lang", "left").select("lang", "source", zero("total"), zero("n_terms"), zero("v"))
-    return stored(out.withColumn("p0", _share(F.lit(0).cast("long"), F.col("total"), F.col("v"))), "group-stats")
-
-
-def term_gaps(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """lang, source, term, value of the terms that a group has and uses more than its language: p > q."""
-    lang = stats.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.first("v").alias("v"))
-    shares = counts.join(stats, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(lang, "lang").select("lang", "term", _share(F.col("n"), F.col("lang_total"), F.col("v")).alias("q"))
-    both = shares.join(of_lang, ["lang", "term"]).where("p > q")
-    return both.select("lang", "source", "term", _gap(F.col("p"), F.col("q")).alias("value"))
-
-
-def pair_gaps(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """lang, source, other, value for every pair of sources of a language, source before other. The result grows with the square
-    of the sources of a language, as it is asked for; the sums over terms are made of postings and histograms."""
-    shares = stored(counts.join(stats, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0"), "term-shares")
+    known = groups.join(sums, ["lang", "source"], "left").join(size, "lang", "left").select("lang", "source", zero("total"), zero("n_terms"), zero("v"))
+    whole = sums.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    known = known.join(whole, "lang", "left").withColumn("p0", _share(F.lit(0).cast("long"), F.col("total"), F.col("v")))
+    stats = stored(known.withColumn("gid", F.monotonically_increasing_id()), "group-stats")
+    shares = equal.join(stats, ["lang", "source"]).select("gid", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "terms")
+    histogram = stored(shares, "equal-shares")
+    discard(spark, equal)
+    return stats, histogram
+
+
+def postings(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """id, q (the share of the term in its language), posts (gid, p, p0 of the groups that have it), as a written table."""
+    of_group = stats.select("lang", "source", "gid", "total", "v", "lang_total", "p0")
+    shares = counts.join(of_group, ["lang", "source"]).select("id", "lang_total", "v", "n", "gid", _share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0")
+    met = shares.repartition("id").groupBy("id", "lang_total", "v").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("gid", "p", "p0"))).alias("posts"))
+    return stored(met.select("id", _share(F.col("n"), F.col("lang_total"), F.col("v")).alias("q"), "posts"), "postings")
+
+
+def term_gaps(posts: DataFrame) -> DataFrame:
+    """gid, id, value of the terms that a group has and uses more than its language: p > q."""
+    each = posts.select("id", "q", F.explode("posts").alias("x")).where(F.col("x.p") > F.col("q"))
+    return each.select(F.col("x.gid").alias("gid"), "id", _gap(F.col("x.p"), F.col("q")).alias("value"))
+
+
+def top_terms_of(posts: DataFrame, stats: DataFrame, own: DataFrame, top: int) -> DataFrame:
+    """lang, source, item, value, rank of the terms with the highest gaps, as a written table. Terms get their text when those
+    are left that any order of ties could rank."""
+    by_value = Window.partitionBy("gid").orderBy(F.desc("value"))
+    left = term_gaps(posts).withColumn("place", F.rank().over(by_value)).where(F.col("place") <= top).drop("place")
+    named = left.join(own.where("named").select("id", F.col("term").alias("item")), "id")
+    ranked = named.withColumn("rank", F.row_number().over(by_value.orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    return stored(ranked.join(stats.select("gid", "lang", "source"), "gid").select("lang", "source", "item", "value", "rank"), "top-terms")
+
+
+def pair_gaps(posts: DataFrame, stats: DataFrame, histogram: DataFrame) -> DataFrame:
+    """lang, source, other, value for every pair of sources of a language, once, as a written table. The result grows with the
+    square of the sources of a language, as it is asked for; the sums over terms are made of postings and histograms."""
     # terms that both have: every posting meets those behind it in its term's list
-    posts = shares.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("posts"))
-    first = posts.select("lang", "posts", F.posexplode("posts").alias("k", "x")).select("lang", "x", F.explode(F.slice("posts", F.col("k") + 2, F.size("posts"))).alias("y"))
+    first = posts.select("posts", F.posexplode("posts").alias("k", "x")).select("x", F.explode(F.slice("posts", F.col("k") + 2, F.size("posts"))).alias("y"))
     p, p0, q, q0 = F.col("x.p"), F.col("x.p0"), F.col("y.p"), F.col("y.p0")
     more = _gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)
-    shared = first.groupBy("lang", F.col("x.source").alias("source"), F.col("y.source").alias("other")).agg(F.sum(more).alias("value"))
+    shared = first.groupBy(F.col("x.gid").alias("gid"), F.col("y.gid").alias("other")).agg(F.sum(more).alias("value"))
     # terms of one side against a term that the other lacks: equal shares are counted first
-    histogram = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n"))
-    ends = stats.select("lang", "source", "p0", "v", "n_terms")
-    other = ends.select("lang", F.col("source").alias("other"), F.col("p0").alias("q0"), F.col("n_terms").alias("other_terms"))
+    ends = stats.select("lang", "gid", "p0", "v", "n_terms")
+    other = ends.select("lang", F.col("gid").alias("other"), F.col("p0").alias("q0"), F.col("n_terms").alias("other_terms"))
     # one row for each pair and direction; dealt anew, as there are few languages
-    pairs = stored(ends.join(other, "lang").where("source != other").repartition("lang", "source", "other"), "source-pairs")
-    ordered = lambda f: getattr(F, f)("source", "other")
-    single = pairs.select("lang", "source", "other", "q0").join(histogram, ["lang", "source"])
-    single = single.groupBy("lang", ordered("least").alias("source"), ordered("greatest").alias("other")).agg(F.sum(_gap(F.col("p"), F.col("q0")) * F.col("n")).alias("value"))
-    neither = pairs.where("source < other").select("lang", "source", "other", F.coalesce((F.col("v") - F.col("n_terms") - F.col("other_terms")) * _gap(F.col("p0"), F.col("q0")), F.lit(0).cast("long")).alias("value"))
-    return neither.unionByName(single).unionByName(shared).groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
+    pairs = stored(ends.join(other, "lang").where("gid != other").drop("lang").repartition("gid", "other"), "source-pairs")
+    ordered = lambda f: getattr(F, f)("gid", "other")
+    single = pairs.select("gid", "other", "q0").join(histogram, "gid")
+    single = single.groupBy(ordered("least").alias("gid"), ordered("greatest").alias("other")).agg(F.sum(_gap(F.col("p"), F.col("q0")) * F.col("terms")).alias("value"))
+    neither = pairs.where("gid < other").select("gid", "other", F.coalesce((F.col("v") - F.col("n_terms") - F.col("other_terms")) * _gap(F.col("p0"), F.col("q0")), F.lit(0).cast("long")).alias("value"))
+    gaps = neither.unionByName(single).unionByName(shared).groupBy("gid", "other").agg(F.sum("value").alias("value"))
+    names = stats.select("gid", "lang", "source")
+    gaps = gaps.join(names, "gid").join(names.select(F.col("gid").alias("other"), F.col("source").alias("item")), "other")
+    return stored(gaps.select("lang", "source", F.col("item").alias("other"), "value"), "source-gaps")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
@@ -198,16 +236,19 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     and the terms that set the group most apart from its language (part term)."""
     spark = docs.sparkSession
     docs = repeatable(docs.select("text", "lang", "source"))
-    kept, own = kept_terms(docs, min_docs)
+    own = kept_terms(docs, min_docs)
     counts = term_counts(docs, own)
-    stats = group_stats(docs, kept, counts)
+    stats, histogram = group_stats(docs, own, counts)
+    posts = postings(counts, stats)
+    discard(spark, counts)
+    top = top_terms_of(posts, stats, own, top_terms)
     discard(spark, own)
-    gaps = stored(pair_gaps(counts, stats), "source-gaps")
+    gaps = pair_gaps(posts, stats, histogram)
+    discard(spark, posts, histogram, stats)
     turned = gaps.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = gaps.unionByName(turned).select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value").withColumn("rank", F.row_number().over(by_value))
-    terms = term_gaps(counts, stats).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value").withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top_terms)
-    return pairs.unionByName(terms)
+    return pairs.unionByName(top.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
