@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .tokens import WordTokenizer
+from .tokens import WordTokenizer, slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -160,7 +160,7 @@ def _packer(path: str | None, capacity: int, with_ids: bool):
             for window in windows:
                 offset = 0
                 for key, start, ids, total in window:
-                    row = (key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + made, offset, ids)
+                    row = (key, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False)), total, base + made, offset, ids)
                     for c, x in zip(out, row, strict=True):
                         c.append(x)
                     offset += len(ids)
@@ -173,10 +173,10 @@ def _packer(path: str | None, capacity: int, with_ids: bool):
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 2048):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for part in slices(texts):
                 done = []
-                for key, ids in zip(keys[a : a + 2048], tok.encode(texts[a : a + 2048]), strict=True):
+                for key, ids in zip(keys[part], tok.encode(texts[part]), strict=True):
                     done.extend(packer.add(key, np.concatenate([ids, end])))
                 yield rows(done)
         yield rows(packer.finish())

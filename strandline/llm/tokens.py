@@ -2,28 +2,73 @@
 
 The tokenizers meant here drop white space and never join characters across it, so a text's ids are
 those of its words one after the other. Most words of a corpus are frequent ones: each worker encodes
-a word once while it stays in the cache, and looks it up after that.
+a word once while it stays in the cache, and looks it up after that. Many texts are taken at once, as
+one run of bytes: NumPy parts letters from the punctuation after them, Arrow splits words and numbers
+the different ones, and only those are looked up.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_FILE = "word_bpe_49k.json"
 _PART = "\x01"
 _HELD: dict = {}
-_MARKS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
-_ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-
-
-def _plain(text: str | None) -> bytes:
-    """The bytes of a text, ASCII letters in lower case, as the tokenizer's normaliser has them; not
-    where a special token could stand in it, since those are matched before normalising."""
-    raw = (text or "").encode("utf-8", "replace")
-    return raw if b"<|" in raw else raw.lower()
+_LINE = 200  # words encoded in one line
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: By byte: 1 for what ends a token when punctuation follows, 2 for that punctuation.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+_KIND[list(b"!#$%&()*+,-./:;=?@[]^_`{|}~")] = 2
+
+
+def _strings(texts: pa.Array | Sequence[str | None]) -> pa.Array:
+    """The texts as an Arrow array of strings, null ones empty."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).view(pa.string())
+    return texts.fill_null("").cast(pa.string())
+
+
+def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[slice]:
+    """Runs of texts of at most so many bytes together; a longer text is one alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        last = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield slice(at, last)
+        at = last
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, ASCII letters in lower case as the tokenizer's normaliser has them, and punctuation parted
+    from a letter or digit before it, which ends a token. Texts are split as they are where a special token could stand in
+    them, since those are matched before normalising, or combining marks, which some small letters alone are composed with."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    plain = _LOWER[raw]
+    kind = _KIND[plain]
+    latin = np.flatnonzero(raw[:-1] == 0xC3) + 1  # the letters from U+00C0 to U+00FF; two signs stand among them
+    kind[latin[(raw[latin] != 0x97) & (raw[latin] != 0xB7)]] = 1
+    cuts = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+    marks = np.flatnonzero((raw == 0xCC) | (raw == 0xCD))
+    specials = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+    if len(marks) or len(specials):
+        kept = np.zeros(len(texts) + 1, bool)
+        kept[np.searchsorted(at, np.concatenate([marks, specials]), "right") - 1] = True
+        for k in np.flatnonzero(kept):
+            plain[at[k] : at[k + 1]] = raw[at[k] : at[k + 1]]
+        cuts = cuts[~kept[np.searchsorted(at, cuts, "right") - 1]]
+    data = np.insert(plain, cuts, 0x20)
+    at = (at + np.searchsorted(cuts, at)).astype(np.int32)
+    return pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(data)]))
 
 
 def tokenizer_path(name: str = WORD_FILE) -> str:
@@ -43,9 +88,8 @@ class WordTokenizer:
         if ids("Some Word,") != ids("some") + ids("word") + ids(",") or len(ids(_PART)) != 1:
             raise ValueError("only for tokenizers that lower the case, drop white space and part words from punctuation")
         self.part = ids(_PART)[0]
-        self.index: dict[bytes, int] = {}
-        self.lens = np.empty(0, np.int64)
-        self.starts = np.empty(0, np.int64)
+        self.words = pa.array([], pa.binary())
+        self.lens = np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
 
     @classmethod
@@ -58,72 +102,48 @@ class WordTokenizer:
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has. Words are encoded in long
         lines, parted by a word that stands for nothing else; those that hold its character go alone."""
-        lines = [f" {_PART} ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
-        got = [np.asarray(x.ids, np.uint32) for x in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
-        ids, lens = [], []
-        for line, k in zip(got, range(0, len(words), 1000), strict=True):
-            part = line == self.part
-            cuts = np.concatenate([[-1], np.flatnonzero(part), [len(line)]])
-            if len(cuts) - 1 != len(words[k : k + 1000]):
-                raise ValueError("the parting word is not one token of its own")
-            ids.append(line[~part])
-            lens.append(np.diff(cuts) - 1)
-        return np.concatenate(ids), np.concatenate(lens)
-
-    def _enter(self, words: list[bytes], flat: np.ndarray, lens: np.ndarray) -> None:
-        base = len(self.index)
-        self.index.update(zip(words, range(base, base + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.flat.size + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
-
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, one after the other, and where each ends."""
-        lens = self.lens[codes]
-        ends = np.cumsum(lens)
-        at = np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[at], ends
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Enter new words. A letter or digit ends a token, so a word that ends in punctuation has the
-        ids of what stands before it and then those of the punctuation."""
-        whole, cut = [], []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and core[-1] in _ENDS and b"<|" not in w:
-                cut.append((w, core, w[len(core) :]))
-            else:
-                whole.append(w)
-        basic = set(whole)
-        for _, core, tail in cut:
-            basic.add(core)
-            basic.add(tail)
-        basic = sorted(basic.difference(self.index))
-        if basic:
-            plain = [w.decode("utf-8", "replace") for w in basic]
-            if any(_PART in w for w in plain):
-                own = [self.tok.encode(w, add_special_tokens=False).ids for w in plain]
-                self._enter(basic, np.fromiter(chain.from_iterable(own), np.uint32), np.array([len(x) for x in own], np.int64))
-            else:
-                self._enter(basic, *self._ids(plain))
-        if cut:
-            codes = np.array([[self.index[core], self.index[tail]] for _, core, tail in cut]).ravel()
-            flat, ends = self._gather(codes)
-            self._enter([w for w, _, _ in cut], flat, np.diff(np.concatenate([[0], ends[1::2]])))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        alone = [k for k, w in enumerate(words) if _PART in w]
+        own = [self.tok.encode(words[k], add_special_tokens=False).ids for k in alone]
+        for k in alone:
+            words[k] = ""
+        lines = [f" {_PART} ".join(words[a : a + _LINE]) for a in range(0, len(words), _LINE)]
+        got = np.fromiter(chain.from_iterable([*x.ids, self.part] for x in self.tok.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        parts = np.flatnonzero(got == self.part)
+        if len(parts) != len(words):
+            raise ValueError("the parting word is not one token of its own")
+        lens = np.diff(parts, prepend=-1).astype(np.int32) - 1
+        flat = got[got != self.part]
+        if alone:
+            counts = [len(x) for x in own]
+            flat = np.insert(flat, np.repeat(np.cumsum(lens)[alone], counts), np.fromiter(chain.from_iterable(own), np.uint32))
+            lens[alone] = counts
+        return flat, lens
+
+    def _codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of different words, and by number how many ids a word has, and all ids in that order."""
+        found = pc.index_in(words, value_set=self.words)
+        codes = found.fill_null(-1).to_numpy().copy()
+        new = words.filter(found.is_null())
+        if not len(new):
+            return codes, self.lens, self.flat
+        codes[codes < 0] = len(self.words) + np.arange(len(new))
+        flat, lens = self._ids([w.decode("utf-8", "replace") for w in new.to_pylist()])
+        flat, lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
+        if len(self.words) < self.limit:  # else the cache is full of words that came early, the frequent ones among them
+            self.words, self.flat, self.lens = pa.concat_arrays([self.words, new]), flat, lens
+        return codes, lens, flat
+
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; None is an empty text."""
-        split = [_plain(t).split() for t in texts]
-        words = list(chain.from_iterable(split))
-        new = set(words).difference(self.index)
-        held, size = len(self.index), len(self.flat)
-        if new:
-            self._learn(sorted(new))
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ids, ends = self._gather(codes)
-        if held >= self.limit:  # the cache is full of words that came early, the frequent ones among them
-            for _ in range(len(self.index) - held):
-                self.index.popitem()
-            self.starts, self.lens, self.flat = self.starts[:held].copy(), self.lens[:held].copy(), self.flat[:size].copy()
-        bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
+        if not len(texts):
+            return []
+        split = _words(_strings(texts))
+        words = split.flatten().view(pa.binary()).dictionary_encode()
+        codes, lens, flat = self._codes(words.dictionary)
+        starts = np.cumsum(lens, dtype=np.int64) - lens
+        numbers = codes[words.indices.to_numpy()]
+        n = lens[numbers]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        ids = flat[np.repeat(starts[numbers] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,59 @@ def test_pieces_reassemble_the_ids(spark, rows):
         assert at == len(whole)
 
 
+def direct_ids(tok, texts):
+    return [tok.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+ATOMS = [*"abzTJHWY019 \t\n\x0b\x1c\x85\xa0'\".,!#<>|&$-_\\éÉßñ×÷ÿİſKςΣ१日がカ\u309b각😀—", *"\u0301\u0308\u030a\u030c\u0323\u0331\u0338\u0344\u20d2"]
+ATOMS += ["<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'RE", "\x00", "\x01", " \x01 "]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_word_ids_equal_ids_of_whole_texts(seed):
+    rng = np.random.default_rng(seed)
+    tok = tokens.WordTokenizer(cache_words=500)  # full after a few calls
+    for _ in range(10):
+        texts = [None if rng.random() < 0.03 else "".join(rng.choice(ATOMS, rng.integers(0, 40))) for _ in range(100)]
+        assert [x.tolist() for x in tok.encode(texts)] == direct_ids(tok, texts)
+
+
+def test_capitals_before_combining_marks_keep_their_ids():
+    """Only the small letters are composed with these marks, and the normaliser composes before it lowers the case."""
+    tok = tokens.WordTokenizer()
+    for text in ("T\u0308", "J\u030c", "H\u0331x.", "W\u030a Y\u030a", "T\u0344"):
+        assert tok.encode([text])[0].tolist() == direct_ids(tok, [text])[0]
+
+
+def test_a_word_is_looked_up_once_for_all_its_occurrences():
+    class Spy(tokens.WordTokenizer):
+        seen = ()
+
+        def _codes(self, words):
+            self.seen = (*self.seen, words.to_pylist())
+            return super()._codes(words)
+
+    tok, texts = Spy(), ["Über alpha. Beta, alpha; über! año: (beta)"] * 500
+    got = tok.encode(texts)
+    (words,) = tok.seen  # one lookup for all texts, of different words, punctuation parted from what stands before it
+    assert sorted(words) == sorted(x.encode() for x in ("Über", "über", "alpha", "beta", "año", "(beta", ".", ",", ";", "!", ":", ")"))
+    assert [x.tolist() for x in got] == direct_ids(tok, texts[:1]) * 500
+    tok.encode(["alpha, beta"])
+    assert len(tok.words) == len(words)
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_runs_of_texts_cover_all_and_stay_below_their_size(kind):
+    texts = pa.array(["skipped", None, "", "one two", "x" * 50, " lead and trail \n", None, "é, ü", ""], kind)[1:]
+    parts = list(tokens.slices(texts, 20))
+    assert [k for p in parts for k in range(p.start, p.stop)] == list(range(len(texts)))
+    assert all(p.stop - p.start == 1 or sum(len((t or "").encode()) for t in texts[p].to_pylist()) <= 20 for p in parts)
+    tok = tokens.WordTokenizer()
+    assert [x.tolist() for p in parts for x in tok.encode(texts[p])] == direct_ids(tok, texts.to_pylist())
+    assert [x.tolist() for x in tok.encode(texts[:1])] == [[]] and tok.encode(texts[:0]) == [] and not list(tokens.slices(texts[:0]))
+    assert [x.tolist() for x in tok.encode(pa.nulls(3, kind))] == [[], [], []]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_the_end_joins_windows_before_it_cuts(seed):
     rng = np.random.default_rng(seed)
